@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphlens.llm.leaks import leaked_items, remove_leaks
+from graphlens.llm.personal import find_personal, replace_personal
 from graphlens.llm.runs import collapse_runs
 from graphlens.llm.tokens import encode_corpus
 from graphlens.session import table
@@ -26,6 +28,23 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id", "item_id")
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    return remove_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = find_personal(table(spark, d, "documents"), table(spark, d, "name_list"))
+    return found.select("doc_id", "pii_type", "pii_value").distinct()
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    return replace_personal(table(spark, d, "documents"), table(spark, d, "name_list"))
+
+
 _RUNS = """
 WITH ev AS (SELECT DISTINCT test, seq, depth, dst_id, called_at FROM call_trace WHERE test IS NOT NULL AND seq IS NOT NULL),
 marked AS (
@@ -38,6 +57,10 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_collapsed": p2_collapsed,
     "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p8_clean": p8_clean,
+    "p9_found": p9_found,
+    "p9_clean": p9_clean,
 }
 
 SQL = {
