@@ -13,6 +13,7 @@ is set; texts may be of any length. Columns other than id and text are kept only
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -116,7 +117,7 @@ class SuffixAutomaton:
         return found, spans
 
 
-def _automaton(key: tuple, items: list, floor: int) -> SuffixAutomaton:
+def _automaton(key: str, items: list, floor: int) -> SuffixAutomaton:
     if key not in _BUILT:
         _BUILT.clear()
         _BUILT[key] = SuffixAutomaton(items, floor)
@@ -158,11 +159,12 @@ def leaked_items(docs: DataFrame, items: DataFrame, *, doc_col: str = "doc_id",
     rows = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).where("text is not null")
     floor = _floor(min_words, coverage, least_words)
     out = None
-    for b, block in enumerate(_blocks(items, item_col, item_text_col, block_words)):
+    for block in _blocks(items, item_col, item_text_col, block_words):
+        key = uuid.uuid4().hex
         sent = spark.sparkContext.broadcast(block)  # at most block_words words and one item
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, b=b) -> Iterator[pa.RecordBatch]:
-            auto = _automaton((sent.id, b, floor), sent.value, floor)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
+            auto = _automaton(key, sent.value, floor)
             for batch in batches:
                 ds, its, longest, n = [], [], [], []
                 for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -194,11 +196,12 @@ def remove_leaks(docs: DataFrame, items: DataFrame, *, doc_col: str = "doc_id",
     schema = f"doc {kind}, text string, n_removed int"
     out = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"), F.lit(0).alias("n_removed"))
     floor = _floor(min_words, coverage, least_words)
-    for b, block in enumerate(_blocks(items, item_col, item_text_col, block_words)):
+    for block in _blocks(items, item_col, item_text_col, block_words):
+        key = uuid.uuid4().hex
         sent = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, b=b) -> Iterator[pa.RecordBatch]:
-            auto = _automaton((sent.id, b, floor), sent.value, floor)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
+            auto = _automaton(key, sent.value, floor)
             for batch in batches:
                 texts, removed = [], []
                 for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
