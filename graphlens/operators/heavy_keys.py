@@ -66,3 +66,22 @@ def balanced_row_number(df: DataFrame, keys: list[str], order: list[str], out: s
     numbered = rows.withColumn("_local", F.row_number().over(local))
     joined = numbered.join(renamed, on)
     return joined.select(*df.columns, (F.col("_local") + F.col("_before")).cast("long").alias(out))
+
+
+def skew_join(facts: DataFrame, dims: DataFrame, key: str, row_cols: list[str], how: str = "inner",
+              rows_per_task: int = 1_000_000) -> DataFrame:
+    """Equi-join of facts with dims (few rows per key) in which no key of facts fills a task.
+
+    Keys with more than rows_per_task facts are split by a hash of row_cols, and only their rows of
+    dims are repeated, once per split. The list of such keys is broadcast: it has at most
+    count(facts) / rows_per_task entries. Null keys match nothing.
+    """
+    hot = (facts.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_rows"))
+           .where(F.col("_rows") > rows_per_task)
+           .select("_hot", F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_copies")))
+    splits = F.coalesce(F.col("_copies"), F.lit(1))
+    f = facts.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*row_cols), splits).cast("int")).drop("_hot", "_copies")
+    d = dims.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), splits - 1))).drop("_hot", "_copies")
+    return f.join(d, [key, "_salt"], how).drop("_salt")
