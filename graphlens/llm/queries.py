@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphlens.llm.docpairs import documented_functions
 from graphlens.llm.leaks import leaked_items, remove_leaks
 from graphlens.llm.personal import find_personal, replace_personal
 from graphlens.llm.runs import collapse_runs
@@ -24,6 +25,14 @@ def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
         "entity AS test", "value AS dst_id", "first_pos AS first_seq", "last_pos AS last_seq", "n_events AS n_calls", "duration_us")
 
 
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return documented_functions(table(spark, d, "symbols"), table(spark, d, "file_text"), table(spark, d, "files"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_pairs(spark, d).where("described_by = symbol_id").select("symbol_id").distinct()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -56,6 +65,8 @@ numbered AS (SELECT *, sum(starts) OVER (PARTITION BY test ORDER BY seq) AS run
 QUERIES = {
     "p2_found": p2_found,
     "p2_collapsed": p2_collapsed,
+    "p3_found": p3_found,
+    "p3_pairs": p3_pairs,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_clean": p8_clean,
