@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from graphlens.llm.docpairs import documented_functions
 from graphlens.llm.leaks import leaked_items, remove_leaks
 from graphlens.llm.personal import find_personal, replace_personal
+from graphlens.llm.provenance import file_provenance
 from graphlens.llm.runs import collapse_runs
 from graphlens.llm.tokens import encode_corpus
 from graphlens.session import table
@@ -33,6 +34,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pairs(spark, d).where("described_by = symbol_id").select("symbol_id").distinct()
 
 
+def p5_provenance(spark: SparkSession, d: str) -> DataFrame:
+    return file_provenance(table(spark, d, "files"), table(spark, d, "file_text"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_provenance(spark, d).where("not hand_written").select("file_id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -67,6 +76,8 @@ QUERIES = {
     "p2_collapsed": p2_collapsed,
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
+    "p5_found": p5_found,
+    "p5_provenance": p5_provenance,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_clean": p8_clean,
