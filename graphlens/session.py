@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -66,6 +67,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back, so that nothing before it runs again."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared checkpoint folder and read it back, so that nothing before it runs again.
+
+    Columnar and compressed, so later reads take only the columns they need; it survives lost executors.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/graphlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
