@@ -26,12 +26,12 @@ def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
         "entity AS test", "value AS dst_id", "first_pos AS first_seq", "last_pos AS last_seq", "n_events AS n_calls", "duration_us")
 
 
-def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return documented_functions(table(spark, d, "symbols"), table(spark, d, "file_text"), table(spark, d, "files"))
+def p3_pairs(spark: SparkSession, d: str, with_text: bool = True) -> DataFrame:
+    return documented_functions(table(spark, d, "symbols"), table(spark, d, "file_text"), table(spark, d, "files"), with_text)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return p3_pairs(spark, d).where("described_by = symbol_id").select("symbol_id").distinct()
+    return p3_pairs(spark, d, with_text=False).where("described_by = symbol_id").select("symbol_id").distinct()
 
 
 def p5_provenance(spark: SparkSession, d: str) -> DataFrame:
