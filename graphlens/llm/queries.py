@@ -9,6 +9,7 @@ from graphlens.llm.leaks import leaked_items, remove_leaks
 from graphlens.llm.personal import find_personal, replace_personal
 from graphlens.llm.provenance import file_provenance
 from graphlens.llm.runs import collapse_runs
+from graphlens.llm.syntax import acceptance, check_syntax
 from graphlens.llm.tokens import encode_corpus
 from graphlens.session import table
 
@@ -34,6 +35,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pairs(spark, d, with_text=False).where("described_by = symbol_id").select("symbol_id").distinct()
 
 
+def p4_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return check_syntax(table(spark, d, "files"), table(spark, d, "file_text"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_verdicts(spark, d).where("not valid").select("file_id").distinct()
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    return acceptance(p4_verdicts(spark, d))
+
+
 def p5_provenance(spark: SparkSession, d: str) -> DataFrame:
     return file_provenance(table(spark, d, "files"), table(spark, d, "file_text"))
 
@@ -76,6 +89,9 @@ QUERIES = {
     "p2_collapsed": p2_collapsed,
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
+    "p4_found": p4_found,
+    "p4_verdicts": p4_verdicts,
+    "p4_rates": p4_rates,
     "p5_found": p5_found,
     "p5_provenance": p5_provenance,
     "p7_ids": p7_ids,
