@@ -324,13 +324,13 @@ def resolve_def(spark, d):
 
 
 _IMPORTS = """, df AS (SELECT id, name, file_id FROM s WHERE kind IN ('function', 'class', 'foreign_export')),
-mp AS (SELECT id AS file_id, list_filter(string_split(regexp_replace(regexp_replace(path, '\\.pyi?$', ''), '/__init__$', ''), '/'), x -> x <> '') AS ps FROM f),
+mp AS (SELECT id AS file_id, list_filter(string_split(regexp_replace(regexp_replace(path, '\\.pyi?$', ''), '/__init__$', ''), '/'), lambda x: x <> '') AS ps FROM f),
 mk AS (SELECT file_id, array_to_string(ps[i:], '/') AS key FROM mp, unnest(range(1, len(ps) + 1)) AS u(i)),
 g AS (SELECT name, count(*) AS n, min(id) AS id FROM df GROUP BY 1),
 m AS (SELECT name, key, count(*) AS n, min(id) AS id FROM df JOIN mk USING (file_id) GROUP BY 1, 2),
 im AS (SELECT id AS ref, file_id, coalesce(import_name, name) AS original, import_module AS module, name AS bound FROM s WHERE kind = 'import' AND coalesce(import_name, name) <> '*'),
 ri AS (SELECT im.*, CASE WHEN g.n = 1 THEN g.id WHEN m.n = 1 THEN m.id END AS dst_id, CASE WHEN g.n = 1 THEN 'unique' WHEN m.n = 1 THEN 'module' WHEN g.n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status
-  FROM im LEFT JOIN g ON g.name = original LEFT JOIN m ON m.name = original AND m.key = array_to_string(list_filter(string_split(module, '.'), x -> x <> ''), '/') AND m.key <> '')
+  FROM im LEFT JOIN g ON g.name = original LEFT JOIN m ON m.name = original AND m.key = array_to_string(list_filter(string_split(module, '.'), lambda x: x <> ''), '/') AND m.key <> '')
 """
 
 
@@ -346,7 +346,7 @@ def import_edges(spark, d):
     return rs.import_edges(g.symbols, g.files)[0]
 
 
-@query("module_matches", _G + _IMPORTS + "SELECT DISTINCT im.module, mk.file_id FROM im JOIN mk ON mk.key = array_to_string(list_filter(string_split(im.module, '.'), x -> x <> ''), '/') WHERE mk.key <> ''")
+@query("module_matches", _G + _IMPORTS + "SELECT DISTINCT im.module, mk.file_id FROM im JOIN mk ON mk.key = array_to_string(list_filter(string_split(im.module, '.'), lambda x: x <> ''), '/') WHERE mk.key <> ''")
 def module_matches(spark, d):
     g = Graph(spark, d)
     key = F.array_join(F.filter(F.split("module", r"\."), lambda x: x != ""), "/")
@@ -529,7 +529,7 @@ def main_spine(spark, d):
 
 
 @query("betweenness", _G + """, a AS (SELECT DISTINCT src_id, dst_id FROM e WHERE kind = 'inherits' AND src_id <> dst_id),
-w(x, y, dist, n) AS (SELECT src_id, dst_id, 1, CAST(1 AS DOUBLE) FROM a UNION ALL SELECT x, y, dist, n FROM (SELECT w.x, a.dst_id AS y, w.dist + 1 AS dist, sum(w.n) AS n FROM w JOIN a ON a.src_id = w.y WHERE w.dist < 12 GROUP BY 1, 2, 3)),
+w(x, y, dist, n) AS (SELECT src_id, dst_id, 1, CAST(1 AS DOUBLE) FROM a UNION ALL SELECT x, y, dist, n FROM (SELECT w.x, a.dst_id AS y, w.dist + 1 AS dist, sum(w.n) AS n FROM w JOIN a ON a.src_id = w.y WHERE w.dist < 80 GROUP BY 1, 2, 3)),
 p AS (SELECT x, y, dist, n FROM (SELECT *, min(dist) OVER (PARTITION BY x, y) AS m FROM w) WHERE dist = m AND x <> y)
 SELECT k.id, round(coalesce(b, 0), 6) AS betweenness FROM (SELECT src_id AS id FROM a UNION SELECT dst_id FROM a) k LEFT JOIN (
   SELECT l.y AS id, sum(l.n * r.n / t.n) AS b FROM p l JOIN p r ON r.x = l.y JOIN p t ON t.x = l.x AND t.y = r.y AND t.dist = l.dist + r.dist GROUP BY 1) USING (id)""")

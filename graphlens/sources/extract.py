@@ -27,6 +27,7 @@ SCHEMA = (
     "file_id long, fact string, name string, kind string, line long, line_end long, docstring string, import_module string, import_name string, "
     "receiver string, var string, args array<string>")
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+_EMPTY = dict.fromkeys(COLUMNS)
 
 
 def _row(fact: str, **kw) -> dict:
@@ -319,8 +320,8 @@ def facts_of(source: str, ext: str) -> list[dict]:
 
 def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        rows = [r | {"file_id": i} for i, path, text in zip(pdf["file_id"], pdf["path"], pdf["content"]) for r in facts_of(text, path.rsplit(".", 1)[-1])]
-        out = pd.DataFrame(rows, columns=COLUMNS)
+        rows = [_EMPTY | r | {"file_id": i} for i, path, text in zip(pdf["file_id"], pdf["path"], pdf["content"]) for r in facts_of(text, path.rsplit(".", 1)[-1])]
+        out = pd.DataFrame(rows, columns=COLUMNS, dtype=object)
         for c in ("file_id", "line", "line_end"):
             out[c] = out[c].astype("Int64")
         yield out
