@@ -155,6 +155,10 @@ _AT = r"(?: ?[\[({<] ?at ?[\])}>] ?| at |@| @ )"
 _DOT = r"(?: ?[\[({<] ?dot ?[\])}>] ?| dot |\.| \. )"
 _DISGUISED = re.compile(_EDGE + rf"({_MAILBOX})({_AT})((?:[A-Za-z0-9-]+{_DOT})+?[A-Za-z]{{2,}})(?=$|[^\w.@-]|[.-](?:\W|$))(?! ?[\[({{<] ?dot| dot )", re.I | re.A)
 _NO_MAILBOX = re.compile(r"(?:\w+://\S*|(?:git|ssh|scp|rsync)[+:]\S*)$", re.I)
+# Top domains that a mailbox spelled in words may end in.
+_SPOKEN_DOMAINS = frozenset(
+    "com org net edu gov mil int info biz io dev app co ai tv xyz cloud tech online site example test invalid localhost local eu de fr uk us ca au nl es pl se dk fi jp cn kr br ru ch cz pt gr hu ro "
+    "ie nz mx ar cl za tr ua il".split())
 # Accounts of repository hosts.
 _SERVICE_ACCOUNTS = {"git", "hg", "svn", "gitea", "gitlab"}
 
@@ -285,6 +289,8 @@ def detect(source: str, names: Names | None) -> list[tuple[int, int, str]]:
                     plain_at = m.group(2).strip().lower() in ("at", "@")
                     if m.group(2).strip().lower() == "at" and not re.search(r"\bdot\b", m.group(3), re.I):
                         continue  # "file at www.site.org": words, not a mailbox
+                    if m.group(2).strip().lower() == "at" and m.group(3).split()[-1].lower() not in _SPOKEN_DOMAINS:
+                        continue  # "look at the dot plot"
                     if plain_at and m.group(2).strip() == "@" and not re.search(r"dot", m.group(3), re.I):
                         continue
                 start = max(t.rfind(" ", 0, a), t.rfind("\n", 0, a), t.rfind("<", 0, a), t.rfind("(", 0, a)) + 1
