@@ -75,3 +75,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/graphlens-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def parallel(df: DataFrame, factor: int = 2) -> DataFrame:
+    """df, its rows dealt out anew if a scan gives fewer partitions than the session has cores.
+
+    For work in Python on tables of few files; a table of many splits is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * factor) if df.rdd.getNumPartitions() < cores else df
