@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.llm.words import fold, word_spans, words
+from graphlens.session import parallel
 
 _BUILT: dict = {}
 
@@ -156,7 +157,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, *, doc_col: str = "doc_id",
     spark = docs.sparkSession
     kind, item_kind = docs.schema[doc_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     schema = f"doc {kind}, item {item_kind}, longest_run int, n_runs int"
-    rows = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).where("text is not null")
+    rows = parallel(docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).where("text is not null"))
     floor = _floor(min_words, coverage, least_words)
     out = None
     for block in _blocks(items, item_col, item_text_col, block_words):
@@ -194,7 +195,7 @@ def remove_leaks(docs: DataFrame, items: DataFrame, *, doc_col: str = "doc_id",
     spark = docs.sparkSession
     kind = docs.schema[doc_col].dataType.simpleString()
     schema = f"doc {kind}, text string, n_removed int"
-    out = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"), F.lit(0).alias("n_removed"))
+    out = parallel(docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"), F.lit(0).alias("n_removed")))
     floor = _floor(min_words, coverage, least_words)
     for block in _blocks(items, item_col, item_text_col, block_words):
         key = uuid.uuid4().hex

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.llm.words import invisible_class
+from graphlens.session import parallel
 
 # Letters of other scripts that look like Latin ones.
 _LOOKALIKES = {
@@ -375,7 +376,7 @@ def find_personal(docs: DataFrame, names: DataFrame | None, doc_col: str = "doc_
                     [pa.array(c[0], batch.column(0).type), pa.array(c[1]), pa.array(c[2]), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32())],
                     names=["doc", "pii_type", "pii_value", "start", "end"])
 
-    rows = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = parallel(docs.select(F.col(doc_col).alias("doc"), F.col(text_col).cast("string").alias("text")))
     out = rows.mapInArrow(run, f"doc {kind}, pii_type string, pii_value string, start int, end int")
     return out.withColumnRenamed("doc", doc_col)
 
@@ -392,5 +393,5 @@ def replace_personal(docs: DataFrame, names: DataFrame | None, doc_col: str = "d
             texts = [t if not t else replace(t, judge) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc", "text"])
 
-    rows = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = parallel(docs.select(F.col(doc_col).alias("doc"), F.col(text_col).cast("string").alias("text")))
     return rows.mapInArrow(run, f"doc {kind}, text string").withColumnRenamed("doc", doc_col)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphlens.session import parallel
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # symbols of code points
@@ -295,7 +297,7 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = f"id {kind}, ids array<int>" + (", offsets array<int>" if with_offsets else "")
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    out = parallel(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)
 
 
