@@ -260,7 +260,7 @@ def script_facts(source: str) -> list[dict]:
     return out
 
 
-_RS_DECL = re.compile(r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|extern(?:\s+\"[^\"]*\")?|default)\s+)*(?P<kw>fn|struct|enum|trait)\s+(?P<name>(?:r#)?\w+)")
+_RS_DECL = re.compile(r"(?m)(?:^|(?<=[{;}]))[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|extern(?:\s+\"[^\"]*\")?|default)\s+)*(?P<kw>fn|struct|enum|trait)\s+(?P<name>(?:r#)?\w+)")
 
 
 def _rust_doc(lines: list[str], line: int) -> str | None:
