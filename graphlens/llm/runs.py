@@ -152,7 +152,7 @@ def collapse_runs(df: DataFrame, entity: str, position: str, value: str, level:
     runs = cut(ordered.mapInArrow(_machine(level_tolerance, gap, min_length), _STATE))
     edge = F.col("head") | F.col("tail")
     # at most two rows per range reach the one task that stitches
-    stitched = runs.where(edge).repartition(1).sortWithinPartitions("part", "first_pos", "entity").mapInPandas(
+    stitched = runs.where(edge).repartition(1).sortWithinPartitions("part", "entity", "first_pos").mapInPandas(
         _stitch(level_tolerance, gap), _STATE)
     both = runs.where(~edge).unionByName(stitched).where(F.col("n") >= min_length)
     return both.select(

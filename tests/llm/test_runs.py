@@ -74,3 +74,9 @@ def test_one_run_over_all_ranges(spark):
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
     out = collapse_runs(df, "test", "seq", "dst_id", "depth", "called_at", partitions=11).collect()
     assert [(r.first_pos, r.last_pos, r.n_events, r.duration_us) for r in out] == [(0, 499, 500, 499_000_000)]
+
+
+def test_stitching_keeps_the_order_of_ranges(spark):
+    """Sequences whose positions run against the order of their names: the edge runs of a range must not swap."""
+    rows = [(f"s{k:02d}", 1000 * (30 - k) + i, 0, None, 9, at(i)) for k in range(30) for i in range(40)]
+    assert run(spark, rows, partitions=13) == plain(rows)
