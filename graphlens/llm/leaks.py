@@ -3,8 +3,9 @@
 The test items are the stated query set: they are taken in blocks of at most block_words words, and of
 each block a suffix automaton over folded words is built, items parted by words that no text holds.
 Documents stream past it; at every word the automaton knows the longest run that ends there and also
-stands in an item, so one pass finds runs of any length, at a cost that does not depend on the number
-of items. Documents are never shuffled; only their matches are.
+stands in an item, so one pass finds runs of any length. A run of an item is reported where it cannot
+go on in that item, also if it goes on in another; the items are looked at only there. Documents are
+never shuffled; only their matches are.
 
 Defined cases: null or empty texts and items match nothing; repeated item rows count once, a repeated
 document row gives the same matches; items shorter than min_words cannot leak unless a coverage limit
@@ -48,6 +49,7 @@ class SuffixAutomaton:
             if p > 0 and v in ends and self.length[p] >= floor:
                 ends.setdefault(p, set()).update(ends[v])
         self.items = {v: tuple(sorted(s)) for v, s in ends.items() if self.length[v] >= floor}
+        self.dropping: dict[tuple[int, int], bool] = {}  # at most one entry per transition
 
     def _extend(self, last: int, c: int) -> int:
         cur = self._state({}, self.length[last] + 1, -1)
@@ -75,18 +77,18 @@ class SuffixAutomaton:
         self.link.append(link)
         return len(self.next) - 1
 
-    def runs(self, ws: list[str]) -> Iterator[tuple[int, int, int]]:
-        """(end, length, state) of each longest run of at least floor words that cannot go on to the right."""
+    def runs(self, ws: list[str]) -> Iterator[tuple[int, int, int | None, int]]:
+        """(end, length, next word, state) wherever a match of at least floor words does not go on to the right in all items that hold it."""
         nxt, link, length, floor, get = self.next, self.link, self.length, self.floor, self.vocabulary.get
         v = n = 0
         for i, w in enumerate(ws):
             c = get(w)
             to = None if c is None else nxt[v].get(c)
+            if n >= floor and (to is None or self._drops(v, c)):
+                yield i, n, c, v
             if to is not None:
                 v, n = to, n + 1
                 continue
-            if n >= floor:
-                yield i, n, v
             if c is None:
                 v = n = 0
                 continue
@@ -96,22 +98,38 @@ class SuffixAutomaton:
             to = nxt[v].get(c)
             v, n = (to, n + 1) if to is not None else (0, 0)
         if n >= floor:
-            yield len(ws), n, v
+            yield len(ws), n, None, v
+
+    def _drops(self, v: int, c: int) -> bool:
+        """Does a step by c leave an item behind that holds the match, or a tail of it of at least floor words?"""
+        got = self.dropping.get((v, c))
+        if got is None:
+            s, got = v, False
+            while not got and s > 0 and self.length[s] >= self.floor:
+                # what holds the longer run holds the shorter one
+                got = len(self.items.get(self.next[s].get(c), ())) < len(self.items.get(s, ()))
+                s = self.link[s]
+            self.dropping[v, c] = got
+        return got
 
     def matches(self, ws: list[str], min_words: int, coverage: float | None) -> tuple[dict[int, list[int]], list[tuple[int, int]]]:
-        """{item: [longest run, words of the item's longest runs together]}, spans (first, end) in words."""
+        """{item: [longest run, number of runs that cannot go on to the right in the item]}, spans (first, end) in words."""
         found: dict[int, list[int]] = {}
         spans = []
-        for end, n, v in self.runs(ws):
+        for end, n, c, v in self.runs(ws):
             kept = 0
+            longer: set[int] = set()  # items that hold a longer run ending here
             while v > 0 and self.length[v] >= self.floor:
                 m = min(n, self.length[v])
-                for item in self.items.get(v, ()):
+                items = self.items.get(v, ())
+                on = self.items.get(self.next[v].get(c), ()) if c is not None else ()
+                for item in set(items).difference(longer, on):
                     if m >= min_words or coverage is not None and m >= coverage * self.size[item]:
                         f = found.setdefault(item, [0, 0])
                         f[0] = max(f[0], m)
                         f[1] += 1
                         kept = max(kept, m)
+                longer.update(items)
                 v = self.link[v]
             if kept:
                 spans.append((end - kept, end))

@@ -61,6 +61,44 @@ def test_coverage_and_removal(spark):
         1: ("start  end", 9), 2: ("nothing here", 0), 3: (None, 0), 4: ("a b c d", 0)}
 
 
+def longest(doc, items, floor):
+    """{item: most words in a row that the document and the item share}, from floor on."""
+    out = {}
+    for i, t in items:
+        w, text = t.split(), f" {doc} "
+        n = max((b - a for a in range(len(w)) for b in range(a + 1, len(w) + 1) if f" {' '.join(w[a:b])} " in text), default=0)
+        if n >= floor:
+            out[i] = n
+    return out
+
+
+def test_overlapping_items(spark):
+    w = [f"v{i}" for i in range(30)]
+    items = [(1, " ".join(w[:13] + ["other"])), (2, " ".join(w[:20])), (3, " ".join(["first"] + w[5:19] + ["last"])), (4, " ".join(w[2:10]))]
+    docs = [(10, " ".join(["so"] + w[:20] + ["end"])), (11, " ".join(w[:14])), (12, " ".join(w[4:20]))]
+    d, i = frames(spark, docs, items)
+    got = {(r.doc_id, r.item_id): (r.longest_run, r.n_runs) for r in leaked_items(d, i).collect()}
+    assert got == {(10, 1): (13, 1), (10, 2): (20, 1), (10, 3): (14, 1), (11, 1): (13, 1), (11, 2): (14, 1), (12, 2): (16, 1), (12, 3): (14, 1)}
+    assert (10, 4) in pairs(leaked_items(d, i, coverage=0.8))  # a short item within a longer run
+    short = spark.createDataFrame([(4, items[3][1], "s"), (2, "q " + " ".join(w[2:12]) + " z " * 40, "s")], ITEM)
+    assert {r.doc_id: r.n_removed for r in remove_leaks(d, short).collect()} == {10: 8, 11: 8, 12: 0}
+
+
+@pytest.mark.parametrize("floor", [3, 6])
+def test_runs_of_nested_items(floor):
+    r = random.Random(11)
+    text = [r.choice("abc") for _ in range(60)]
+    items = []
+    for i in range(25):
+        a = r.randrange(50)
+        items.append((i, " ".join([*text[a:a + r.randrange(3, 14)], r.choice("abcd")])))
+    auto = SuffixAutomaton([(i, t.split()) for i, t in items], floor)
+    for _ in range(60):
+        a = r.randrange(50)
+        doc = " ".join([r.choice("abcd"), *text[a:a + r.randrange(3, 25)], *(r.choice("abc") for _ in range(6))])
+        assert {i: n for i, (n, _) in auto.matches(doc.split(), floor, None)[0].items()} == longest(doc, items, floor)
+
+
 def test_automaton_states_stay_linear():
     auto = SuffixAutomaton([(1, ["a"] * 500), (2, ["a", "b"] * 250)], 13)
     assert len(auto.next) < 2 * 1100
