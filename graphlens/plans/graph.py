@@ -550,6 +550,41 @@ def dominates_count(spark, d):
     return alg.dominated_counts(roots, n, e)
 
 
+# the same over the whole call graph among definitions; too slow in SQL, tested on small graphs instead
+
+@query("call_scc")
+def call_scc(spark, d):
+    n, e = _calls_among(Graph(spark, d))
+    return alg.strong_components(n, e)
+
+
+@query("call_longest_path")
+def call_longest_path(spark, d):
+    n, e = _calls_among(Graph(spark, d))
+    e = cut(e)
+    comp = cut(alg.strong_components(n, e))
+    return alg.longest_depths(alg.root_components(comp, e), cut(alg.condensed(comp, e)))
+
+
+@query("call_reach_size")
+def call_reach_size(spark, d):
+    n, e = _calls_among(Graph(spark, d))
+    return tr.reach_sizes(n, e)
+
+
+@query("call_betweenness")
+def call_betweenness(spark, d):
+    n, e = _calls_among(Graph(spark, d))
+    return alg.betweenness(n, e).select("id", F.round("betweenness", 6).alias("betweenness"))
+
+
+@query("call_dominates_count")
+def call_dominates_count(spark, d):
+    g, ranked = _ranked(spark, d)
+    n, e = _calls_among(g)
+    return alg.dominated_counts(ranked.select("id"), n, e)
+
+
 # ---- ranking
 
 def _ranked(spark: SparkSession, d: str) -> tuple[Graph, DataFrame]:

@@ -180,3 +180,52 @@ def test_entrypoints(spark):
     assert [(r.name, r.primary, r.marker, r.is_library, r.reach) for r in marked] == [("main", True, "main", False, 3)]
     plain = entrypoints(located, calls, spark.createDataFrame([], "id long, marker string, step int")).orderBy("rank").collect()
     assert [r.name for r in plain] == ["gate", "main", "y"] and plain[0].is_library
+
+
+def test_call_graph_queries(spark, monkeypatch):
+    """The queries on the whole call graph against plain Python; edges from a larger to a smaller id and between functions count."""
+    from graphlens.plans import graph as plans
+
+    ids = list(range(1, 15))
+    pairs = {(a, b) for a, b in random_pairs(5, 14, 22) if a in ids and b in ids} | {(9, 3), (3, 9)}
+    frame = graph(spark, sorted(pairs))
+    monkeypatch.setattr(plans, "Graph", lambda s, d: None)
+    monkeypatch.setattr(plans, "_calls_among", lambda g: (nodes(spark, ids), frame))
+    monkeypatch.setattr(plans, "_ranked", lambda s, d: (None, nodes(spark, [1, 2])))
+    out = {v: {b for a, b in pairs if a == v and b != v} for v in ids}
+
+    def reach(starts, without=None):
+        seen, todo = set(), [v for v in starts if v != without]
+        while todo:
+            v = todo.pop()
+            if v not in seen:
+                seen.add(v)
+                todo += [w for w in out[v] if w != without]
+        return seen
+
+    to = {v: reach([v]) for v in ids}
+    comp = {v: min(w for w in to[v] if v in to[w]) for v in ids}
+    ask = lambda q, k, v: as_dict(plans.QUERIES[q](spark, ""), k, v)
+    assert ask("call_scc", "id", "comp") == comp
+    assert ask("call_reach_size", "id", "reach") == {v: len(to[v]) - 1 for v in ids}
+    into = {c: {comp[a] for a, b in pairs if comp[b] == c != comp[a]} for c in comp.values()}
+    depth = lambda c: max((depth(x) + 1 for x in into[c]), default=0)
+    assert ask("call_longest_path", "comp", "depth") == {c: depth(c) for c in into}
+    every = reach([1, 2])
+    assert ask("call_dominates_count", "id", "dominates") == {v: len(every) - 1 - len(reach([1, 2], v)) if v in every else 0 for v in ids}
+
+    def paths(s, t):
+        front, level = [[s]], []
+        while front and not level:
+            level = [p for p in front if p[-1] == t]
+            front = [p + [w] for p in front for w in out[p[-1]] if w not in p]
+        return level
+
+    score = dict.fromkeys(ids, 0.0)
+    for s in ids:
+        for t in to[s] - {s}:
+            ps = paths(s, t)
+            for p in ps:
+                for v in p[1:-1]:
+                    score[v] += 1 / len(ps)
+    assert ask("call_betweenness", "id", "betweenness") == pytest.approx(score, abs=1e-5)
