@@ -190,7 +190,9 @@ def function_table(symbols: DataFrame, file_text: DataFrame, files: DataFrame, w
     placed = skew_join(funcs, texts, "file_id", ["symbol_id", "line_start"]).where(F.col("line_start") <= F.size("lines"))
     start = F.greatest(F.col("line_start"), F.lit(1)).cast("int")
     last = F.greatest(start, F.coalesce(F.col("line_end"), F.col("line_start")).cast("int"))
-    declaration = F.array_join(F.slice("lines", start, F.lit(declaration_lines)), "\n")
+    # to the end of the symbol, or of the file where that is not known: the parameters may take any number of lines
+    span = F.when(F.col("line_end").isNull(), F.size("lines")).otherwise(F.greatest(last - start + 1, F.lit(declaration_lines)))
+    declaration = F.array_join(F.slice("lines", start, span), "\n")
     path = F.coalesce("path", F.concat(F.lit("?"), F.col("file_id").cast("string")))
     text = [F.col("docstring"), F.array_join(F.slice("lines", start, last - start + 1), "\n").alias("code")] if with_text else []
     taken = placed.select(

@@ -51,3 +51,16 @@ def test_pairs(spark):
     lean = documented_functions(spark.createDataFrame(rows, SYM), texts, files, with_text=False)
     assert {(r.symbol_id, r.described_by) for r in lean.collect()} == {(i, r.described_by) for i, r in out.items()}
     assert documented_functions(spark.createDataFrame([], SYM), texts, files).collect() == []
+
+
+@pytest.mark.parametrize("ends", [True, False])
+def test_long_declarations(spark, ends):
+    """Overloads that differ after many lines of parameters are two."""
+    def text(tail):
+        return "def f(\n" + "".join(f"    a{k},\n" for k in range(12)) + f"    {tail},\n):\n    return 1\n"
+
+    files = spark.createDataFrame([(1, "r/a.pyi"), (2, "r/a.py")], "id long, path string")
+    texts = spark.createDataFrame([(1, text("first")), (2, text("second"))], "file_id long, content string")
+    rows = [sym(1, 1, "f", 1, 16 if ends else None, "Says more than its name."), sym(2, 2, "f", 1, 16 if ends else None, "TODO")]
+    out = documented_functions(spark.createDataFrame(rows, SYM), texts, files).collect()
+    assert {(r.symbol_id, r.signature.split(",")[-1]) for r in out} == {(1, "first")}
