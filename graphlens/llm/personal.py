@@ -154,7 +154,9 @@ _MAILBOX = r"[A-Za-z0-9][\w.+%-]*"
 _EMAIL = re.compile(_EDGE + rf"{_MAILBOX}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}", re.A)
 _AT = r"(?: ?[\[({<] ?at ?[\])}>] ?| at |@| @ )"
 _DOT = r"(?: ?[\[({<] ?dot ?[\])}>] ?| dot |\.| \. )"
-_DISGUISED = re.compile(_EDGE + rf"({_MAILBOX})({_AT})((?:[A-Za-z0-9-]+{_DOT})+?[A-Za-z]{{2,}})(?=$|[^\w.@-]|[.-](?:\W|$))(?! ?[\[({{<] ?dot| dot )", re.I | re.A)
+# the local part may spell its dots too
+_SPOKEN_MAILBOX = rf"{_MAILBOX}(?:(?: ?[\[({{<] ?dot ?[\])}}>] ?| dot ){_MAILBOX})*"
+_DISGUISED = re.compile(_EDGE + rf"({_SPOKEN_MAILBOX})({_AT})((?:[A-Za-z0-9-]+{_DOT})+?[A-Za-z]{{2,}})(?=$|[^\w.@-]|[.-](?:\W|$))(?! ?[\[({{<] ?dot| dot )", re.I | re.A)
 _NO_MAILBOX = re.compile(r"(?:\w+://\S*|(?:git|ssh|scp|rsync)[+:]\S*)$", re.I)
 # Top domains that a mailbox spelled in words may end in.
 _SPOKEN_DOMAINS = frozenset(

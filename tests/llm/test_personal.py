@@ -66,3 +66,9 @@ def test_frames(spark):
     assert {r.pii_type for r in find_personal(docs, lex.limit(0)).collect()} == {"email"}
     with pytest.raises(ValueError):
         find_personal(docs, lex, max_names=3)
+
+
+@pytest.mark.parametrize("text, value", [
+    ("write john dot doe at example dot com.", "john dot doe at example dot com"), ("(j [dot] p [dot] doe [at] mail [dot] example [dot] org)", "j [dot] p [dot] doe [at] mail [dot] example [dot] org")])
+def test_spelled_local_part(text, value):
+    assert got(text) == {("email", value)}
