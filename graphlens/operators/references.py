@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphlens.operators.heavy_keys import ROWS_PER_TASK, hot_keys, skew_join
+
 
 @dataclass(frozen=True)
 class ForeignKey:
@@ -47,40 +49,43 @@ def parent_lifetimes(parents: DataFrame, removals: DataFrame, id_col: str = "id"
 
 
 def reference_rows(keys: list[ForeignKey]) -> DataFrame:
-    """Non-null references of all child tables: table_name, field, row_key, ref_key, ref_at."""
-    out = None
+    """Non-null references of all child tables: table_name, field, row_key, ref_key, ref_at; each table is scanned once for all its keys."""
+    tables: list[tuple[DataFrame, list[ForeignKey]]] = []
     for k in keys:
-        part = k.rows.select(
-            F.lit(k.table_name).alias("table_name"), F.lit(k.field).alias("field"),
-            k.row_key.alias("row_key"), k.key.alias("ref_key"), k.at.alias("ref_at"),
-        ).where(F.col("ref_key").isNotNull())
+        same = [ks for rows, ks in tables if rows is k.rows]
+        if same:
+            same[0].append(k)
+        else:
+            tables.append((k.rows, [k]))
+    out = None
+    for rows, ks in tables:
+        refs = F.explode(F.array(*[F.struct(
+            F.lit(k.table_name).alias("table_name"), F.lit(k.field).alias("field"), k.row_key.alias("row_key"), k.key.alias("ref_key"), k.at.alias("ref_at")) for k in ks]))
+        part = rows.select(refs.alias("r")).select("r.*").where(F.col("ref_key").isNotNull())
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no foreign keys given")
     return out
 
 
-def orphan_references(keys: list[ForeignKey], lifetimes: DataFrame, salts: int = 8) -> DataFrame:
+def orphan_references(keys: list[ForeignKey], lifetimes: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Distinct orphan references: table_name, field, row_key, ref_key, ref_at.
 
-    The rows of a key are spread over salts partitions when the suspects are joined back, so a target
-    with a third of all rows is not one task's work; only the suspects, one row per key, are repeated.
+    The distinct keys carry the number of their rows, so a suspect that more than rows_per_task rows
+    refer to is known when the suspects are joined back: only its rows are spread over several tasks.
     """
     refs = reference_rows(keys)
     used = refs.groupBy("ref_key").agg(
-        F.min("ref_at").alias("first_used"), F.max(F.col("ref_at").isNull()).alias("undated")
-    )
+        F.min("ref_at").alias("first_used"), F.max(F.col("ref_at").isNull()).alias("undated"), F.count(F.lit(1)).alias("n_refs"))
     live = lifetimes.select(F.col("ref_key").alias("live_key"), "valid_from")
     covered = (F.col("ref_key") == F.col("live_key")) & (F.col("valid_from") <= F.col("first_used")) & ~F.col("undated")
-    suspects = used.join(live, covered, "left_anti").select("ref_key")
+    suspects = used.join(live, covered, "left_anti").select("ref_key", "n_refs")
+    hot = hot_keys(suspects, "ref_key", "n_refs", rows_per_task)
     # a suspect may still have a parent that appeared late: its rows from then on are sound
-    suspects = suspects.join(live, F.col("ref_key") == F.col("live_key"), "left").select(
-        F.col("ref_key").alias("suspect_key"), "valid_from", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("suspect_salt")
-    )
-    salt = F.pmod(F.xxhash64("row_key"), F.lit(salts)).cast("int")
+    dated = suspects.join(live, F.col("ref_key") == F.col("live_key"), "left").select("ref_key", "valid_from")
     unsound = F.col("valid_from").isNull() | F.col("ref_at").isNull() | (F.col("ref_at") < F.col("valid_from"))
     return (
-        refs.join(suspects, (F.col("ref_key") == F.col("suspect_key")) & (salt == F.col("suspect_salt")))
+        skew_join(refs, dated, "ref_key", ["table_name", "field", "row_key"], "inner", rows_per_task, hot)
         .where(unsound)
         .select("table_name", "field", "row_key", "ref_key", "ref_at")
         .distinct()

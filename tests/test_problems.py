@@ -114,3 +114,38 @@ def test_skew_join(spark, skewed):
     got = Counter((r.k, r.n, r.d) for r in skew_join(df, dims, "k", ["n", "id"], rows_per_task=100).collect())
     assert got == Counter((k, n, f"d{k}") for _, k, _, n in rows if k % 2 == 0)
     assert skew_join(df.withColumn("k", F.lit(None).cast("long")), dims, "k", ["n"]).count() == 0
+
+
+def test_hot_reference_targets(spark):
+    """Suspects that many rows refer to are split; the result does not change."""
+    r = random.Random(6)
+    edge = [(i, r.randrange(5), 9 if r.random() < .5 else r.randrange(12), "k", T[r.randrange(28)], None, None) for i in range(400)]
+    s, t, e, c = tables(spark, sym=[(i, T[3 * i], "n") for i in range(6)], edge=edge)
+    ask = lambda n: {tuple(x) for x in orphan_references(code_graph_keys(e, c), parent_lifetimes(s, t), n).collect()}
+    assert ask(10) == ask(1_000_000) and len(ask(10)) > 200
+
+
+def test_only_boundary_keys_are_stitched(spark):
+    df = spark.createDataFrame([(i % 97 if i % 2 else 5, i) for i in range(4000)], "k long, i long")
+    from graphlens.operators import heavy_keys as hk
+
+    rows = hk.spread(df, ["k"], ["i"], 8).sortWithinPartitions("k", "i").mapInArrow(hk._range_states(["k"], ["i"]), "k long, n long, edge boolean")
+    assert rows.where("edge").count() <= 16 and rows.agg(F.sum("n")).first()[0] == 4000
+
+
+def test_nan_and_text_keys(spark):
+    df = spark.createDataFrame([(float("nan"), "a", 1), (float("nan"), "a", 2), (None, None, 3), (None, None, 3), (1.0, "", 4)], "x double, s string, i long")
+    got = sorted(((str(r.x), r.s, r.n) for r in balanced_distinct_counts(df, ["x", "s"], ["i"], 3).collect()), key=str)
+    assert got == [("1.0", "", 1), ("None", None, 1), ("nan", "a", 2)]
+
+
+def test_skew_semi_and_anti(spark):
+    facts = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 100), (3, 101), (None, 102)], "k long, i long")
+    dims = spark.createDataFrame([(1,), (3,)], "k long")
+    assert skew_join(facts, dims, "k", ["i"], "left_semi", 10).count() == 51
+    assert {r.i for r in skew_join(facts, dims, "k", ["i"], "left_anti", 10).collect()} == {100, 102}
+
+
+def test_global_row_number(spark):
+    df = spark.createDataFrame([(i * 7 % 101, str(i)) for i in range(101)], "x long, s string")
+    assert {(r.x, r.position) for r in balanced_row_number(df, [], [F.desc("x"), "s"], partitions=6).collect()} == {(x, 101 - x) for x in range(101)}
