@@ -1,99 +1,119 @@
 """Whole-graph algorithms: components, longest paths, betweenness, dominators.
 
-As in the traversals, a graph of at most max_edges edges (checked first) is worked on in tasks that
-hold its edges; larger graphs go through DataFrame loops where the algorithm has one.
+As in the traversals, a graph of at most max_edges edges (counted first) is worked on in tasks that hold
+its edges as arrays; larger graphs go through DataFrame loops. Both give the same rows.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.operators.traverse import MAX_EDGES, bfs, small
+from graphlens.operators.heavy_keys import skew_join
+from graphlens.operators.traverse import MAX_EDGES, Adjacency, bfs, bounded, induced, reversed_, simple_edges
 from graphlens.session import cut
 
+TRIMS = 3  # rounds of taking off nodes that lie on no cycle before components are coloured
 
-def tarjan(nodes: list[int], out: dict[int, list[int]]) -> dict[int, int]:
-    """Component of each node, named by its smallest member; iterative."""
-    index: dict[int, int] = {}
-    low: dict[int, int] = {}
-    on: set[int] = set()
+
+def tarjan(nodes: Iterable[int], out: list[list[int]]) -> list[int]:
+    """Component of each of the nodes 0.., named by its smallest member; iterative."""
+    index, low, comp = [-1] * len(out), [0] * len(out), [-1] * len(out)
     stack: list[int] = []
-    comp: dict[int, int] = {}
+    count = 0
     for root in nodes:
-        if root in index:
+        if index[root] >= 0:
             continue
-        work = [(root, iter(out.get(root, ())))]
-        index[root] = low[root] = len(index)
+        work = [(root, iter(out[root]))]
+        index[root] = low[root] = count
+        count += 1
         stack.append(root)
-        on.add(root)
         while work:
             v, it = work[-1]
             for w in it:
-                if w not in index:
-                    index[w] = low[w] = len(index)
+                if index[w] < 0:
+                    index[w] = low[w] = count
+                    count += 1
                     stack.append(w)
-                    on.add(w)
-                    work.append((w, iter(out.get(w, ()))))
+                    work.append((w, iter(out[w])))
                     break
-                if w in on:
+                if comp[w] < 0:
                     low[v] = min(low[v], index[w])
             else:
                 work.pop()
                 if work:
                     low[work[-1][0]] = min(low[work[-1][0]], low[v])
                 if low[v] == index[v]:
-                    members = []
-                    while True:
-                        w = stack.pop()
-                        on.discard(w)
-                        members.append(w)
-                        if w == v:
-                            break
+                    members = [stack.pop()]
+                    while members[-1] != v:
+                        members.append(stack.pop())
                     name = min(members)
                     for w in members:
                         comp[w] = name
     return comp
 
 
+def _one_task(shared, work, schema: str, spark) -> DataFrame:
+    """Rows of work(src, dst), run in one task on the edges of a bounded graph (see traverse.bounded)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in frames:
+            yield work(*shared.value)
+
+    return spark.range(0, 1, 1, 1).mapInPandas(run, schema)
+
+
+def _among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct edges between nodes (id), without those from a node to itself; written once."""
+    return simple_edges(induced(edges.select("src_id", "dst_id").where("src_id <> dst_id"), nodes))
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
-    """(id, comp): comp is the smallest id of the strongly connected component; a lone node is its own."""
+    """(id, comp): comp is the smallest id of the strongly connected component; a lone node is its own. Ends of edges are nodes."""
     spark = nodes.sparkSession
-    ids = nodes.select("id").distinct()
-    e = edges.select("src_id", "dst_id").where("src_id <> dst_id").distinct()
-    pairs = small(e, max_edges)
-    if pairs is not None:
-        out: dict[int, list[int]] = {}
-        for a, b in pairs:
-            out.setdefault(a, []).append(b)
-        comp = tarjan(sorted({x for p in pairs for x in p}), out)
-        cyclic = [(int(v), int(c)) for v, c in comp.items() if v != c]
-        moved = spark.createDataFrame(cyclic, "id long, comp long")
+    ids = nodes.select("id").where("id is not null").distinct()
+    e = simple_edges(edges.where("src_id <> dst_id"))
+    shared = bounded(e, max_edges)
+    if shared is not None:
+
+        def work(src: np.ndarray, dst: np.ndarray) -> pd.DataFrame:
+            g = Adjacency(src, dst)
+            comp = tarjan(range(len(g.ids)), g.neighbours())
+            moved = [(g.ids[v], g.ids[c]) for v, c in enumerate(comp) if v != c]
+            return pd.DataFrame(moved, columns=["id", "comp"], dtype="int64")
+
+        moved = _one_task(shared, work, "id long, comp long", spark)
         return ids.join(moved, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+    # nodes without a way in or out are components of their own; taking them off leaves the core
+    for _ in range(TRIMS):
+        both = e.select(F.col("src_id").alias("id")).distinct().join(e.select(F.col("dst_id").alias("id")).distinct(), "id", "left_semi")
+        e = cut(induced(e, both))
     # colouring: the smallest id that reaches a node is its colour; within a colour, what reaches the colour's node back is a component
-    left, edges_left, done = cut(ids), cut(e), None
-    while not edges_left.isEmpty():
+    left, done = cut(e.select(F.explode(F.array("src_id", "dst_id")).alias("id")).distinct()), None
+    while not e.isEmpty():
         colour = cut(left.select("id", F.col("id").alias("colour")))
         while True:
-            best = edges_left.join(colour, F.col("src_id") == F.col("id")).groupBy("dst_id").agg(F.min("colour").alias("c"))
-            nxt = cut(colour.join(best, F.col("id") == F.col("dst_id"), "left").select("id", F.least("colour", F.coalesce("c", "colour")).alias("colour")))
-            changed = nxt.join(colour.withColumnRenamed("colour", "was"), "id").where("colour <> was").isEmpty()
-            colour = nxt
-            if changed:
+            best = skew_join(e, colour.withColumnRenamed("id", "src_id"), "src_id", ["dst_id"]).groupBy("dst_id").agg(F.min("colour").alias("c"))
+            nxt = cut(colour.join(best, F.col("id") == F.col("dst_id"), "left").select("id", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") < F.col("colour")).alias("moved")))
+            colour = nxt.select("id", "colour")
+            if nxt.where("moved").isEmpty():
                 break
-        same = edges_left.join(colour.select(F.col("id").alias("src_id"), F.col("colour").alias("a")), "src_id").join(
-            colour.select(F.col("id").alias("dst_id"), F.col("colour").alias("b")), "dst_id").where("a = b")
-        back = bfs(colour.where("id = colour").select(F.col("id").alias("origin"), F.col("id").alias("node")), same.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id")), None, 0)
+        a = colour.select(F.col("id").alias("src_id"), F.col("colour").alias("a"))
+        b = colour.select(F.col("id").alias("dst_id"), F.col("colour").alias("b"))
+        same = skew_join(skew_join(e, a, "src_id", ["dst_id"]), b, "dst_id", ["src_id"]).where("a = b")
+        back = bfs(colour.where("id = colour").select(F.col("id").alias("origin"), F.col("id").alias("node")), reversed_(same), None, 0)
         found = cut(back.select(F.col("node").alias("id"), F.col("origin").alias("comp")))
-        done = found if done is None else done.unionByName(found)
+        done = found if done is None else cut(done.unionByName(found))
         left = cut(left.join(found, "id", "left_anti"))
-        edges_left = cut(edges_left.join(left.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(left.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi"))
-    rest = left.select("id", F.col("id").alias("comp"))
-    return rest if done is None else done.unionByName(rest)
+        e = cut(induced(e, left))
+    if done is None:
+        return ids.select("id", F.col("id").alias("comp"))
+    return ids.join(done, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
 def in_cycle(nodes: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
@@ -108,7 +128,8 @@ def condensed(comp: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct edges between components."""
     a = comp.select(F.col("id").alias("src_id"), F.col("comp").alias("src_comp"))
     b = comp.select(F.col("id").alias("dst_id"), F.col("comp").alias("dst_comp"))
-    return edges.select("src_id", "dst_id").join(a, "src_id").join(b, "dst_id").where("src_comp <> dst_comp").select("src_comp", "dst_comp").distinct()
+    ends = skew_join(skew_join(edges.select("src_id", "dst_id"), a, "src_id", ["dst_id"]), b, "dst_id", ["src_id"])
+    return ends.where("src_comp <> dst_comp").select("src_comp", "dst_comp").distinct()
 
 
 def root_components(comp: DataFrame, edges: DataFrame) -> DataFrame:
@@ -117,122 +138,127 @@ def root_components(comp: DataFrame, edges: DataFrame) -> DataFrame:
     return comp.select("comp").distinct().join(entered, "comp", "left_anti")
 
 
-def longest_depths(roots: DataFrame, dag: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def longest_depths(roots: DataFrame, dag: DataFrame, max_rounds: int = 100_000, max_edges: int = MAX_EDGES) -> DataFrame:
     """(comp, depth): most hops from any root (comp) over an acyclic (src_comp, dst_comp); unreached ones are absent."""
-    pairs = small(dag)
     spark = roots.sparkSession
-    if pairs is not None:
-        out: dict[int, list[int]] = {}
-        for a, b in pairs:
-            out.setdefault(a, []).append(b)
-        start = [r[0] for r in roots.select("comp").distinct().toLocalIterator()]
-        reach, queue = set(start), deque(start)
-        while queue:
-            for w in out.get(queue.popleft(), ()):
-                if w not in reach:
-                    reach.add(w)
-                    queue.append(w)
-        indegree = dict.fromkeys(reach, 0)
-        for v in reach:
-            for w in out.get(v, ()):
-                indegree[w] += 1
-        depth = dict.fromkeys(start, 0)
-        queue = deque(v for v in reach if indegree[v] == 0)
-        while queue:
-            v = queue.popleft()
-            for w in out.get(v, ()):
-                depth[w] = max(depth.get(w, 0), depth[v] + 1)
-                indegree[w] -= 1
-                if indegree[w] == 0:
-                    queue.append(w)
-        return spark.createDataFrame([(int(v), int(d)) for v, d in depth.items()], "comp long, depth int")
+    roots = roots.select("comp").where("comp is not null").distinct()
+    e = simple_edges(dag.select(F.col("src_comp").alias("src_id"), F.col("dst_comp").alias("dst_id")))
+    # only what the roots lead to counts
+    reached = cut(bfs(roots.select(F.lit(0).alias("origin"), F.col("comp").alias("node")), e, None, max_edges).select(F.col("node").alias("id")))
+    e = cut(e.join(reached.withColumnRenamed("id", "src_id"), "src_id", "left_semi"))
+    shared = bounded(e, max_edges)
+    if shared is not None:
+
+        def work(src: np.ndarray, dst: np.ndarray) -> pd.DataFrame:
+            g = Adjacency(src, dst)
+            into = np.bincount(g.to, minlength=len(g.ids))
+            depth = np.zeros(len(g.ids), np.int32)
+            layer, d = np.flatnonzero(into == 0), 0
+            # a node is taken off with the last of its ways in, so it is met at its greatest depth
+            while len(layer):
+                depth[layer] = d
+                hit, n = np.unique(g.targets(layer), return_counts=True)
+                into[hit] -= n
+                layer, d = hit[into[hit] == 0], d + 1
+            if into.any():
+                raise ValueError("the graph is not acyclic")
+            return pd.DataFrame({"comp": g.ids, "deep": depth})
+
+        deep = _one_task(shared, work, "comp long, deep int", spark)
+        return reached.select(F.col("id").alias("comp")).join(deep, "comp", "left").select("comp", F.coalesce("deep", F.lit(0)).alias("depth"))
     front = cut(roots.select("comp", F.lit(0).alias("depth")))
     best = front
     for hop in range(1, max_rounds):
-        front = cut(front.join(dag, F.col("comp") == F.col("src_comp")).select(F.col("dst_comp").alias("comp"), F.lit(hop).alias("depth")).distinct())
+        step = skew_join(e, front.select(F.col("comp").alias("src_id")), "src_id", ["dst_id"])
+        front = cut(step.select(F.col("dst_id").alias("comp"), F.lit(hop).alias("depth")).distinct())
         if front.isEmpty():
             return best
         best = cut(best.join(front.select("comp"), "comp", "left_anti").unionByName(front))
-    raise RuntimeError("the graph is not acyclic")
+    raise ValueError("the graph is not acyclic")
 
 
 def main_spine(entry: DataFrame, nodes: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     """(id, layer, in_cycle): the longest chain of components that entry (id) leads to, members expanded.
 
-    Ties take the smallest component; an entry that is not among nodes gives no rows.
+    Ties take the smallest component; an entry that is not among nodes gives no rows. The chain is found
+    by doubling: with jumps of 1, 2, 4, ... steps back, every round doubles the part that is known.
     """
-    spark = nodes.sparkSession
-    inner = edges.select("src_id", "dst_id").join(nodes.select(F.col("id").alias("src_id")), "src_id", "left_semi").join(nodes.select(F.col("id").alias("dst_id")), "dst_id", "left_semi")
+    inner = cut(induced(edges.select("src_id", "dst_id"), nodes))
     flags = cut(in_cycle(nodes, inner, max_edges))
     dag = cut(condensed(flags, inner))
     roots = flags.join(entry.select("id").distinct(), "id", "left_semi").select("comp").distinct()
-    depths = cut(longest_depths(roots, dag))
-    last = depths.orderBy(F.desc("depth"), "comp").first()
-    chain = []
-    if last is not None:
-        comp, depth = last.comp, last.depth
-        chain = [(comp, depth)]
-        while depth > 0:  # one small lookup per hop of the chain
-            before = (dag.where(F.col("dst_comp") == comp).join(depths, F.col("src_comp") == F.col("comp"))
-                      .where(F.col("depth") == depth - 1).agg(F.min("src_comp").alias("c")).first().c)
-            comp, depth = before, depth - 1
-            chain.append((comp, depth))
-    picked = spark.createDataFrame(chain, "comp long, layer int")
-    return flags.join(F.broadcast(picked), "comp").select("id", "layer", "in_cycle")  # the chain is as long as the longest path
-
-
-def betweenness(nodes: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES, partitions: int = 64) -> DataFrame:
+    depths = cut(longest_depths(roots, dag, max_edges=max_edges))
+    # of the ways in from one level above, the smallest component
+    above = depths.select(F.col("comp").alias("src_comp"), (F.col("depth") + 1).alias("next"))
+    here = depths.select(F.col("comp").alias("dst_comp"), "depth")
+    back = cut(dag.join(above, "src_comp").join(here, "dst_comp").where("next = depth").groupBy(F.col("dst_comp").alias("comp")).agg(F.min("src_comp").alias("before")))
+    chain = cut(depths.orderBy(F.desc("depth"), "comp").limit(1))
+    steps, longest = 1, chain.agg(F.max("depth")).first()[0] or 0
+    while steps <= longest:
+        further = chain.select("comp").join(back, "comp").select(F.col("before").alias("comp"))
+        chain = cut(chain.unionByName(depths.join(further, "comp", "left_semi")).distinct())
+        back = cut(back.join(back.select(F.col("comp").alias("before"), F.col("before").alias("far")), "before").select("comp", F.col("far").alias("before")))
+        steps *= 2
+    return flags.join(chain.select("comp", F.col("depth").alias("layer")), "comp").select("id", "layer", "in_cycle")
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES, block: int = 4096) -> DataFrame:
     """(id, betweenness): directed, unweighted, not normalised, end points excluded.
 
     Sources are spread over tasks that hold the edges; their dependency sums are added up per node. A
-    graph above max_edges goes level by level through joins instead.
+    graph above max_edges goes level by level through joins, in blocks of sources, so that the (source,
+    node) pairs of one block exist at a time.
     """
-    ids = nodes.select("id").distinct()
-    e = edges.select("src_id", "dst_id").where("src_id <> dst_id").distinct()
-    e = e.join(ids.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi").select("src_id", "dst_id")
-    pairs = small(e, max_edges)
-    if pairs is None:
-        partial = _betweenness_by_joins(ids, e)
+    ids = nodes.select("id").where("id is not null").distinct()
+    e = _among(edges, ids)
+    sources = e.select(F.col("src_id").alias("id")).distinct()
+    shared = bounded(e, max_edges)
+    if shared is None:
+        sources = cut(sources)
+        blocks = max(1, -(-sources.count() // block))
+        parts = [cut(_betweenness_by_joins(sources.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k), e)) for k in range(blocks)]
+        partial = reduce(DataFrame.unionByName, parts)
     else:
-        shared = ids.sparkSession.sparkContext.broadcast(pairs)  # at most max_edges pairs
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            out: dict[int, list[int]] = {}
-            for a, b in shared.value:
-                out.setdefault(a, []).append(b)
-            total: dict[int, float] = {}
+            g = Adjacency(*shared.value)
+            out = g.neighbours()
+            total = np.zeros(len(g.ids))
             for pdf in frames:
-                for s in pdf["id"].tolist():
+                for s in g.index(pdf["id"].to_numpy(np.int64))[0].tolist():
                     dist, paths, order, before = {s: 0}, {s: 1.0}, [s], {}
                     for v in order:
-                        for w in out.get(v, ()):
-                            if w not in dist:
-                                dist[w] = dist[v] + 1
+                        far = dist[v] + 1
+                        for w in out[v]:
+                            d = dist.get(w)
+                            if d is None:
+                                d = dist[w] = far
                                 order.append(w)
-                            if dist[w] == dist[v] + 1:
-                                paths[w] = paths.get(w, 0.0) + paths[v]
-                                before.setdefault(w, []).append(v)
+                                paths[w], before[w] = 0.0, []
+                            if d == far:
+                                paths[w] += paths[v]
+                                before[w].append(v)
                     share = dict.fromkeys(order, 0.0)
-                    for w in reversed(order):
-                        for v in before.get(w, ()):
-                            share[v] += paths[v] / paths[w] * (1 + share[w])
-                        if w != s and share[w]:
-                            total[w] = total.get(w, 0.0) + share[w]
-            if total:
-                yield pd.DataFrame({"id": list(total), "score": list(total.values())})
-
-        sources = e.select(F.col("src_id").alias("id")).distinct()
-        partial = sources.repartition(partitions, "id").mapInPandas(run, "id long, score double")
+                    for w in reversed(order[1:]):
+                        part = (1 + share[w]) / paths[w]
+                        for v in before[w]:
+                            share[v] += paths[v] * part
+                        total[w] += share[w]
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"id": g.ids[at], "score": total[at]})
+
+        tasks = 4 * ids.sparkSession.sparkContext.defaultParallelism
+        partial = sources.repartition(tasks, "id").mapInPandas(run, "id long, score double")
     summed = partial.groupBy("id").agg(F.sum("score").alias("betweenness"))
     return ids.join(summed, "id", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
-def _betweenness_by_joins(ids: DataFrame, e: DataFrame) -> DataFrame:
-    e = cut(e)
-    layers = [cut(e.select(F.col("src_id").alias("s")).distinct().select("s", F.col("s").alias("v"), F.lit(1.0).alias("paths")))]
+def _betweenness_by_joins(sources: DataFrame, e: DataFrame) -> DataFrame:
+    """(id, score) of paths from sources (id) over e."""
+    layers = [cut(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))]
     seen = layers[0].select("s", "v")
     while True:
-        step = layers[-1].join(e, F.col("v") == F.col("src_id")).groupBy("s", F.col("dst_id").alias("v")).agg(F.sum("paths").alias("paths"))
+        step = skew_join(e, layers[-1].withColumnRenamed("v", "src_id"), "src_id", ["dst_id"]).groupBy("s", F.col("dst_id").alias("v")).agg(F.sum("paths").alias("paths"))
         nxt = cut(step.join(seen, ["s", "v"], "left_anti"))
         if nxt.isEmpty():
             break
@@ -245,67 +271,104 @@ def _betweenness_by_joins(ids: DataFrame, e: DataFrame) -> DataFrame:
         part = far.select("v", "share")
         total = part if total is None else total.unionByName(part)
         w = far.select(F.col("s").alias("s2"), F.col("v").alias("w"), F.col("paths").alias("pw"), "share")
-        near = layers[k - 1].join(e, F.col("v") == F.col("src_id")).join(w, (F.col("dst_id") == F.col("w")) & (F.col("s") == F.col("s2")))
-        share = cut(near.groupBy("s", "v").agg(F.sum(F.col("paths") / F.col("pw") * (1 + F.col("share"))).alias("share")))
+        near = skew_join(e, layers[k - 1].withColumnRenamed("v", "src_id"), "src_id", ["dst_id"]).join(w, (F.col("dst_id") == F.col("w")) & (F.col("s") == F.col("s2")))
+        share = cut(near.groupBy("s", F.col("src_id").alias("v")).agg(F.sum(F.col("paths") / F.col("pw") * (1 + F.col("share"))).alias("share")))
     if total is None:
-        return ids.select("id", F.lit(0.0).alias("score")).limit(0)
+        return sources.select("id", F.lit(0.0).alias("score")).limit(0)
     return total.select(F.col("v").alias("id"), F.col("share").alias("score"))
 
 
 def dominated_counts(roots: DataFrame, nodes: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     """(id, dominates): size of each node's dominator subtree less itself, under a virtual root above roots (id).
 
-    Unreached nodes have 0. Needs the edges in one place, so above max_edges it raises.
+    Unreached nodes have 0. Up to max_edges edges one task climbs the dominator tree; beyond, dominator
+    sets are held as (node, dominator) pairs and intersected over the ways in until nothing changes.
     """
-    ids = nodes.select("id").distinct()
-    e = edges.select("src_id", "dst_id").where("src_id <> dst_id").distinct()
-    e = e.join(ids.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi").select("src_id", "dst_id")
-    pairs = small(e, max_edges)
-    if pairs is None:
-        raise ValueError(f"dominators need a graph of at most max_edges={max_edges} edges")
-    out: dict[int, list[int]] = {-1: []}
-    for a, b in pairs:
-        out.setdefault(a, []).append(b)
-    out[-1] = [r[0] for r in roots.join(ids, "id", "left_semi").select("id").distinct().orderBy("id").toLocalIterator()]
-    order, seen, work = [], {-1}, [(-1, iter(out[-1]))]
+    ids = nodes.select("id").where("id is not null").distinct()
+    roots = cut(roots.select("id").distinct().join(ids, "id", "left_semi"))
+    e = _among(edges, ids)
+    shared = bounded(e, max_edges)
+    if shared is None:
+        counted = _dominated_by_joins(roots, e)
+    else:
+        # the virtual root's edges are bounded like the others
+        top = bounded(roots.select(F.lit(0).cast("long").alias("src_id"), F.col("id").alias("dst_id")), max_edges)
+        if top is None:
+            counted = _dominated_by_joins(roots, e)
+        else:
+            counted = _one_task(shared, lambda src, dst: _dominated_in_task(top.value[1], src, dst), "id long, dominates long", ids.sparkSession)
+    return ids.join(counted, "id", "left").select("id", F.coalesce("dominates", F.lit(0).cast("long")).alias("dominates"))
+
+
+def _dominated_in_task(starts: np.ndarray, src: np.ndarray, dst: np.ndarray) -> pd.DataFrame:
+    ids = np.unique(np.concatenate([starts, src, dst]))
+    root = len(ids)
+    out: list[list[int]] = [[] for _ in range(root + 1)]
+    for a, b in zip(np.searchsorted(ids, src).tolist(), np.searchsorted(ids, dst).tolist()):
+        out[a].append(b)
+    out[root] = np.searchsorted(ids, np.sort(starts)).tolist()
+    order: list[int] = []
+    seen = [False] * (root + 1)
+    seen[root] = True
+    work = [(root, iter(out[root]))]
     while work:
         v, it = work[-1]
         for w in it:
-            if w not in seen:
-                seen.add(w)
-                work.append((w, iter(out.get(w, ()))))
+            if not seen[w]:
+                seen[w] = True
+                work.append((w, iter(out[w])))
                 break
         else:
             work.pop()
             order.append(v)
-    rank = {v: i for i, v in enumerate(order)}
-    into: dict[int, list[int]] = {}
+    rank = [-1] * (root + 1)
+    for i, v in enumerate(order):
+        rank[v] = i
+    into: list[list[int]] = [[] for _ in range(root + 1)]
     for v in order:
-        for w in out.get(v, ()):
-            into.setdefault(w, []).append(v)
-    idom = {-1: -1}
+        for w in out[v]:
+            into[w].append(v)
+    idom = [-1] * (root + 1)
+    idom[root] = root
     changed = True
     while changed:
         changed = False
         for v in reversed(order[:-1]):
-            new = None
-            for p in into.get(v, ()):
-                if p in idom:
-                    if new is None:
-                        new = p
-                    else:
-                        a, b = p, new
-                        while a != b:
-                            while rank[a] < rank[b]:
-                                a = idom[a]
-                            while rank[b] < rank[a]:
-                                b = idom[b]
-                        new = a
-            if idom.get(v) != new:
-                idom[v] = new
-                changed = True
-    size = dict.fromkeys(order, 0)
+            new = -1
+            for p in into[v]:
+                if idom[p] < 0:
+                    continue
+                if new < 0:
+                    new = p
+                    continue
+                a, b = p, new
+                while a != b:
+                    while rank[a] < rank[b]:
+                        a = idom[a]
+                    while rank[b] < rank[a]:
+                        b = idom[b]
+                new = a
+            if idom[v] != new:
+                idom[v], changed = new, True
+    size = [0] * (root + 1)
     for v in order[:-1]:  # children finish before their dominators
         size[idom[v]] += size[v] + 1
-    counted = ids.sparkSession.createDataFrame([(int(v), int(n)) for v, n in size.items() if v != -1 and n], "id long, dominates long")
-    return ids.join(counted, "id", "left").select("id", F.coalesce("dominates", F.lit(0).cast("long")).alias("dominates"))
+    got = [(ids[v], size[v]) for v in range(root) if size[v]]
+    return pd.DataFrame(got, columns=["id", "dominates"], dtype="int64")
+
+
+def _dominated_by_joins(roots: DataFrame, e: DataFrame) -> DataFrame:
+    """(id, dominates). A root has no dominator but itself; what has not been reached yet does not narrow a set."""
+    dom = cut(roots.select("id", F.col("id").alias("dom")))
+    inner = cut(e.join(roots.withColumnRenamed("id", "dst_id"), "dst_id", "left_anti").select("src_id", "dst_id"))  # ways into roots change nothing
+    while True:
+        ways = skew_join(inner, dom.select("id").distinct().withColumnRenamed("id", "src_id"), "src_id", ["dst_id"], "left_semi")
+        n = ways.groupBy("dst_id").agg(F.count(F.lit(1)).alias("ways"))
+        over = skew_join(inner, dom.withColumnRenamed("id", "src_id"), "src_id", ["dst_id"]).groupBy("dst_id", "dom").agg(F.count(F.lit(1)).alias("n"))
+        shared = over.join(n, "dst_id").where("n = ways").select(F.col("dst_id").alias("id"), "dom")
+        own = n.select(F.col("dst_id").alias("id"), F.col("dst_id").alias("dom"))
+        nxt = cut(roots.select("id", F.col("id").alias("dom")).unionByName(shared).unionByName(own).distinct())
+        if nxt.join(dom, ["id", "dom"], "left_anti").isEmpty() and dom.join(nxt, ["id", "dom"], "left_anti").isEmpty():
+            break
+        dom = nxt
+    return dom.where("id <> dom").groupBy(F.col("dom").alias("id")).agg(F.count(F.lit(1)).alias("dominates"))

@@ -1,71 +1,114 @@
 """Breadth-first work on the graph.
 
 Every traversal runs for many starts at once, as (origin, node) pairs, so a ranking over many
-candidates needs one loop. Graphs of at most max_edges edges (counted first) are walked inside tasks,
-each with the adjacency at hand and its share of the origins; larger ones by joins, hop by hop, with an anti-join against what was
-visited and every hop written to the shared checkpoint folder.
+candidates needs one loop. The edges are written once to the shared folder and counted. Up to max_edges
+of them (16 bytes each) are sent to the tasks as two arrays, and every task walks its share of the
+origins; more are walked by joins, hop by hop, with an anti-join against what was visited and every hop
+written to the shared checkpoint folder. Both give the same rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphlens.operators.heavy_keys import skew_join
 from graphlens.session import cut
 
 MAX_EDGES = 2_000_000
+FOLD = 4  # hops after which what was visited is written together
+
+
+class Adjacency:
+    """Directed edges of a bounded graph as arrays: targets of a node lie next to each other."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray):
+        self.ids = np.unique(np.concatenate([src, dst]))
+        a, b = np.searchsorted(self.ids, src), np.searchsorted(self.ids, dst)
+        order = np.argsort(a, kind="stable")
+        self.to = b[order].astype(np.int32)
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=len(self.ids)))]).astype(np.int64)
+
+    def index(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions of the nodes that have an edge, the other nodes)."""
+        i = np.searchsorted(self.ids, nodes)
+        known = (i < len(self.ids)) & (self.ids[np.minimum(i, max(len(self.ids) - 1, 0))] == nodes) if len(self.ids) else np.zeros(len(nodes), bool)
+        return i[known], nodes[~known]
+
+    def targets(self, nodes: np.ndarray) -> np.ndarray:
+        """Targets of all nodes (positions), with repetitions."""
+        sizes = self.at[nodes + 1] - self.at[nodes]
+        if not sizes.sum():
+            return np.zeros(0, np.int32)
+        ends = np.cumsum(sizes)
+        return self.to[np.arange(ends[-1]) - np.repeat(ends - sizes - self.at[nodes], sizes)]
+
+    def neighbours(self) -> list[list[int]]:
+        return [self.to[a:b].tolist() for a, b in zip(self.at[:-1], self.at[1:])]
+
+    def walk(self, nodes: np.ndarray, max_hops: int | None, dist: np.ndarray) -> np.ndarray:
+        """Positions reached from nodes (positions), nearest first; dist, -1 everywhere, gets their hops."""
+        layer = np.unique(nodes)
+        dist[layer] = 0
+        seen, d = [layer], 0
+        while len(layer) and (max_hops is None or d < max_hops):
+            d += 1
+            nxt = self.targets(layer)
+            layer = np.unique(nxt[dist[nxt] < 0])
+            dist[layer] = d
+            seen.append(layer)
+        return np.concatenate(seen)
+
+
+def bounded(edges: DataFrame, max_edges: int = MAX_EDGES):
+    """Broadcast (src, dst) arrays if there are at most max_edges edges, else None. The bound is checked on edges as written (see cut)."""
+    if max_edges <= 0 or edges.count() > max_edges:
+        return None
+    t = edges.select(F.col("src_id").cast("long"), F.col("dst_id").cast("long")).toArrow()
+    return edges.sparkSession.sparkContext.broadcast(tuple(t.column(i).to_numpy() for i in (0, 1)))
 
 
-def small(edges: DataFrame, max_edges: int = MAX_EDGES) -> list | None:
-    """The (src, dst) pairs if there are at most max_edges of them, else None; the bound is checked before collecting."""
-    if max_edges <= 0 or edges.limit(max_edges + 1).count() > max_edges:
-        return None
-    return edges.toPandas().to_numpy().tolist()
+def simple_edges(edges: DataFrame) -> DataFrame:
+    """Distinct (src_id, dst_id) without nulls, written to the shared folder."""
+    return cut(edges.select("src_id", "dst_id").where("src_id is not null and dst_id is not null").distinct())
 
 
 def bfs(starts: DataFrame, edges: DataFrame, max_hops: int | None = None, max_edges: int = MAX_EDGES) -> DataFrame:
     """(origin, node, dist) over edges (src_id, dst_id) from starts (origin, node); starts at distance 0."""
     starts = starts.select("origin", "node").where("node is not null").distinct()
-    e = edges.select("src_id", "dst_id").where("src_id is not null and dst_id is not null").distinct()
-    pairs = small(e, max_edges)
-    if pairs is not None:
-        spark = starts.sparkSession
-        shared = spark.sparkContext.broadcast(pairs)  # at most max_edges pairs
+    e = simple_edges(edges)
+    shared = bounded(e, max_edges)
+    if shared is not None:
 
         def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            out: dict[int, list[int]] = {}
-            for a, b in shared.value:
-                out.setdefault(a, []).append(b)
+            graph = Adjacency(*shared.value)
+            dist = np.full(len(graph.ids), -1, np.int32)
             for pdf in frames:
                 for origin, nodes in pdf.groupby("origin", dropna=False)["nodes"]:
-                    seen = {n: 0 for ns in nodes for n in ns}
-                    layer, d = list(seen), 0
-                    while layer and (max_hops is None or d < max_hops):
-                        d += 1
-                        nxt = []
-                        for v in layer:
-                            for w in out.get(v, ()):
-                                if w not in seen:
-                                    seen[w] = d
-                                    nxt.append(w)
-                        layer = nxt
-                    yield pd.DataFrame({"origin": origin, "node": list(seen), "dist": list(seen.values())})
+                    known, other = graph.index(np.unique(np.concatenate([np.asarray(x, np.int64) for x in nodes])))
+                    seen = graph.walk(known, max_hops, dist)
+                    yield pd.DataFrame({"origin": origin, "node": np.concatenate([graph.ids[seen], other]), "dist": np.concatenate([dist[seen], np.zeros(len(other), np.int32)])})
+                    dist[seen] = -1
 
         kind = starts.schema["origin"].dataType.simpleString()
-        grouped = starts.groupBy("origin").agg(F.collect_set("node").alias("nodes"))
+        grouped = starts.groupBy("origin").agg(F.collect_set("node").alias("nodes"))  # an origin's own starts, not its reach
         return grouped.mapInPandas(walk, f"origin {kind}, node long, dist int")
-    e = cut(e)
     frontier = cut(starts.withColumn("dist", F.lit(0)))
-    visited, hop = frontier, 0
+    parts, hop = [frontier], 0
     while (max_hops is None or hop < max_hops) and not frontier.isEmpty():
         hop += 1
-        step = frontier.join(e, F.col("node") == F.col("src_id")).select("origin", F.col("dst_id").alias("node")).distinct()
+        step = skew_join(e, frontier.select("origin", F.col("node").alias("src_id")), "src_id", ["dst_id"]).select("origin", F.col("dst_id").alias("node")).distinct()
+        visited = reduce(DataFrame.unionByName, parts)
         frontier = cut(step.join(visited.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("dist", F.lit(hop)))
-        visited = visited.unionByName(frontier)
-    return visited
+        parts.append(frontier)
+        if len(parts) > FOLD:
+            parts = [cut(reduce(DataFrame.unionByName, parts))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def reversed_(edges: DataFrame) -> DataFrame:
@@ -86,7 +129,7 @@ def trace_calls(starts: DataFrame, edges: DataFrame, direction: str = "both", de
         raise ValueError(f"bad direction: {direction}")
     if depth < 0:
         raise ValueError("depth must not be negative")
-    calls = edges.where("kind = 'calls'")
+    calls = simple_edges(edges.where("kind = 'calls'"))
     out = starts.select("id", F.lit(0).alias("depth"), F.lit("self").alias("direction")).distinct()
     for name, e in (("outbound", calls), ("inbound", reversed_(calls))):
         if direction in ("both", name):
@@ -97,12 +140,11 @@ def trace_calls(starts: DataFrame, edges: DataFrame, direction: str = "both", de
 
 def blast_radius(starts: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     """(id, distance, via): everything that reaches starts over calls, imports and inherits; via is the smallest kind of a first hop."""
-    e = edges.where("kind in ('calls', 'imports', 'inherits')")
-    hit = bfs(_from(starts), reversed_(e), None, max_edges).select(F.col("node").alias("id"), F.col("dist").alias("distance"))
-    near = hit.select(F.col("id").alias("next_id"), (F.col("distance") + 1).alias("next_distance"))
-    first = e.join(near, F.col("dst_id") == F.col("next_id")).select(F.col("src_id").alias("id"), "next_distance", "kind")
-    via = hit.where("distance > 0").join(first, "id").where("next_distance = distance").groupBy("id", "distance").agg(F.min("kind").alias("via"))
-    return via
+    e = cut(edges.where("kind in ('calls', 'imports', 'inherits')").select("src_id", "dst_id", "kind"))
+    hit = cut(bfs(_from(starts), reversed_(e), None, max_edges).select(F.col("node").alias("id"), F.col("dist").alias("distance")))
+    near = hit.select(F.col("id").alias("dst_id"), (F.col("distance") + 1).alias("next_distance"))
+    first = skew_join(e, near, "dst_id", ["src_id", "kind"]).groupBy(F.col("src_id").alias("id"), "next_distance").agg(F.min("kind").alias("via"))
+    return hit.where("distance > 0").join(first, "id").where("next_distance = distance").select("id", "distance", "via")
 
 
 def neighborhood(centres: DataFrame, edges: DataFrame, depth: int = 1, max_edges: int = MAX_EDGES) -> DataFrame:
@@ -112,9 +154,11 @@ def neighborhood(centres: DataFrame, edges: DataFrame, depth: int = 1, max_edges
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with both ends among nodes (id)."""
+    """Edges with both ends among nodes (id); an end that many edges share is split over tasks."""
     n = nodes.select("id").distinct()
-    return edges.join(n.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(n.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")
+    for side in ("src_id", "dst_id"):
+        edges = skew_join(edges, n.withColumnRenamed("id", side), side, ["src_id", "dst_id"], "left_semi").select(*edges.columns)
+    return edges
 
 
 def flow_layers(entry: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
@@ -132,23 +176,48 @@ def exec_path(tests: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES) ->
     Where every covered symbol is called by another, all are roots; symbols no root reaches get layer 0.
     """
     covered = edges.where("kind = 'test_covers'").join(tests.select(F.col("id").alias("src_id")).distinct(), "src_id", "left_semi").select(F.col("src_id").alias("test_id"), F.col("dst_id").alias("id")).distinct()
-    calls = edges.where("kind = 'calls'").select("src_id", "dst_id")
-    inner = (calls.join(covered.select(F.col("id").alias("src_id"), "test_id"), "src_id")
-             .join(covered.select(F.col("id").alias("dst_id"), F.col("test_id").alias("t2")), "dst_id").where("test_id = t2").select("test_id", "src_id", "dst_id").distinct())
-    called = inner.where("src_id <> dst_id").select("test_id", F.col("dst_id").alias("id")).distinct()
-    roots = covered.join(called, ["test_id", "id"], "left_anti")
-    rootless = covered.join(roots.select("test_id").distinct(), "test_id", "left_anti")
-    starts = cut(roots.unionByName(rootless))
-    # nodes of different tests are kept apart by numbering (test, symbol) pairs
-    key = F.xxhash64("test_id", "id")
-    e = inner.select(F.xxhash64("test_id", "src_id").alias("src_id"), F.xxhash64("test_id", "dst_id").alias("dst_id"))
-    walked = bfs(starts.select(F.col("test_id").alias("origin"), key.alias("node")), e, None, max_edges)
-    named = covered.withColumn("node", key)
-    return named.join(walked.select("node", "dist"), "node", "left").groupBy("test_id", "id").agg(F.coalesce(F.min("dist"), F.lit(0)).alias("layer"))
-
-
-def reach_sizes(candidates: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
-    """(id, reach): how many other symbols each candidate (id) reaches over calls."""
-    c = candidates.select("id").distinct()
-    pairs = bfs(c.select(F.col("id").alias("origin"), F.col("id").alias("node")), edges.where("kind = 'calls'"), None, max_edges)
-    return pairs.groupBy(F.col("origin").alias("id")).agg((F.count(F.lit(1)) - 1).alias("reach"))
+    # nodes of different tests are kept apart by numbering the (test, symbol) pairs
+    numbered = cut(covered.withColumn("node", F.monotonically_increasing_id()))
+    calls = edges.where("kind = 'calls'").select("src_id", "dst_id").distinct()
+    a = numbered.select(F.col("id").alias("src_id"), "test_id", F.col("node").alias("a"))
+    b = numbered.select(F.col("id").alias("dst_id"), F.col("test_id").alias("t2"), F.col("node").alias("b"))
+    inner = cut(skew_join(skew_join(calls, a, "src_id", ["dst_id"]), b, "dst_id", ["src_id", "test_id"]).where("test_id = t2").select("test_id", F.col("a").alias("src_id"), F.col("b").alias("dst_id")).distinct())
+    called = inner.where("src_id <> dst_id").select(F.col("dst_id").alias("node")).distinct()
+    roots = numbered.join(called, "node", "left_anti").select("test_id", "node")
+    rootless = numbered.join(roots.select("test_id").distinct(), "test_id", "left_anti").select("test_id", "node")
+    walked = bfs(cut(roots.unionByName(rootless)).select(F.col("test_id").alias("origin"), "node"), inner, None, max_edges)
+    return numbered.join(walked.select("node", "dist"), "node", "left").groupBy("test_id", "id").agg(F.coalesce(F.min("dist"), F.lit(0)).alias("layer"))
+
+
+def reach_sizes(candidates: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES, block: int = 4096) -> DataFrame:
+    """(id, reach): how many other symbols each candidate (id) reaches over calls.
+
+    Up to max_edges edges every task counts what its candidates reach, and only the counts leave it.
+    Beyond, candidates are walked by joins in blocks, so that the (origin, node) pairs of one block exist at a time.
+    """
+    c = candidates.select("id").where("id is not null").distinct()
+    e = simple_edges(edges.where("kind = 'calls'") if "kind" in edges.columns else edges)
+    shared = bounded(e, max_edges)
+    if shared is not None:
+
+        def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            graph = Adjacency(*shared.value)
+            dist = np.full(len(graph.ids), -1, np.int32)
+            for pdf in frames:
+                n = []
+                for v in pdf["id"].to_numpy(np.int64):
+                    seen = graph.walk(graph.index(np.array([v]))[0], None, dist)
+                    dist[seen] = -1
+                    n.append(max(len(seen) - 1, 0))
+                yield pd.DataFrame({"id": pdf["id"], "reach": np.array(n, np.int64)})
+
+        tasks = 4 * c.sparkSession.sparkContext.defaultParallelism
+        return c.repartition(tasks, "id").mapInPandas(count, "id long, reach long")
+    parts = []
+    c = cut(c)
+    blocks = max(1, -(-c.count() // block))
+    for k in range(blocks):
+        own = c.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
+        pairs = bfs(own.select(F.col("id").alias("origin"), F.col("id").alias("node")), e, None, 0)
+        parts.append(cut(pairs.groupBy(F.col("origin").alias("id")).agg((F.count(F.lit(1)) - 1).alias("reach"))))
+    return reduce(DataFrame.unionByName, parts)

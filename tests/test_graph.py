@@ -84,11 +84,13 @@ def test_strong_components(spark, max_edges):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7}
 
 
-def test_strong_components_random(spark):
-    pairs = random_pairs(3)
-    reach = {v: set(plain_bfs(pairs, v)) for v in range(40)}
-    want = {v: min(w for w in reach[v] if v in reach[w]) for v in range(40)}
-    assert as_dict(alg.strong_components(nodes(spark, range(40)), graph(spark, pairs)), "id", "comp") == want
+@pytest.mark.parametrize("max_edges", [tr.MAX_EDGES, 0])
+def test_strong_components_random(spark, max_edges):
+    size = 40 if max_edges else 12
+    pairs = random_pairs(3, size, 2 * size)
+    reach = {v: set(plain_bfs(pairs, v)) for v in range(size)}
+    want = {v: min(w for w in reach[v] if v in reach[w]) for v in range(size)}
+    assert as_dict(alg.strong_components(nodes(spark, range(size)), graph(spark, pairs), max_edges), "id", "comp") == want
 
 
 def test_cycle_flags_and_spine(spark):
@@ -142,27 +144,23 @@ def test_dominators(spark):
     assert dom([1], [(1, 2), (1, 3), (2, 4), (3, 4)]) == {1: 3, 2: 0, 3: 0, 4: 0, 5: 0}
 
 
-def test_dominators_random(spark):
-    pairs = [p for p in random_pairs(8, 25, 60) if p[0] != p[1]]
+@pytest.mark.parametrize("max_edges", [tr.MAX_EDGES, 0])
+def test_dominators_random(spark, max_edges):
+    size = 25 if max_edges else 12
+    pairs = [p for p in random_pairs(8, size, 2 * size) if p[0] != p[1]]
     roots = [0, 1]
     reach = lambda drop: {v for r in roots if r != drop for v in plain_bfs([p for p in pairs if drop not in p], r)}
     full = reach(None)
-    want = {v: len(full) - 1 - len(reach(v)) if v in full else 0 for v in range(25)}
-    assert as_dict(alg.dominated_counts(nodes(spark, roots), nodes(spark, range(25)), graph(spark, pairs)), "id", "dominates") == want
-
-
-def test_dominators_bound(spark):
-    with pytest.raises(ValueError):
-        alg.dominated_counts(nodes(spark, [1]), nodes(spark, [1, 2, 3]), graph(spark, [(1, 2), (2, 3)]), 1)
+    want = {v: len(full) - 1 - len(reach(v)) if v in full else 0 for v in range(size)}
+    assert as_dict(alg.dominated_counts(nodes(spark, roots), nodes(spark, range(size)), graph(spark, pairs), max_edges), "id", "dominates") == want
 
 
-def test_longest_depths_by_joins(spark, monkeypatch):
+def test_longest_depths_by_joins(spark):
     dag = graph(spark, [(1, 2), (1, 3), (3, 4), (2, 4), (4, 5)]).select(F.col("src_id").alias("src_comp"), F.col("dst_id").alias("dst_comp"))
     roots = spark.createDataFrame([(1,)], "comp long")
     want = {1: 0, 2: 1, 3: 1, 4: 2, 5: 3}
     assert as_dict(alg.longest_depths(roots, dag), "comp", "depth") == want
-    monkeypatch.setattr(alg, "small", lambda *a: None)
-    assert as_dict(alg.longest_depths(roots, dag), "comp", "depth") == want
+    assert as_dict(alg.longest_depths(roots, dag, max_edges=0), "comp", "depth") == want
 
 
 def test_connected_components(spark):
@@ -229,3 +227,26 @@ def test_call_graph_queries(spark, monkeypatch):
                 for v in p[1:-1]:
                     score[v] += 1 / len(ps)
     assert ask("call_betweenness", "id", "betweenness") == pytest.approx(score, abs=1e-5)
+
+
+@pytest.mark.parametrize("max_edges", [tr.MAX_EDGES, 0])
+def test_reach_sizes(spark, max_edges):
+    pairs = random_pairs(9, 20, 30)
+    got = as_dict(tr.reach_sizes(nodes(spark, range(22)), graph(spark, pairs), max_edges, 8), "id", "reach")
+    assert got == {v: len(plain_bfs(pairs, v)) - 1 for v in range(22)}
+
+
+def test_spine_by_joins(spark):
+    pairs = [(1, 2), (2, 3), (3, 4), (1, 3), (4, 3)]
+    n = nodes(spark, range(1, 5))
+    both = [{(r.id, r.layer, r.in_cycle) for r in alg.main_spine(nodes(spark, [1]), n, graph(spark, pairs), m).collect()} for m in (tr.MAX_EDGES, 0)]
+    assert both[0] == both[1] == {(1, 0, False), (2, 1, False), (3, 2, True), (4, 2, True)}
+
+
+def test_empty_graph(spark):
+    n, e = nodes(spark, [1, 2]), graph(spark, [])
+    for m in (tr.MAX_EDGES, 0):
+        assert as_dict(alg.strong_components(n, e, m), "id", "comp") == {1: 1, 2: 2}
+        assert as_dict(alg.betweenness(n, e, m), "id", "betweenness") == {1: 0, 2: 0}
+        assert as_dict(alg.dominated_counts(nodes(spark, [1]), n, e, m), "id", "dominates") == {1: 0, 2: 0}
+        assert as_dict(tr.reach_sizes(n, e, m), "id", "reach") == {1: 0, 2: 0}
