@@ -1,26 +1,24 @@
-"""One registry of named questions, and the front ends over it: plain calls, JSON-RPC, a command line.
+"""One registry of named questions, and the front ends over it: plain calls and JSON-RPC (see also web and __main__).
 
-Answers of front ends are documents for a person or an agent, so they hold at most max_rows rows and
-say if there were more; the operators themselves return whole DataFrames.
+Answers of front ends are documents for a person or an agent, so they come in pages of at most max_rows
+rows, and a page says where the next one begins; the operators themselves return whole DataFrames.
 """
 
 from __future__ import annotations
 
-import argparse
 import json
-import sys
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens import report
+from graphlens.expose import allow_text, exposed
 from graphlens.operators import algorithms as alg
 from graphlens.operators import lookup as lk
 from graphlens.operators import rank as rk
 from graphlens.operators import traverse as tr
-from graphlens.operators.snapshot import Graph, signature
+from graphlens.operators.snapshot import SYMBOL_COLUMNS, Graph, signature
 from graphlens.session import cut, table
 
 _PARSE, _REQUEST, _PARAMS, _METHOD, _TOOL = -32700, -32600, -32602, -32601, -32001
@@ -38,17 +36,40 @@ class Engine:
     def __init__(self, spark: SparkSession, sf_dir: str, markers: DataFrame | None = None, max_rows: int = 10_000):
         self.spark, self.dir, self.max_rows = spark, sf_dir, max_rows
         self.graph = Graph(spark, sf_dir)
-        self.markers = markers if markers is not None else spark.createDataFrame([], "id long, marker string, step int")
+        self._given = markers
         self._kept: dict[str, DataFrame] = {}
+        self._seen: tuple | None = None
+
+    def _written(self) -> tuple:
+        """When the tables were last written, as the file system says."""
+        sc = self.spark.sparkContext
+        top = sc._jvm.org.apache.hadoop.fs.Path(self.dir)
+        fs = top.getFileSystem(sc._jsc.hadoopConfiguration())
+        return tuple(sorted((s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(top)))
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        """A table that a data directory may lack."""
+        if any(n == f"{name}.parquet" for n, _ in self._written()):
+            return table(self.spark, self.dir, name)
+        return self.spark.createDataFrame([], schema)
+
+    @property
+    def markers(self) -> DataFrame:
+        return self._given if self._given is not None else self._table("markers", "id long, marker string, step int")
 
     def keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """Computed once, until a table is written again."""
+        now = self._written()
+        if now != self._seen:
+            self._kept.clear()
+            self._seen = now
         if name not in self._kept:
             self._kept[name] = cut(make())
         return self._kept[name]
 
     @property
     def located(self) -> DataFrame:
-        return self.keep("located", self.graph.located)
+        return self.keep("located", lambda: self.graph.located(*SYMBOL_COLUMNS))
 
     @property
     def edges(self) -> DataFrame:
@@ -166,6 +187,74 @@ class Engine:
         nodes, links = lk.module_map(self.located, self.graph.files, self.edges, level)
         return {"nodes": nodes.orderBy("module"), "edges": links.orderBy("source", "target")}
 
+    def _detail(self, ids: DataFrame) -> DataFrame:
+        return ids.join(self.located.select("id", "name", "kind", "path", "line_start"), "id")
+
+    def graph_view(self) -> dict[str, DataFrame]:
+        """The whole graph: nodes with degree and coverage band, links, modules and the links between them."""
+        modules, module_links = lk.module_map(self.located, self.graph.files, self.edges)
+        nodes = lk.graph_nodes(self.located, self.edges).join(self.accessible(), "id", "left").withColumn("accessible", F.coalesce("accessible", F.lit(False)))
+        return {"nodes": nodes.orderBy("id"), "links": self.edges.where(F.col("kind").isin(*lk.STRUCTURE)).orderBy("src_id", "dst_id", "kind"),
+                "modules": modules.orderBy("module"), "module_links": module_links.orderBy("source", "target")}
+
+    def accessible(self) -> DataFrame:
+        """Symbols that the allow-list beside the tables exposes."""
+        return exposed(self.located, allow_text(self.spark, self.dir))[0].select("id", F.lit(True).alias("accessible")).distinct()
+
+    def focus(self, symbol: str, depth: int = 1) -> dict[str, DataFrame]:
+        """What lies within some hops of a symbol of any kind, with the kinds of the edges."""
+        n = cut(tr.neighborhood(self._ids(symbol), self.edges, max(int(depth), 0)))
+        e = tr.induced(self.edges.where(F.col("kind").isin(*lk.STRUCTURE)), n)
+        return {"nodes": self._detail(n).orderBy("dist", "name", "id"), "edges": e.select("src_id", "dst_id", "kind").orderBy("src_id", "dst_id", "kind")}
+
+    def flow(self, symbol: str) -> dict[str, DataFrame]:
+        """What a symbol calls, directly or not, in layers."""
+        return self._flow(self._ids(symbol))
+
+    def _flow(self, start: DataFrame) -> dict[str, DataFrame]:
+        n = cut(tr.flow_layers(start, self.edges))
+        e = tr.induced(self.edges.where("kind = 'calls'").select("src_id", "dst_id"), n)
+        return {"nodes": self._detail(n).orderBy("layer", "name", "id"), "edges": e.orderBy("src_id", "dst_id")}
+
+    def system_flow(self, root: str | None = None) -> dict[str, DataFrame]:
+        """The flow from the primary entry point (or root), what lies on the main spine marked."""
+        start = self._ids(root) if root else self.infer_entrypoints().where("primary").select("id")
+        flow = self._flow(start)
+        spine = self.main_spine(root).select("id", F.lit(True).alias("on_spine"))
+        nodes = flow["nodes"].join(spine, "id", "left").withColumn("on_spine", F.coalesce("on_spine", F.lit(False)))
+        return {"nodes": nodes.orderBy("layer", "name", "id"), "edges": flow["edges"]}
+
+    def data_flow(self, symbol: str) -> dict[str, DataFrame]:
+        """Where the parameters of a symbol go, in layers; the edges name the parameter."""
+        flows = self._table("dataflow", "src_id long, dst_id long, param string")
+        n = cut(tr.data_flow_layers(self._ids(symbol), flows))
+        return {"nodes": self._detail(n).orderBy("layer", "name", "id"), "edges": tr.induced(flows, n).orderBy("src_id", "dst_id", "param")}
+
+    def exec_path(self, test: str) -> dict[str, DataFrame]:
+        """What a test covers, laid out from what no covered symbol calls."""
+        n = cut(tr.exec_path(self._ids(test), self.edges).groupBy("id").agg(F.min("layer").alias("layer")))
+        e = tr.induced(self.edges.where("kind = 'calls'").select("src_id", "dst_id"), n)
+        return {"nodes": self._detail(n).orderBy("layer", "name", "id"), "edges": e.orderBy("src_id", "dst_id")}
+
+    def tests(self) -> DataFrame:
+        """Tests and how many symbols each covers."""
+        return lk.covers_per_test(self.located, self.edges).orderBy("name", "id")
+
+    def class_view(self) -> dict[str, DataFrame]:
+        """Classes with their methods, and what they inherit."""
+        classes, inherits = lk.class_view(self.located, self.edges)
+        return {"classes": classes.orderBy("path", "name", "id"), "edges": inherits.orderBy("src_id", "dst_id")}
+
+    def layer_view(self) -> dict[str, DataFrame]:
+        """Definitions by layer, web endpoints marked, and the calls between them."""
+        symbols, calls = rk.layer_view(self.graph.files, self.located, self.edges, self.markers)
+        return {"archetype": rk.archetype(self.located, self.markers), "symbols": symbols.orderBy("tier", "name", "id"), "edges": calls.orderBy("src_id", "dst_id")}
+
+    def trace(self, test: str) -> dict[str, DataFrame]:
+        """What a traced test ran, in order."""
+        nodes, edges = lk.trace_view(self.graph.trace.where(F.col("test") == test))
+        return {"nodes": self._detail(nodes.drop("test")).orderBy("first_seq", "id"), "edges": edges.drop("test").orderBy("seq")}
+
     def traces(self) -> DataFrame:
         """Traced tests and their calls."""
         return lk.calls_per_test(self.graph.trace).orderBy("test")
@@ -178,7 +267,7 @@ class Engine:
 
     @classmethod
     def tools(cls) -> dict[str, Callable]:
-        hidden = {"keep", "tools", "handle", "answer", "catalogue"}
+        hidden = {"keep", "tools", "handle", "answer", "catalogue", "accessible"}
         return {k: f for k, f in vars(cls).items() if callable(f) and not k.startswith("_") and k not in hidden}
 
     @classmethod
@@ -187,17 +276,18 @@ class Engine:
         for name, f in cls.tools().items():
             given = f.__code__.co_varnames[1:f.__code__.co_argcount]
             needed = list(given[:len(given) - len(f.__defaults__ or ())])
-            props = {a: {"type": "integer" if "int" in str(f.__annotations__.get(a, "")) else "string"} for a in given}
+            props = {a: {"type": "integer" if "int" in str(f.__annotations__.get(a, "")) else "string"} for a in given} | {"offset": {"type": "integer"}}
             out.append({"name": name, "description": (f.__doc__ or "").strip(), "inputSchema": {"type": "object", "properties": props} | ({"required": needed} if needed else {})})
         return out
 
-    def _plain(self, value: Any) -> Any:
+    def _plain(self, value: Any, offset: int) -> Any:
         if isinstance(value, dict):
-            return {k: self._plain(v) for k, v in value.items()}
-        rows = [json.loads(r.j) for r in value.limit(self.max_rows + 1).select(F.to_json(F.struct(*value.columns), {"ignoreNullFields": "false"}).alias("j")).collect()]
-        return rows if len(rows) <= self.max_rows else [*rows[:self.max_rows], {"truncated": True}]
+            return {k: self._plain(v, offset) for k, v in value.items()}
+        rows = [json.loads(r.j) for r in value.offset(offset).limit(self.max_rows + 1).select(F.to_json(F.struct(*value.columns), {"ignoreNullFields": "false"}).alias("j")).collect()]
+        return rows if len(rows) <= self.max_rows else [*rows[:self.max_rows], {"truncated": True, "next_offset": offset + self.max_rows}]
 
     def answer(self, tool: str, arguments: dict[str, Any]) -> Any:
+        """Rows of a tool; beyond max_rows the last one names the offset at which to ask again."""
         f = self.tools().get(tool)
         if f is None:
             raise ToolError(_METHOD, f"unknown tool: {tool}")
@@ -206,12 +296,13 @@ class Engine:
         for a, b in (("name", "symbol"), ("symbol", "name")):  # either word names the symbol
             if a in args and a not in given and b in given:
                 args[b] = args.pop(a)
+        offset = args.pop("offset", 0)
         missing = [a for a in given[:len(given) - len(f.__defaults__ or ())] if a not in args]
         unknown = [a for a in args if a not in given]
         if missing or unknown:
             raise ToolError(_PARAMS, f"missing: {missing}, unknown: {unknown}")
         try:
-            return self._plain(f(self, **args))
+            return self._plain(f(self, **args), max(int(offset), 0))
         except (ValueError, TypeError) as e:
             raise ToolError(_PARAMS, str(e)) from e
 
@@ -246,37 +337,3 @@ class Engine:
             return json.dumps({"jsonrpc": "2.0", "id": ident, "error": {"code": e.code, "message": str(e)}})
         except Exception as e:  # noqa: BLE001 - the server must go on
             return json.dumps({"jsonrpc": "2.0", "id": ident, "error": {"code": _TOOL, "message": str(e)[:500]}})
-
-
-def main(argv: list[str] | None = None) -> int:
-    p = argparse.ArgumentParser(prog="graphlens", description="Questions over a code graph")
-    p.add_argument("data", help="directory of the graph tables")
-    sub = p.add_subparsers(dest="verb", required=True)
-    ask = sub.add_parser("ask", help="one question")
-    ask.add_argument("tool", choices=sorted(Engine.tools()))
-    ask.add_argument("arguments", nargs="*", metavar="KEY=VALUE")
-    sub.add_parser("serve", help="JSON-RPC, one request a line")
-    for verb in ("brief", "report", "diagram"):
-        sub.add_parser(verb).add_argument("--out")
-    a = p.parse_args(argv)
-    from graphlens.session import local_session
-
-    engine = Engine(local_session(), a.data)
-    if a.verb == "ask":
-        print(json.dumps(engine.answer(a.tool, dict(x.split("=", 1) for x in a.arguments)), indent=1, ensure_ascii=False))
-    elif a.verb == "serve":
-        for line in sys.stdin:
-            if line.strip() and (out := engine.handle(line)):
-                print(out, flush=True)
-    else:
-        text = getattr(report, a.verb)(engine)
-        if a.out:
-            with open(a.out, "w", encoding="utf-8") as f:
-                f.write(text)
-        else:
-            print(text)
-    return 0
-
-
-if __name__ == "__main__":
-    raise SystemExit(main())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphlens.functions.paths import suffixes
 from graphlens.operators.spans import innermost, spans_at
+from graphlens.session import cut
 
 
 def _parts(path):
@@ -17,19 +18,25 @@ def reconcile(reports: DataFrame, files: DataFrame) -> DataFrame:
     """(report, file_id): the graph file a reported path stands for.
 
     Paths match if the components of one are a suffix of the other's. One match is taken even if it is
-    not exact; of several only a single exact one. All suffixes become keys, so it is an equi-join.
+    not exact; of several only a single exact one. All suffixes become keys, and each key is reduced to
+    the number of its files before it meets a report, so a name that many files share is one row.
     """
     r = reports.select("report").where("report is not null").distinct().withColumn("parts", _parts("report")).where(F.size("parts") > 0)
     g = files.select(F.col("id").alias("file_id"), F.col("path")).withColumn("gparts", _parts("path")).where(F.size("gparts") > 0)
+    full = F.array_join("gparts", "/")
+    # files by the suffixes of their path: the report is the shorter one, or the same
+    inside = g.select("file_id", full.alias("whole"), F.explode(suffixes("gparts")).alias("key")).groupBy("key").agg(
+        F.countDistinct("file_id").alias("n"), F.min("file_id").alias("one"), F.min(F.when(F.col("whole") == F.col("key"), F.col("file_id"))).alias("exact"),
+        F.countDistinct(F.when(F.col("whole") == F.col("key"), F.col("file_id"))).alias("n_exact"))
+    # files by their whole path: the report is the longer one
+    whole = g.groupBy(full.alias("key")).agg(F.countDistinct("file_id").alias("n"), F.min("file_id").alias("one"))
     r_full = r.select("report", F.array_join("parts", "/").alias("key"))
-    g_full = g.select("file_id", F.array_join("gparts", "/").alias("key"))
-    r_all = r.select("report", F.explode(suffixes("parts")).alias("key"))
-    g_all = g.select("file_id", F.explode(suffixes("gparts")).alias("key"))
-    hits = r_full.join(g_all, "key").unionByName(r_all.join(g_full, "key")).select("report", "file_id").distinct()
-    exact = r_full.join(g_full, "key").select("report", "file_id", F.lit(True).alias("exact"))
-    j = hits.join(exact, ["report", "file_id"], "left")
-    c = j.groupBy("report").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("exact").cast("int")).alias("n_exact"), F.min("file_id").alias("any_id"), F.min(F.when(F.col("exact"), F.col("file_id"))).alias("exact_id"))
-    return c.where("n = 1 or n_exact = 1").select("report", F.when(F.col("n") == 1, F.col("any_id")).otherwise(F.col("exact_id")).alias("file_id"))
+    none = F.lit(None).cast("long")
+    r_rest = r.select("report", F.explode(suffixes("parts")).alias("key"), F.array_join("parts", "/").alias("own")).where("key <> own").drop("own")
+    hits = r_full.join(inside, "key").select("report", "n", "one", "n_exact", "exact").unionByName(
+        r_rest.join(whole, "key").select("report", "n", "one", F.lit(0).cast("long").alias("n_exact"), none.alias("exact")))
+    c = hits.groupBy("report").agg(F.sum("n").alias("n"), F.min("one").alias("one"), F.sum("n_exact").alias("n_exact"), F.min("exact").alias("exact"))
+    return c.where("n = 1 or n_exact = 1").select("report", F.when(F.col("n") == 1, F.col("one")).otherwise(F.col("exact")).alias("file_id"))
 
 
 def file_line_coverage(lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -79,10 +86,9 @@ def map_tests(hits: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFram
     in_file = hinted.groupBy("test").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("hint_id")).where("k = 1")
     src = t.join(in_file, "test", "left").join(whole, "name", "left").select("test", F.coalesce("hint_id", F.when(F.col("n") == 1, F.col("only_id"))).alias("src_id")).where("src_id is not null")
     at = hits.join(reconcile(hits.select("report"), files), "report").select("test", "file_id", "line").distinct()
-    points = at.select("file_id", "line").distinct().withColumn("point", F.xxhash64("file_id", "line"))
     spans = symbols.where("line_start is not null").select(F.col("id").alias("dst_id"), "file_id", F.col("line_start").alias("start"), F.col("line_end").alias("end"))
-    inner = innermost(points, spans, "file_id", "line", "point", "dst_id")
-    dst = at.withColumn("point", F.xxhash64("file_id", "line")).join(inner, "point").select("test", "dst_id")
+    inner = innermost(at.select("file_id", "line").distinct(), spans, "file_id", "line", ["file_id", "line"], "dst_id")
+    dst = at.join(inner, ["file_id", "line"]).select("test", "dst_id")
     is_test = symbols.where(F.col("name").startswith("test_")).select(F.col("id").alias("dst_id"))
     return dst.join(src, "test").where("src_id <> dst_id").join(is_test, "dst_id", "left_anti").select("src_id", "dst_id", F.lit("test_covers").alias("kind")).distinct()
 
@@ -98,9 +104,9 @@ def ingest_trace(events: DataFrame, symbols: DataFrame, files: DataFrame) -> Dat
     full = files.select(F.col("id").alias("file_id"), F.array_join(_parts("path"), "/").alias("key"))
     best = keys.join(full, "key").groupBy("report").agg(F.max(F.struct(F.length("key").alias("n"), F.negative("file_id").alias("f"))).alias("b")).select("report", F.negative("b.f").alias("file_id"))
     points = events.select(F.explode(F.array(F.struct(F.col("caller_file").alias("report"), F.col("caller_line").alias("line")), F.struct(F.col("callee_file").alias("report"), F.col("callee_line").alias("line")))).alias("p")).select("p.*")
-    located = points.where("report is not null and line is not null").distinct().join(best, "report").withColumn("point", F.xxhash64("report", "line"))
+    located = points.where("report is not null and line is not null").distinct().join(best, "report")
     spans = symbols.where("kind in ('function', 'class') and line_start is not null").select(F.col("id").alias("sid"), "file_id", F.col("line_start").alias("start"), F.col("line_end").alias("end"))
-    inner = innermost(located, spans, "file_id", "line", "point", "sid")
-    e = events.withColumn("cp", F.xxhash64("caller_file", "caller_line")).withColumn("dp", F.xxhash64("callee_file", "callee_line"))
-    return (e.join(inner.select(F.col("point").alias("cp"), F.col("sid").alias("src_id")), "cp", "left").join(inner.select(F.col("point").alias("dp"), F.col("sid").alias("dst_id")), "dp")
-            .select("test", "seq", "depth", "src_id", "dst_id"))
+    inner = cut(innermost(located, spans, "file_id", "line", ["report", "line"], "sid"))
+    end = lambda side, name: inner.select(F.col("report").alias(f"{side}_file"), F.col("line").alias(f"{side}_line"), F.col("sid").alias(name))
+    return events.join(end("caller", "src_id"), ["caller_file", "caller_line"], "left").join(end("callee", "dst_id"), ["callee_file", "callee_line"]).select(
+        "test", "seq", "depth", "src_id", "dst_id")

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from graphlens.session import cut
 
-ROWS_PER_TASK = 1_000_000
+ROWS_PER_TASK = 200_000
 
 
 def _col(c: str | Column) -> Column:

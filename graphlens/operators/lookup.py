@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphlens.functions.paths import coverage_band, dirname, file_matches, is_foreign, is_test_path, lines, source_span, span_weight
 from graphlens.operators.spans import innermost
+from graphlens.session import cut
 
 STRUCTURE = ("calls", "imports", "inherits")
 
@@ -109,8 +110,18 @@ def degrees(edges: DataFrame, kinds: tuple[str, ...] = STRUCTURE) -> DataFrame:
 
 
 def hubs(located: DataFrame, edges: DataFrame, limit: int = 10) -> DataFrame:
-    d = degrees(edges).join(located.select("id", "name", "path"), "id")
-    return d.orderBy(F.desc("degree"), "name", "id").limit(limit)
+    """The symbols of highest degree; ties are settled by name.
+
+    Only symbols at or above the degree of the last place are looked up. Where some of them have no
+    file, so that too few are left, all are.
+    """
+    d = cut(degrees(edges))
+    names = located.select("id", "name", "path")
+    least = d.orderBy(F.desc("degree")).limit(limit).agg(F.min("degree").alias("least"))
+    top = cut(d.join(F.broadcast(least), F.col("degree") >= F.col("least")).select("id", "degree").join(names, "id"))
+    if top.count() < limit:
+        top = d.join(names, "id")
+    return top.orderBy(F.desc("degree"), "name", "id").limit(limit)
 
 
 def uncalled(located: DataFrame, edges: DataFrame) -> DataFrame:

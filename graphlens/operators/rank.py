@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.functions.paths import is_test_code, is_test_path
 from graphlens.operators.algorithms import betweenness, dominated_counts, root_components, strong_components
+from graphlens.operators.heavy_keys import balanced_row_number
 from graphlens.operators.lookup import covered_names, degrees, public_api
 from graphlens.operators.traverse import MAX_EDGES, bfs, induced, reach_sizes, reversed_
 from graphlens.session import cut
+from graphlens.sources.extract import CLI_DECORATORS, WEB_DECORATORS
 
 # Top-level packages by family.
 WEB = "flask fastapi starlette django aiohttp bottle tornado sanic quart".split()
 QUEUE_RPC = "kafka confluent_kafka celery pika grpc aio_pika nameko".split()
 TRANSPORT = "requests httpx urllib3 websockets kafka confluent_kafka celery pika grpc aio_pika nameko".split()
 DATA = "sqlalchemy psycopg psycopg2 sqlite3 pymongo redis mysql asyncpg peewee tortoise motor cassandra elasticsearch".split()
-# Decorators that mark entry points.
-WEB_DECORATORS = "route get post put delete patch head options websocket".split()
-CLI_DECORATORS = "command group callback".split()
 RUN_MARKERS = ("main", "main_guard", "console_script", "cli")
 
 
@@ -36,7 +35,7 @@ def entrypoints(located: DataFrame, edges: DataFrame, markers: DataFrame, max_ed
     marker is a library, and all its public definitions are marked too.
     """
     d = cut(located.where("kind in ('function', 'class')").select("id", "name", "kind", "path", "file_id", "line_start", "line_end"))
-    calls = induced(edges.where("kind = 'calls'"), d)
+    calls = cut(induced(edges.where("kind = 'calls'").select("src_id", "dst_id"), d))
     comp = cut(strong_components(d.select("id"), calls, max_edges))
     roots = comp.join(root_components(comp, calls), "comp", "left_semi").select("id")
     own = markers.groupBy("id").agg(F.min(F.struct("step", "marker")).alias("m")).select("id", F.col("m.marker").alias("marker"))
@@ -50,8 +49,8 @@ def entrypoints(located: DataFrame, edges: DataFrame, markers: DataFrame, max_ed
     scored = (candidates.join(own, "id", "left").join(degrees(edges), "id", "left").join(reach_sizes(candidates, edges, max_edges), "id", "left")
               .withColumn("degree", F.coalesce("degree", F.lit(0).cast("long"))).withColumn("reach", F.coalesce("reach", F.lit(0).cast("long"))))
     keys = [F.col("marker").isNotNull().desc(), *([F.desc("degree"), F.desc("reach")] if library else [F.desc("reach"), F.desc("degree")]), F.col("name"), F.col("id")]
-    # one global order is the feature here: ranks over all candidates
-    ranked = scored.withColumn("rank", F.row_number().over(Window.orderBy(*keys)))
+    # one ranking over all candidates, numbered range by range
+    ranked = balanced_row_number(scored, [], keys, "rank").withColumn("rank", F.col("rank").cast("int"))
     return ranked.select("rank", "id", "name", "path", "marker", F.lit(library).alias("is_library"), "degree", "reach", (F.col("rank") == 1).alias("primary"))
 
 
@@ -123,3 +122,15 @@ def risk(hubs: DataFrame, edges: DataFrame, limit: int = 5, max_edges: int = MAX
     hit = bfs(top.select(F.col("id").alias("origin"), F.col("id").alias("node")), reversed_(e), None, max_edges)
     n = hit.where("node <> origin").groupBy(F.col("origin").alias("id")).agg(F.count(F.lit(1)).alias("affected"))
     return top.join(n, "id", "left").select("id", "name", F.coalesce("affected", F.lit(0).cast("long")).alias("affected")).orderBy(F.desc("affected"), "name")
+
+
+def layer_view(files: DataFrame, located: DataFrame, edges: DataFrame, markers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Definitions (id, name, path, layer, tier, endpoint) and the calls (src_id, dst_id) among them.
+
+    tier orders the layers from interface to transport; a symbol is an endpoint if its name is that of one marked as a web route.
+    """
+    web = located.join(markers.where("marker = 'web_route'").select("id").distinct(), "id", "left_semi").select("name", F.lit(True).alias("endpoint")).distinct()
+    tier = F.array_position(F.array(*map(F.lit, ("interface", "business", "data", "transport"))), F.col("layer"))
+    s = symbol_layers(files, located, markers).select("id", "layer").join(located.select("id", "name", "path"), "id").join(web, "name", "left")
+    symbols = s.select("id", "name", "path", "layer", tier.alias("tier"), F.coalesce("endpoint", F.lit(False)).alias("endpoint"))
+    return symbols, induced(edges.where("kind = 'calls'").select("src_id", "dst_id"), symbols)

@@ -113,14 +113,24 @@ def inherit_edges(bases: DataFrame, symbols: DataFrame, files: DataFrame) -> Dat
     """Edges from classes (file_id, line, base) to their bases: the file's imports first, then the name rule."""
     cls = symbols.where("kind = 'class' and line_start is not null").groupBy("file_id", F.col("line_start").alias("line")).agg(F.min("id").alias("src_id"))
     _, bound = import_edges(symbols, files)
-    refs = bases.join(cls, ["file_id", "line"]).select("src_id", "file_id", F.col("base").alias("name")).distinct().withColumn("ref", F.xxhash64("src_id", "name"))
+    refs = bases.join(cls, ["file_id", "line"]).select("src_id", "file_id", F.col("base").alias("name")).distinct()
     r = resolve_names(refs, definition_index(symbols)).join(bound.withColumnRenamed("bound", "name"), ["file_id", "name"], "left")
     return r.select("src_id", F.coalesce("import_id", "dst_id").alias("dst_id"), F.lit("inherits").alias("kind")).where("dst_id is not null and src_id <> dst_id").distinct()
 
 
+def edges_of_calls(resolved: DataFrame) -> DataFrame:
+    """Edges (src_id, dst_id, kind) of resolved call sites."""
+    return resolved.where("dst_id is not null").select("src_id", "dst_id", F.lit("calls").alias("kind"))
+
+
+def status_counts(resolved: DataFrame) -> DataFrame:
+    """(status, n): how many sites were resolved in which way, or not."""
+    return resolved.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
 def build_edges(facts: dict[str, DataFrame], symbols: DataFrame, files: DataFrame) -> DataFrame:
     """All distinct edges (src_id, dst_id, kind) of calls, imports and inherits."""
-    calls = call_edges(facts["calls"], facts["assigns"], symbols, files).where("dst_id is not null").select("src_id", "dst_id", F.lit("calls").alias("kind"))
+    calls = edges_of_calls(call_edges(facts["calls"], facts["assigns"], symbols, files))
     return calls.unionByName(import_edges(symbols, files)[0]).unionByName(inherit_edges(facts["bases"], symbols, files)).distinct()
 
 

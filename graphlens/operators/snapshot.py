@@ -7,20 +7,29 @@ event is its (test, seq).
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphlens.operators.heavy_keys import ROWS_PER_TASK, balanced_row_number, hot_keys, skew_join
 from graphlens.session import table
 
-SYMBOL_COLUMNS = ["id", "file_id", "name", "kind", "line_start", "line_end", "docstring", "coverage_pct", "import_module", "import_name", "written_at"]
+# in the order in which they break ties between rows of one id and time; long texts come last
+SYMBOL_COLUMNS = ["file_id", "name", "kind", "line_start", "line_end", "coverage_pct", "import_module", "import_name", "docstring"]
+
 
+def latest_symbols(symbols: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """One row per id, the one written last: id, the columns asked for (all if None), written_at.
 
-def latest_symbols(symbols: DataFrame) -> DataFrame:
-    """One row per id; a max of structs combines before the shuffle, so an id repeated often costs one row per task."""
-    rest = [c for c in SYMBOL_COLUMNS if c not in ("id", "written_at")]
-    first = [F.col("written_at"), *[F.col(c) for c in rest]]
-    best = symbols.where("id is not null").groupBy("id").agg(F.max(F.struct(*first)).alias("r"))
-    return best.select("id", *[F.col(f"r.{c}").alias(c) for c in [*rest, "written_at"]])
+    Only the columns up to the last one asked for, in the order of SYMBOL_COLUMNS, are read: these
+    decide between rows of the same time alike whatever is asked for. A max of structs combines before
+    the shuffle, so an id repeated often costs one row per task.
+    """
+    wanted = SYMBOL_COLUMNS if columns is None else [c for c in SYMBOL_COLUMNS if c in set(columns)]
+    rest = SYMBOL_COLUMNS[:max((SYMBOL_COLUMNS.index(c) for c in wanted), default=-1) + 1]
+    best = symbols.where("id is not null").groupBy("id").agg(F.max(F.struct("written_at", *rest)).alias("r"))
+    return best.select("id", *[F.col(f"r.{c}").alias(c) for c in [*wanted, "written_at"]])
 
 
 def current_files(files: DataFrame) -> DataFrame:
@@ -30,11 +39,20 @@ def current_files(files: DataFrame) -> DataFrame:
         F.min("path").alias("path"), F.max(rank).alias("r")).select("id", "path", F.col("r.hash").alias("hash"), F.col("r.indexed_at").alias("indexed_at"))
 
 
-def current_edges(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Distinct (src_id, dst_id, kind) whose ends both exist."""
-    ids = symbols.select("id").distinct()
-    e = edges.select("src_id", "dst_id", F.lower(F.trim("kind")).alias("kind")).distinct()
-    return e.join(ids.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi").select("src_id", "dst_id", "kind")
+def current_edges(edges: DataFrame, symbols: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Distinct (src_id, dst_id, kind) whose ends both exist.
+
+    The ends are counted first, one partial row per id and task; those that are no symbol are then kept
+    out. Where many edges name one missing id, its count is known and its edges are spread.
+    """
+    e = edges.select("src_id", "dst_id", F.lower(F.trim("kind")).alias("kind")).where("src_id is not null and dst_id is not null").distinct()
+    ends = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("id")) for c in ("src_id", "dst_id")]))
+    used = e.select(ends.alias("end")).groupBy("end.side", "end.id").agg(F.count(F.lit(1)).alias("n"))
+    missing = used.join(symbols.select("id").distinct(), "id", "left_anti")
+    for side in ("src_id", "dst_id"):
+        gone = missing.where(F.col("side") == side).select(F.col("id").alias(side), "n")
+        e = skew_join(e, gone.select(side), side, ["src_id", "dst_id", "kind"], "left_anti", rows_per_task, hot_keys(gone, side, "n", rows_per_task))
+    return e.select("src_id", "dst_id", "kind")
 
 
 def current_trace(call_trace: DataFrame) -> DataFrame:
@@ -42,7 +60,7 @@ def current_trace(call_trace: DataFrame) -> DataFrame:
 
 
 class Graph:
-    """Lazy views of one data directory."""
+    """Lazy views of one data directory; symbols are read with the columns that are asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -50,9 +68,9 @@ class Graph:
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.dir, name)
 
-    @property
-    def symbols(self) -> DataFrame:
-        return latest_symbols(self.raw("symbols"))
+    def symbols(self, *columns: str) -> DataFrame:
+        """Current symbols: id and the columns (file_id, name, kind and the lines if none are named)."""
+        return latest_symbols(self.raw("symbols"), columns or SYMBOL_COLUMNS[:5]).drop("written_at")
 
     @property
     def files(self) -> DataFrame:
@@ -66,14 +84,10 @@ class Graph:
     def trace(self) -> DataFrame:
         return current_trace(self.raw("call_trace"))
 
-    @property
-    def definitions(self) -> DataFrame:
-        return self.symbols.where("kind in ('function', 'class')")
-
-    def located(self) -> DataFrame:
-        """Symbols with the path of their file."""
+    def located(self, *columns: str) -> DataFrame:
+        """Symbols (see symbols) with the path of their file."""
         f = self.files.select(F.col("id").alias("file_id"), "path")
-        return self.symbols.join(f, "file_id")
+        return self.symbols(*(columns or SYMBOL_COLUMNS[:5]), "file_id").join(f, "file_id")
 
 
 def needs_reindex(files: DataFrame, texts: DataFrame) -> DataFrame:
@@ -84,11 +98,17 @@ def needs_reindex(files: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def mark_indexed(files: DataFrame, done: DataFrame) -> DataFrame:
-    """files with the hashes of done (path, hash) written in; paths that are new get the next ids, in path order."""
-    d = done.groupBy("path").agg(F.max("hash").alias("new_hash"))
-    kept = files.join(d, "path", "left").select("id", "path", F.coalesce("new_hash", "hash").alias("hash"), F.when(F.col("new_hash").isNotNull(), F.current_timestamp()).otherwise(F.col("indexed_at").cast("timestamp")).alias("indexed_at"))
-    new = d.join(files.select("path"), "path", "left_anti").select(F.xxhash64("path").alias("id"), "path", F.col("new_hash").alias("hash"), F.current_timestamp().alias("indexed_at"))
-    return kept.unionByName(new)
+    """files with the hashes of done (path, hash) written in; paths that are new get the next ids, in path order.
+
+    Of several hashes of a path the greatest counts. indexed_at is now for the paths of done.
+    """
+    d = done.where("path is not null").groupBy("path").agg(F.max("hash").alias("new_hash"), F.lit(True).alias("done"))
+    kept = files.join(d, "path", "left").select(
+        "id", "path", F.when(F.col("done"), F.col("new_hash")).otherwise(F.col("hash")).alias("hash"),
+        F.when(F.col("done"), F.current_timestamp()).otherwise(F.col("indexed_at").cast("timestamp")).alias("indexed_at"))
+    last = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    new = balanced_row_number(d.join(files.select("path"), "path", "left_anti"), [], ["path"], "n").join(F.broadcast(last))
+    return kept.unionByName(new.select((F.col("last") + F.col("n")).alias("id"), "path", F.col("new_hash").alias("hash"), F.current_timestamp().alias("indexed_at")))
 
 
 def snapshot_merge(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -96,7 +116,8 @@ def snapshot_merge(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
     Both have (path, name, kind, line_start, line_end, docstring, import_module, import_name); stored also
     id and coverage_pct. Within a path a row is the same symbol if name, kind, line and its rank among
-    equals agree. Vanished rows of the paths that came in are dropped, paths that did not come stay.
+    equals agree. Vanished rows of the paths that came in are dropped, paths that did not come stay. New
+    symbols get the ids after the largest one, in the order of path, line, name and kind.
     """
     ident = ["path", "name", "kind", "line_start"]
     rest = ["line_end", "docstring", "import_module", "import_name"]
@@ -107,9 +128,12 @@ def snapshot_merge(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     on = F.lit(True)
     for c in [*ident, "ordinal"]:
         on = on & F.col(c).eqNullSafe(F.col("o_" + c))
-    fresh = new.join(o, on, "left").select(
-        F.coalesce("id", F.xxhash64(*ident, "ordinal")).alias("id"), *ident, *rest, "coverage_pct")
-    untouched = stored.join(incoming.select("path").distinct(), "path", "left_anti").select("id", *ident, *rest, "coverage_pct")
+    met = new.join(o, on, "left").select("id", *ident, *rest, "coverage_pct", "ordinal")
+    last = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    added = balanced_row_number(met.where("id is null").drop("id"), [], ["path", "line_start", "name", "kind", "ordinal"], "n").join(F.broadcast(last))
+    columns = ["id", *ident, *rest, "coverage_pct"]
+    fresh = met.where("id is not null").select(*columns).unionByName(added.withColumn("id", F.col("last") + F.col("n")).select(*columns))
+    untouched = stored.join(incoming.select("path").distinct(), "path", "left_anti").select(*columns)
     return untouched.unionByName(fresh)
 
 
@@ -133,7 +157,7 @@ def new_edges(stored: DataFrame, built: DataFrame) -> DataFrame:
 
 def signature(g: Graph) -> DataFrame:
     """One row: symbols:edges:sum of coverage:latest indexing."""
-    n = g.symbols.agg(F.count(F.lit(1)).alias("n_symbols"), F.round(F.sum("coverage_pct"), 2).alias("coverage_sum"))
+    n = g.symbols("coverage_pct").agg(F.count(F.lit(1)).alias("n_symbols"), F.round(F.sum("coverage_pct"), 2).alias("coverage_sum"))
     e = g.edges.agg(F.count(F.lit(1)).alias("n_edges"))
     f = g.files.agg(F.max("indexed_at").alias("last_indexed"))
     return n.join(F.broadcast(e)).join(F.broadcast(f))  # three single rows

@@ -25,12 +25,15 @@ def spans_at(points: DataFrame, spans: DataFrame, group: str, line: str, start:
     return p.join(s, on).drop("_g", "_bin", "_pbin")
 
 
-def innermost(points: DataFrame, spans: DataFrame, group: str, line: str, point_id: str, span_id: str,
+def innermost(points: DataFrame, spans: DataFrame, group: str, line: str, point_id: str | list[str], span_id: str,
               start: str = "start", end: str = "end") -> DataFrame:
     """(point_id, span_id): the narrowest span around each point; ties go to the smaller span_id.
 
-    Points without a span are absent. The spans of a point are reduced before any shuffle of pairs.
+    A point is known by one column or several, which may include group and line. Points without a span
+    are absent. The spans of a point are reduced before any shuffle of pairs.
     """
-    hits = spans_at(points.select(point_id, group, line), spans.select(span_id, group, start, end), group, line, start, end)
+    ids = [point_id] if isinstance(point_id, str) else point_id
+    wanted = [*ids, *[c for c in (group, line) if c not in ids]]
+    hits = spans_at(points.select(*wanted), spans.select(span_id, group, start, end), group, line, start, end)
     best = F.min(F.struct((F.col(end) - F.col(start)).alias("width"), F.col(span_id).alias("sid")))
-    return hits.groupBy(point_id).agg(best.alias("b")).select(point_id, F.col("b.sid").alias(span_id))
+    return hits.groupBy(*ids).agg(best.alias("b")).select(*ids, F.col("b.sid").alias(span_id))

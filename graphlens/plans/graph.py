@@ -18,7 +18,7 @@ from graphlens.operators import resolve as rs
 from graphlens.operators import snapshot as sn
 from graphlens.operators import traverse as tr
 from graphlens.operators.snapshot import Graph
-from graphlens.session import cut, table
+from graphlens.session import cut, parallel, table
 from graphlens.streaming.changes import debounced, windowed_counts
 
 QUERIES: dict = {}
@@ -27,8 +27,8 @@ SQL: dict[str, str] = {}
 _G = """
 WITH RECURSIVE f AS (SELECT id, min(path) AS path FROM files WHERE id IS NOT NULL AND path IS NOT NULL GROUP BY id),
 s AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY written_at DESC NULLS LAST, file_id DESC NULLS LAST,
-  name DESC NULLS LAST, kind DESC NULLS LAST, line_start DESC NULLS LAST, line_end DESC NULLS LAST, docstring DESC NULLS LAST,
-  coverage_pct DESC NULLS LAST, import_module DESC NULLS LAST, import_name DESC NULLS LAST) AS rn FROM symbols WHERE id IS NOT NULL) WHERE rn = 1),
+  name DESC NULLS LAST, kind DESC NULLS LAST, line_start DESC NULLS LAST, line_end DESC NULLS LAST, coverage_pct DESC NULLS LAST,
+  import_module DESC NULLS LAST, import_name DESC NULLS LAST, docstring DESC NULLS LAST) AS rn FROM symbols WHERE id IS NOT NULL) WHERE rn = 1),
 l AS (SELECT s.*, f.path FROM s JOIN f ON f.id = s.file_id),
 e AS (SELECT DISTINCT src_id, dst_id, lower(trim(kind)) AS kind FROM edges
   WHERE src_id IN (SELECT id FROM symbols) AND dst_id IN (SELECT id FROM symbols)),
@@ -53,7 +53,7 @@ def query(name: str, sql: str | None = None):
 
 def _hot_name(g: Graph) -> str:
     top = g.edges.where("kind = 'calls'").groupBy("dst_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dst_id").limit(1)
-    row = g.symbols.join(top.withColumnRenamed("dst_id", "id"), "id").select("name").first()
+    row = g.symbols("name").join(top.withColumnRenamed("dst_id", "id"), "id").select("name").first()
     return row.name if row else ""
 
 
@@ -66,7 +66,7 @@ def _root(g: Graph) -> DataFrame:
 @query("search_symbol", _G + "SELECT id, name, kind, line_start, docstring, path FROM l WHERE name = (SELECT name FROM hot)")
 def search_symbol(spark, d):
     g = Graph(spark, d)
-    return lk.search_symbol(g.located(), _hot_name(g))
+    return lk.search_symbol(g.located("name", "kind", "line_start", "docstring"), _hot_name(g))
 
 
 @query("list_symbols", _G + "SELECT id, name, kind, line_start, path FROM d WHERE path ILIKE '%.py' AND kind = 'class'")
@@ -95,17 +95,17 @@ def get_test_coverage(spark, d):
 @query("get_coverage", _G + "SELECT arg_min_null(coverage_pct, id) AS coverage_pct FROM s WHERE name = (SELECT name FROM hot)")
 def get_coverage(spark, d):
     g = Graph(spark, d)
-    return lk.coverage_of(g.symbols, _hot_name(g))
+    return lk.coverage_of(g.symbols("name", "coverage_pct"), _hot_name(g))
 
 
 @query("uncovered_paths", _G + "SELECT id, name, path, line_start FROM l WHERE coverage_pct = 0.0")
 def uncovered_paths(spark, d):
-    return lk.uncovered(Graph(spark, d).located())
+    return lk.uncovered(Graph(spark, d).located("name", "line_start", "coverage_pct"))
 
 
 @query("never_measured", _G + f"SELECT id, name, path, line_start FROM d WHERE coverage_pct IS NULL AND NOT {_IS_TEST}")
 def never_measured(spark, d):
-    return lk.never_measured(Graph(spark, d).located())
+    return lk.never_measured(Graph(spark, d).located("name", "kind", "line_start", "coverage_pct"))
 
 
 @query("orphans", _G + f"SELECT id, name, path, line_start FROM d WHERE NOT {_IS_TEST} AND id NOT IN (SELECT src_id FROM e UNION SELECT dst_id FROM e)")
@@ -119,7 +119,7 @@ _BAND = "CASE WHEN coverage_pct IS NULL THEN 'none' WHEN coverage_pct <= 0 THEN
 
 @query("coverage_band", _G + f"SELECT {_BAND} AS band, count(*) AS n FROM l GROUP BY 1")
 def coverage_bands(spark, d):
-    return lk.coverage_bands(Graph(spark, d).located())
+    return lk.coverage_bands(Graph(spark, d).located("coverage_pct"))
 
 
 @query("outline", _G + """, fl AS (SELECT file_id, regexp_split_to_array(content, '\\r\\n|\\r|\\n') AS ls FROM file_text WHERE content IS NOT NULL)
@@ -129,7 +129,7 @@ FROM d LEFT JOIN fl ON fl.file_id = d.file_id
 WHERE path = (SELECT path FROM l WHERE path ILIKE '%graph.py' ORDER BY length(path), path LIMIT 1)""")
 def outline(spark, d):
     g = Graph(spark, d)
-    return lk.outline(g.located(), table(spark, d, "file_text"), "graph.py")
+    return lk.outline(g.located("name", "kind", "line_start", "line_end", "docstring"), table(spark, d, "file_text"), "graph.py")
 
 
 @query("source_span", _G + """, fl AS (SELECT file_id, CASE WHEN r[-1] = '' THEN r[:-2] ELSE r END AS ls FROM (SELECT file_id, regexp_split_to_array(content, '\\r\\n|\\r|\\n') AS r FROM file_text WHERE content IS NOT NULL))
@@ -143,7 +143,7 @@ def source_span(spark, d):
 @query("module_symbol_counts", _G + "SELECT f.path, count(s.id) AS symbols FROM f LEFT JOIN s ON s.file_id = f.id GROUP BY f.id, f.path")
 def module_symbol_counts(spark, d):
     g = Graph(spark, d)
-    return lk.symbols_per_file(g.files, g.symbols)
+    return lk.symbols_per_file(g.files, g.symbols("file_id"))
 
 
 _DEG = "SELECT id, count(*) AS degree FROM (SELECT unnest([src_id, dst_id]) AS id FROM e WHERE kind IN ('calls', 'imports', 'inherits')) GROUP BY 1"
@@ -172,7 +172,7 @@ _SPAN = "CASE WHEN line_start IS NULL THEN 1 ELSE greatest(coalesce(line_end, li
 @query("module_coverage", _G + f"SELECT f.path, round(sum(coverage_pct * {_SPAN}) / sum(CASE WHEN coverage_pct IS NOT NULL THEN {_SPAN} END), 6) AS coverage_pct FROM f LEFT JOIN s ON s.file_id = f.id GROUP BY f.id, f.path")
 def module_coverage(spark, d):
     g = Graph(spark, d)
-    return lk.module_coverage(g.files, g.symbols).select("path", F.round("coverage_pct", 6).alias("coverage_pct"))
+    return lk.module_coverage(g.files, g.symbols("file_id", "line_start", "line_end", "coverage_pct")).select("path", F.round("coverage_pct", 6).alias("coverage_pct"))
 
 
 @query("covers_per_test", _G + "SELECT l.id, covers, name, path FROM (SELECT src_id AS id, count(*) AS covers FROM e WHERE kind = 'test_covers' GROUP BY 1) JOIN l USING (id)")
@@ -184,7 +184,7 @@ def covers_per_test(spark, d):
 @query("covered_names", _G + "SELECT DISTINCT name FROM s WHERE id IN (SELECT dst_id FROM e WHERE kind = 'test_covers')")
 def covered_names(spark, d):
     g = Graph(spark, d)
-    return lk.covered_names(g.symbols, g.edges)
+    return lk.covered_names(g.symbols("name"), g.edges)
 
 
 @query("trace_list", _G + "SELECT test, count(*) AS calls FROM t GROUP BY 1")
@@ -216,7 +216,7 @@ _METHODS = """, cm AS (SELECT method_id, class_id FROM (SELECT m.id AS method_id
 
 @query("class_methods_innermost", _G + _METHODS + "SELECT method_id, class_id FROM cm")
 def class_methods_innermost(spark, d):
-    return lk.class_methods(Graph(spark, d).symbols)
+    return lk.class_methods(Graph(spark, d).symbols())
 
 
 @query("public_api", _G + _METHODS + "SELECT id, name, kind, path FROM d WHERE NOT starts_with(name, '_') AND (kind = 'class' OR id NOT IN (SELECT method_id FROM cm))")
@@ -266,7 +266,7 @@ def package_rollup(spark, d):
 @query("build_graph_nodes", _G + f"SELECT id, name, kind, path, coalesce(degree, 0) AS degree, {_BAND} AS band, kind IN ('foreign_module', 'foreign_export') AS is_foreign FROM l LEFT JOIN ({_DEG}) USING (id)")
 def build_graph_nodes(spark, d):
     g = Graph(spark, d)
-    return lk.graph_nodes(g.located(), g.edges)
+    return lk.graph_nodes(g.located("name", "kind", "coverage_pct"), g.edges)
 
 
 @query("index_summary", _G + """SELECT lang, count(*) AS files, CAST(sum(n) AS BIGINT) AS symbols FROM (SELECT CASE WHEN x IN ('py', 'pyi') THEN 'python' WHEN x = 'rs' THEN 'rust' WHEN x IN ('ts', 'tsx', 'mts', 'cts') THEN 'typescript' WHEN x IN ('js', 'jsx', 'mjs', 'cjs') THEN 'javascript' END AS lang, n
@@ -275,7 +275,7 @@ def index_summary(spark, d):
     from graphlens.sources.extract import BY_EXTENSION
 
     g = Graph(spark, d)
-    return lk.index_summary(g.files, g.symbols, spark.createDataFrame(list(BY_EXTENSION.items()), "ext string, lang string"))
+    return lk.index_summary(g.files, g.symbols("file_id"), spark.createDataFrame(list(BY_EXTENSION.items()), "ext string, lang string"))
 
 
 @query("graph_signature", _G + "SELECT (SELECT count(*) FROM s) AS n_symbols, (SELECT round(sum(coverage_pct), 2) FROM s) AS coverage_sum, (SELECT count(*) FROM e) AS n_edges, (SELECT max(indexed_at) FROM files WHERE path IS NOT NULL) AS last_indexed")
@@ -298,7 +298,7 @@ def needs_reindex(spark, d):
 def delete_cascade(spark, d):
     g = Graph(spark, d)
     gone = g.files.where(F.col("path").endswith(".rs")).select("path")
-    return sn.delete_files(g.files, g.symbols, g.edges, gone)[2]
+    return sn.delete_files(g.files, g.symbols("file_id"), g.edges, gone)[2]
 
 
 @query("doc_lines", "SELECT doc_id, CASE WHEN r[-1] = '' THEN len(r) - 1 ELSE len(r) END AS n_lines FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS r FROM documents WHERE text IS NOT NULL)")
@@ -319,7 +319,7 @@ SELECT s.id AS ref, s.name, s.file_id, CASE WHEN g.n = 1 THEN g.id WHEN k.n = 1
   CASE WHEN g.n = 1 THEN 'unique' WHEN k.n = 1 THEN 'same_file' WHEN g.n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status
 FROM s LEFT JOIN g ON g.name = s.name LEFT JOIN k ON k.name = s.name AND k.file_id = s.file_id""")
 def resolve_def(spark, d):
-    s = Graph(spark, d).symbols
+    s = Graph(spark, d).symbols("file_id", "name", "kind")
     return rs.resolve_names(s.select(F.col("id").alias("ref"), "name", "file_id"), rs.definition_index(s)).select("ref", "name", "file_id", "dst_id", "status")
 
 
@@ -337,20 +337,20 @@ ri AS (SELECT im.*, CASE WHEN g.n = 1 THEN g.id WHEN m.n = 1 THEN m.id END AS ds
 @query("resolve_import", _G + _IMPORTS + "SELECT ref, file_id, original, module, bound, dst_id, status FROM ri")
 def resolve_import(spark, d):
     g = Graph(spark, d)
-    return rs.resolve_imports(rs.import_rows(g.symbols), rs.definition_index(g.symbols), g.files).select("ref", "file_id", "original", "module", "bound", "dst_id", "status")
+    return rs.resolve_imports(rs.import_rows(g.symbols("file_id", "name", "kind", "import_module", "import_name")), rs.definition_index(g.symbols("file_id", "name", "kind")), g.files).select("ref", "file_id", "original", "module", "bound", "dst_id", "status")
 
 
 @query("import_edges", _G + _IMPORTS + "SELECT DISTINCT ref AS src_id, dst_id, 'imports' AS kind FROM ri WHERE dst_id IS NOT NULL AND ref <> dst_id")
 def import_edges(spark, d):
     g = Graph(spark, d)
-    return rs.import_edges(g.symbols, g.files)[0]
+    return rs.import_edges(g.symbols("file_id", "name", "kind", "import_module", "import_name"), g.files)[0]
 
 
 @query("module_matches", _G + _IMPORTS + "SELECT DISTINCT im.module, mk.file_id FROM im JOIN mk ON mk.key = array_to_string(list_filter(string_split(im.module, '.'), lambda x: x <> ''), '/') WHERE mk.key <> ''")
 def module_matches(spark, d):
     g = Graph(spark, d)
     key = F.array_join(F.filter(F.split("module", r"\."), lambda x: x != ""), "/")
-    m = rs.import_rows(g.symbols).where("module is not null").select("module").distinct().withColumn("key", key).where("key <> ''")
+    m = rs.import_rows(g.symbols("file_id", "name", "kind", "import_module", "import_name")).where("module is not null").select("module").distinct().withColumn("key", key).where("key <> ''")
     return m.join(rs.module_keys(g.files), "key").select("module", "file_id").distinct()
 
 
@@ -358,7 +358,7 @@ def _facts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     from graphlens.sources.extract import extract, fact_tables
 
     g = Graph(spark, d)
-    texts = table(spark, d, "file_text").join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    texts = parallel(table(spark, d, "file_text").where("content is not null")).join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id")
     return fact_tables(cut(extract(texts)))  # parsed once, read by every table
 
 
@@ -375,35 +375,24 @@ def _extracted(spark: SparkSession, d: str):
     return facts, symbols, files
 
 
-@query("call_edges")
-def call_edges(spark, d):
+@query("text_call_edges")
+def text_call_edges(spark, d):
     facts, symbols, files = _extracted(spark, d)
     return rs.call_edges(facts["calls"], facts["assigns"], symbols, files)
 
 
-@query("built_edges")
-def built_edges(spark, d):
+@query("text_edges")
+def text_edges(spark, d):
     facts, symbols, files = _extracted(spark, d)
     return rs.build_edges(facts, symbols, files)
 
 
-@query("dataflow_edges")
-def dataflow_edges(spark, d):
-    facts, symbols, files = _extracted(spark, d)
-    python = files.where(F.col("path").endswith(".py")).select(F.col("id").alias("file_id"))
-    return rs.build_dataflow(facts["calls"].join(python, "file_id", "left_semi"), facts["params"], symbols, files)
-
-
 def _markers(spark: SparkSession, d: str) -> DataFrame:
     """(id, marker, step) from the decorators and guards of the Python texts."""
+    from graphlens.index import markers
+
     g = Graph(spark, d)
-    m = _facts(spark, d)["markers"]
-    at = g.symbols.where("kind = 'function'").groupBy("file_id", "name", F.col("line_start").alias("line")).agg(F.min("id").alias("id"))
-    placed = m.where("marker <> 'main_guard'").join(at, ["file_id", "name", "line"])
-    only = rs.definition_index(g.symbols).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
-    guards = m.where("marker = 'main_guard'").join(only, "name")
-    step = F.when(F.col("marker") == "main", 0).when(F.col("marker") == "main_guard", 1).otherwise(2)
-    return placed.select("id", "marker", step.alias("step")).unionByName(guards.select("id", "marker", step.alias("step"))).distinct()
+    return markers(_facts(spark, d), g.symbols("file_id", "name", "kind", "line_start"), g.files)
 
 
 # ---- traversal
@@ -422,7 +411,7 @@ def trace_outbound(spark, d):
 SELECT id, min(depth) AS depth, CASE WHEN min(depth) = 0 THEN 'self' ELSE 'inbound' END AS direction FROM w GROUP BY id""")
 def trace_inbound(spark, d):
     g = Graph(spark, d)
-    return tr.trace_calls(g.symbols.where(F.col("name") == _hot_name(g)).select("id"), g.edges, "inbound", 2)
+    return tr.trace_calls(g.symbols("name").where(F.col("name") == _hot_name(g)).select("id"), g.edges, "inbound", 2)
 
 
 @query("trace_both", _G + _CALLS + """, o(id, depth) AS (SELECT id, 0 FROM root UNION SELECT dst_id, depth + 1 FROM o JOIN c ON c.src_id = o.id WHERE depth < 2),
@@ -433,7 +422,14 @@ def trace_both(spark, d):
     return tr.trace_calls(_root(g), g.edges, "both", 2)
 
 
-@query("blast_radius")
+# distances: every node enters once, in the round that reaches it first
+_BLAST = """, x AS (SELECT DISTINCT src_id, dst_id, kind FROM e WHERE kind IN ('calls', 'imports', 'inherits')),
+w(id, dist) USING KEY (id) AS (SELECT id, 0 FROM root UNION SELECT x.src_id, min(w.dist) + 1 FROM w JOIN x ON x.dst_id = w.id
+  WHERE x.src_id NOT IN (SELECT id FROM recurring.w) GROUP BY x.src_id)
+"""
+
+
+@query("blast_radius", _G + _BLAST + "SELECT w.id, w.dist AS distance, min(x.kind) AS via FROM w JOIN x ON x.src_id = w.id JOIN w n ON n.id = x.dst_id AND n.dist = w.dist - 1 WHERE w.dist > 0 GROUP BY 1, 2")
 def blast_radius(spark, d):
     g = Graph(spark, d)
     return tr.blast_radius(_root(g), g.edges)
@@ -457,7 +453,12 @@ def reachable(spark, d):
     return flow_layers(spark, d).select("id")
 
 
-@query("flow_layers")
+_FLOW = _CALLS + """, w(id, layer) USING KEY (id) AS (SELECT id, 0 FROM root UNION SELECT c.dst_id, min(w.layer) + 1 FROM w JOIN c ON c.src_id = w.id
+  WHERE c.dst_id NOT IN (SELECT id FROM recurring.w) GROUP BY c.dst_id)
+"""
+
+
+@query("flow_layers", _G + _FLOW + "SELECT id, layer FROM w")
 def flow_layers(spark, d):
     g = Graph(spark, d)
     return tr.flow_layers(_root(g), g.edges)
@@ -469,132 +470,158 @@ def flow_edges(spark, d):
     return tr.induced(g.edges.where("kind = 'calls'").select("src_id", "dst_id"), tr.flow_layers(_root(g), g.edges))
 
 
-@query("exec_path")
+@query("exec_path", _G + _CALLS + """, v AS (SELECT DISTINCT src_id AS test_id, dst_id AS id FROM e WHERE kind = 'test_covers'),
+i AS (SELECT DISTINCT a.test_id, c.src_id, c.dst_id FROM c JOIN v a ON a.id = c.src_id JOIN v b ON b.id = c.dst_id AND b.test_id = a.test_id),
+o AS (SELECT test_id, id FROM v EXCEPT SELECT test_id, dst_id FROM i WHERE src_id <> dst_id), o2 AS (SELECT * FROM o UNION SELECT * FROM v WHERE test_id NOT IN (SELECT test_id FROM o)),
+w(test_id, id, layer) USING KEY (test_id, id) AS (SELECT test_id, id, 0 FROM o2 UNION SELECT i.test_id, i.dst_id, min(w.layer) + 1 FROM w JOIN i ON i.test_id = w.test_id AND i.src_id = w.id
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.w r WHERE r.test_id = i.test_id AND r.id = i.dst_id) GROUP BY 1, 2)
+SELECT v.test_id, v.id, coalesce(w.layer, 0) AS layer FROM v LEFT JOIN w USING (test_id, id)""")
 def exec_path(spark, d):
     g = Graph(spark, d)
     tests = g.edges.where("kind = 'test_covers'").select(F.col("src_id").alias("id")).distinct()
     return tr.exec_path(tests, g.edges)
 
 
-@query("reach_size", _G + _CALLS + """, k AS (SELECT id FROM d WHERE kind = 'class'), w(origin, id) AS (SELECT id, id FROM k UNION SELECT origin, dst_id FROM w JOIN c ON c.src_id = w.id)
+@query("reach_size", _G + _CALLS + """, w(origin, id) AS (SELECT id, id FROM d UNION SELECT origin, dst_id FROM w JOIN c ON c.src_id = w.id)
 SELECT origin AS id, count(*) - 1 AS reach FROM w GROUP BY 1""")
 def reach_size(spark, d):
     g = Graph(spark, d)
-    return tr.reach_sizes(g.located().where("kind = 'class'"), g.edges)
+    return tr.reach_sizes(g.located("kind").where("kind in ('function', 'class')"), g.edges)
 
 
 # ---- whole-graph algorithms
 
 def _calls_among(g: Graph) -> tuple[DataFrame, DataFrame]:
-    d = g.located().where("kind in ('function', 'class')").select("id")
-    return d, tr.induced(g.edges.where("kind = 'calls'"), d)
+    d = cut(g.located("kind").where("kind in ('function', 'class')").select("id"))
+    return d, cut(tr.induced(g.edges.where("kind = 'calls'").select("src_id", "dst_id"), d))
+
+
+# calls among definitions, the pairs of which one reaches the other, components, edges between these
+_AMONG = """, c AS (SELECT DISTINCT src_id, dst_id FROM e WHERE kind = 'calls' AND src_id IN (SELECT id FROM d) AND dst_id IN (SELECT id FROM d))
+"""
+_COMP = _AMONG + """, p(x, y) AS (SELECT src_id, dst_id FROM c UNION SELECT x, dst_id FROM p JOIN c ON c.src_id = p.y),
+m AS (SELECT a.x AS id, min(a.y) AS y FROM p a JOIN p b ON b.x = a.y AND b.y = a.x GROUP BY 1),
+k AS (SELECT d.id, least(d.id, coalesce(m.y, d.id)) AS comp FROM d LEFT JOIN m USING (id)),
+cc AS (SELECT DISTINCT a.comp AS src_comp, b.comp AS dst_comp FROM c JOIN k a ON a.id = c.src_id JOIN k b ON b.id = c.dst_id WHERE a.comp <> b.comp),
+rc AS (SELECT comp FROM k EXCEPT SELECT dst_comp FROM cc),
+fl AS (SELECT id, comp, count(*) OVER (PARTITION BY comp) > 1 OR id IN (SELECT src_id FROM c WHERE src_id = dst_id) AS in_cycle FROM k)
+"""
 
 
-@query("in_cycle")
+@query("in_cycle", _G + _COMP + "SELECT id, comp, in_cycle FROM fl")
 def in_cycle(spark, d):
     n, e = _calls_among(Graph(spark, d))
     return alg.in_cycle(n, e)
 
 
-@query("root_components")
+@query("root_components", _G + _COMP + "SELECT comp FROM rc")
 def root_components(spark, d):
     n, e = _calls_among(Graph(spark, d))
-    e = cut(e)
     return alg.root_components(cut(alg.strong_components(n, e)), e)
 
 
-_ACYCLIC = ", a AS (SELECT DISTINCT src_id, dst_id FROM e WHERE kind = 'inherits' AND src_id < dst_id)\n"
-
-
-@query("scc", _G + """, a AS (SELECT DISTINCT src_id, dst_id FROM e WHERE kind = 'inherits'), r(x, y) AS (SELECT src_id, dst_id FROM a UNION SELECT x, dst_id FROM r JOIN a ON a.src_id = r.y)
-SELECT id, least(id, coalesce((SELECT min(p.y) FROM r p JOIN r q ON q.x = p.y AND q.y = p.x WHERE p.x = k.id), id)) AS comp FROM (SELECT id FROM d) k""")
+@query("scc", _G + _COMP + "SELECT id, comp FROM k")
 def scc(spark, d):
-    g = Graph(spark, d)
-    return alg.strong_components(g.located().where("kind in ('function', 'class')").select("id"), g.edges.where("kind = 'inherits'"))
+    n, e = _calls_among(Graph(spark, d))
+    return alg.strong_components(n, e)
 
 
-@query("longest_path", _G + _ACYCLIC + """, w(id, depth) AS (SELECT id, 0 FROM (SELECT src_id AS id FROM a EXCEPT SELECT dst_id FROM a) UNION SELECT dst_id, depth + 1 FROM w JOIN a ON a.src_id = w.id)
-SELECT id AS comp, max(depth) AS depth FROM w GROUP BY 1""")
+@query("longest_path", _G + _COMP + """, w(comp, depth) AS (SELECT comp, 0 FROM rc UNION SELECT dst_comp, depth + 1 FROM w JOIN cc ON cc.src_comp = w.comp)
+SELECT comp, max(depth) AS depth FROM w GROUP BY 1""")
 def longest_path(spark, d):
-    e = Graph(spark, d).edges.where("kind = 'inherits' and src_id < dst_id").select(F.col("src_id").alias("src_comp"), F.col("dst_id").alias("dst_comp")).distinct()
-    roots = e.select(F.col("src_comp").alias("comp")).distinct().join(e.select(F.col("dst_comp").alias("comp")), "comp", "left_anti")
-    return alg.longest_depths(roots, e)
+    n, e = _calls_among(Graph(spark, d))
+    comp = cut(alg.strong_components(n, e))
+    return alg.longest_depths(alg.root_components(comp, e), cut(alg.condensed(comp, e)))
 
 
-@query("main_spine")
+@query("main_spine", _G + _COMP + """, w(comp, depth) AS (SELECT comp, 0 FROM k WHERE id IN (SELECT id FROM root) UNION SELECT dst_comp, depth + 1 FROM w JOIN cc ON cc.src_comp = w.comp),
+dp AS (SELECT comp, max(depth) AS depth FROM w GROUP BY 1),
+h(comp, depth) AS (SELECT * FROM (SELECT comp, depth FROM dp ORDER BY depth DESC, comp LIMIT 1)
+  UNION SELECT min(cc.src_comp), h.depth - 1 FROM h JOIN cc ON cc.dst_comp = h.comp JOIN dp ON dp.comp = cc.src_comp AND dp.depth = h.depth - 1 GROUP BY h.depth)
+SELECT fl.id, h.depth AS layer, fl.in_cycle FROM h JOIN fl USING (comp)""")
 def main_spine(spark, d):
     g = Graph(spark, d)
     n, e = _calls_among(g)
     return alg.main_spine(_root(g), n, e)
 
 
-@query("betweenness", _G + """, a AS (SELECT DISTINCT src_id, dst_id FROM e WHERE kind = 'inherits' AND src_id <> dst_id),
-w(x, y, dist, n) AS (SELECT src_id, dst_id, 1, CAST(1 AS DOUBLE) FROM a UNION ALL SELECT x, y, dist, n FROM (SELECT w.x, a.dst_id AS y, w.dist + 1 AS dist, sum(w.n) AS n FROM w JOIN a ON a.src_id = w.y WHERE w.dist < 80 GROUP BY 1, 2, 3)),
-p AS (SELECT x, y, dist, n FROM (SELECT *, min(dist) OVER (PARTITION BY x, y) AS m FROM w) WHERE dist = m AND x <> y)
-SELECT k.id, round(coalesce(b, 0), 6) AS betweenness FROM (SELECT src_id AS id FROM a UNION SELECT dst_id FROM a) k LEFT JOIN (
-  SELECT l.y AS id, sum(l.n * r.n / t.n) AS b FROM p l JOIN p r ON r.x = l.y JOIN p t ON t.x = l.x AND t.y = r.y AND t.dist = l.dist + r.dist GROUP BY 1) USING (id)""")
+# shares flow back from the farthest layer of every source; one row per (source, node) and layer
+@query("betweenness", _G + _AMONG + """, ce AS (SELECT * FROM c WHERE src_id <> dst_id),
+w(s, v, dist, n) USING KEY (s, v) AS (SELECT id, id, 0, CAST(1 AS DOUBLE) FROM d UNION SELECT w.s, ce.dst_id, w.dist + 1, sum(w.n) FROM w JOIN ce ON ce.src_id = w.v
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.w r WHERE r.s = w.s AND r.v = ce.dst_id) GROUP BY w.s, ce.dst_id, w.dist),
+z AS (SELECT w.s, w.v, w.dist, w.n, x.v AS nv, x.n AS nn FROM w LEFT JOIN (SELECT ce.src_id, t.s, t.v, t.dist, t.n FROM ce JOIN w t ON t.v = ce.dst_id) x ON x.src_id = w.v AND x.s = w.s AND x.dist = w.dist + 1),
+b(s, v, dist, share) USING KEY (s, v) AS (SELECT s, v, dist, CAST(0 AS DOUBLE) FROM w WHERE dist = (SELECT max(dist) FROM w)
+  UNION SELECT z.s, z.v, z.dist, sum(CASE WHEN z.nv IS NULL THEN 0 ELSE z.n / z.nn * (1 + r.share) END) FROM z LEFT JOIN recurring.b r ON r.s = z.s AND r.v = z.nv
+    WHERE z.dist = (SELECT min(dist) - 1 FROM b) GROUP BY z.s, z.v, z.dist)
+SELECT d.id, round(coalesce(t.share, 0), 4) AS betweenness FROM d LEFT JOIN (SELECT v AS id, sum(share) AS share FROM b WHERE s <> v GROUP BY 1) t USING (id)""")
 def betweenness(spark, d):
-    e = Graph(spark, d).edges.where("kind = 'inherits' and src_id <> dst_id").select("src_id", "dst_id").distinct()
-    n = e.select(F.explode(F.array("src_id", "dst_id")).alias("id")).distinct()
-    return alg.betweenness(n, e).select("id", F.round("betweenness", 6).alias("betweenness"))
+    n, e = _calls_among(Graph(spark, d))
+    return alg.betweenness(n, e).select("id", F.round("betweenness", 4).alias("betweenness"))
+
+
+# a node dominates what the roots do not reach without it
+_DOMINATES = """, ro AS (SELECT min(id) AS id FROM k WHERE comp IN (SELECT comp FROM rc) GROUP BY comp),
+q(id) AS (SELECT id FROM ro UNION SELECT dst_id FROM q JOIN c ON c.src_id = q.id),
+v(gone, id) AS (SELECT q.id, ro.id FROM q, ro WHERE q.id <> ro.id UNION SELECT gone, dst_id FROM v JOIN c ON c.src_id = v.id WHERE dst_id <> gone),
+dm AS (SELECT d.id, CASE WHEN q.id IS NULL THEN 0 ELSE (SELECT count(*) FROM q) - 1 - coalesce(n, 0) END AS dominates FROM d LEFT JOIN q USING (id) LEFT JOIN (SELECT gone AS id, count(*) AS n FROM v GROUP BY 1) USING (id))
+"""
 
 
-@query("dominates_count", _G + """, a AS (SELECT DISTINCT src_id, dst_id FROM e WHERE kind = 'inherits' AND src_id <> dst_id), k AS (SELECT src_id AS id FROM a UNION SELECT dst_id FROM a),
-o AS (SELECT src_id AS id FROM a EXCEPT SELECT dst_id FROM a), w(id) AS (SELECT id FROM o UNION SELECT dst_id FROM w JOIN a ON a.src_id = w.id),
-v(cut, id) AS (SELECT w.id, o.id FROM w, o WHERE w.id <> o.id UNION SELECT cut, dst_id FROM v JOIN a ON a.src_id = v.id WHERE dst_id <> cut)
-SELECT k.id, CASE WHEN k.id IN (SELECT id FROM w) THEN (SELECT count(*) FROM w) - 1 - (SELECT count(*) FROM v WHERE v.cut = k.id) ELSE 0 END AS dominates FROM k""")
+@query("dominates_count", _G + _COMP + _DOMINATES + "SELECT id, dominates FROM dm")
 def dominates_count(spark, d):
-    e = Graph(spark, d).edges.where("kind = 'inherits' and src_id <> dst_id").select("src_id", "dst_id").distinct()
-    n = e.select(F.explode(F.array("src_id", "dst_id")).alias("id")).distinct()
-    roots = n.join(e.select(F.col("dst_id").alias("id")), "id", "left_anti")
+    """From the smallest member of every component that no other leads to."""
+    n, e = _calls_among(Graph(spark, d))
+    comp = cut(alg.strong_components(n, e))
+    roots = comp.join(alg.root_components(comp, e), "comp", "left_semi").groupBy("comp").agg(F.min("id").alias("id"))
     return alg.dominated_counts(roots, n, e)
 
 
-# the same over the whole call graph among definitions; too slow in SQL, tested on small graphs instead
+# ---- ranking
 
-@query("call_scc")
-def call_scc(spark, d):
-    n, e = _calls_among(Graph(spark, d))
-    return alg.strong_components(n, e)
+def _named_markers(g: Graph) -> DataFrame:
+    """(id, marker, step): functions called main, and those whose name starts like a decorator that marks entry points."""
+    f = g.symbols("file_id", "name", "kind").where("kind = 'function'")
+    marker = F.when(F.col("name") == "main", "main").otherwise(rk.decorator_marker(F.split("name", "_")[0]))
+    return f.select("id", marker.alias("marker"), F.when(F.col("name") == "main", 0).otherwise(2).alias("step")).where("marker is not null")
 
 
-@query("call_longest_path")
-def call_longest_path(spark, d):
-    n, e = _calls_among(Graph(spark, d))
-    e = cut(e)
-    comp = cut(alg.strong_components(n, e))
-    return alg.longest_depths(alg.root_components(comp, e), cut(alg.condensed(comp, e)))
+_MARKED = """, mk AS (SELECT id, CASE WHEN name = 'main' THEN 'main' WHEN list_contains({web}, string_split(name, '_')[1]) THEN 'web_route' WHEN list_contains({cli}, string_split(name, '_')[1]) THEN 'cli' END AS marker FROM s WHERE kind = 'function')
+""".format(web=rk.WEB_DECORATORS, cli=rk.CLI_DECORATORS)
 
 
-@query("call_reach_size")
-def call_reach_size(spark, d):
-    n, e = _calls_among(Graph(spark, d))
-    return tr.reach_sizes(n, e)
-
+@query("named_markers", _G + _MARKED + "SELECT id, marker FROM mk WHERE marker IS NOT NULL")
+def named_markers(spark, d):
+    return _named_markers(Graph(spark, d)).select("id", "marker")
 
-@query("call_betweenness")
-def call_betweenness(spark, d):
-    n, e = _calls_among(Graph(spark, d))
-    return alg.betweenness(n, e).select("id", F.round("betweenness", 6).alias("betweenness"))
 
+def _ranked(g: Graph, markers: DataFrame) -> DataFrame:
+    return cut(rk.entrypoints(g.located(), g.edges, markers))
 
-@query("call_dominates_count")
-def call_dominates_count(spark, d):
-    g, ranked = _ranked(spark, d)
-    n, e = _calls_among(g)
-    return alg.dominated_counts(ranked.select("id"), n, e)
 
+_RANK = _MARKED + """, w(origin, id) AS (SELECT id, id FROM d UNION SELECT origin, dst_id FROM w JOIN (SELECT DISTINCT src_id, dst_id FROM e WHERE kind = 'calls') a ON a.src_id = w.id),
+rs AS (SELECT origin AS id, count(*) - 1 AS reach FROM w GROUP BY 1), dg AS ({deg}),
+lib AS (SELECT count(*) = 0 AS yes FROM mk WHERE marker IS NOT NULL),
+own AS (SELECT d.id, coalesce(mk.marker, CASE WHEN (SELECT yes FROM lib) AND NOT starts_with(d.name, '_') AND (d.kind = 'class' OR d.id NOT IN (SELECT method_id FROM cm)) THEN 'public_api' END) AS marker FROM d LEFT JOIN mk USING (id)),
+cand AS (SELECT d.*, own.marker FROM d JOIN own USING (id) WHERE own.marker IS NOT NULL OR d.id IN (SELECT id FROM k WHERE comp IN (SELECT comp FROM rc))),
+en AS (SELECT row_number() OVER (ORDER BY marker IS NULL, CASE WHEN (SELECT yes FROM lib) THEN coalesce(degree, 0) ELSE reach END DESC, CASE WHEN (SELECT yes FROM lib) THEN reach ELSE coalesce(degree, 0) END DESC, name, id) AS rank,
+  id, name, path, marker, (SELECT yes FROM lib) AS is_library, coalesce(degree, 0) AS degree, reach FROM cand JOIN rs USING (id) LEFT JOIN dg USING (id))
+""".format(deg=_DEG)
 
-# ---- ranking
 
-def _ranked(spark: SparkSession, d: str) -> tuple[Graph, DataFrame]:
+@query("entrypoint_rank", _G + _METHODS + _COMP + _RANK + "SELECT CAST(rank AS INTEGER) AS rank, id, name, path, marker, is_library, degree, reach, rank = 1 AS primary FROM en")
+def entrypoint_rank(spark, d):
     g = Graph(spark, d)
-    return g, cut(rk.entrypoints(g.located(), g.edges, _markers(spark, d)))
+    return _ranked(g, _named_markers(g))
 
 
-@query("entrypoint_rank")
-def entrypoint_rank(spark, d):
-    return _ranked(spark, d)[1]
+_NO_MARKED = ", mk AS (SELECT id, CAST(NULL AS VARCHAR) AS marker FROM s WHERE false)\n"
+
+
+@query("library_rank", _G + _METHODS + _COMP + _RANK.replace(_MARKED, _NO_MARKED) + "SELECT CAST(rank AS INTEGER) AS rank, id, marker, is_library FROM en")
+def library_rank(spark, d):
+    """Without a marker the project is a library, and its public definitions count."""
+    g = Graph(spark, d)
+    return _ranked(g, spark.createDataFrame([], "id long, marker string, step int")).select("rank", "id", "marker", "is_library")
 
 
 @query("decorator_markers")
@@ -604,58 +631,101 @@ def decorator_markers(spark, d):
 
 @query("import_roots", _G + "SELECT DISTINCT file_id, string_split(coalesce(import_module, import_name, name), '.')[1] AS root FROM s WHERE kind = 'import'")
 def import_roots(spark, d):
-    return rk.import_roots(Graph(spark, d).symbols)
+    return rk.import_roots(Graph(spark, d).symbols("file_id", "name", "kind", "import_module", "import_name"))
 
 
-def _no_markers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "id long, marker string, step int")
+_LAYER = _MARKED + """, fr AS (SELECT file_id, list(DISTINCT string_split(coalesce(import_module, import_name, name), '.')[1]) AS r FROM s WHERE kind = 'import' GROUP BY 1),
+fl2 AS (SELECT f.id AS file_id, CASE WHEN f.id IN (SELECT file_id FROM s JOIN mk USING (id) WHERE marker IN ('web_route', 'cli')) OR list_has_any(r, {web}) THEN 'interface' WHEN list_has_any(r, {data}) THEN 'data'
+  WHEN list_has_any(r, {transport}) THEN 'transport' ELSE 'business' END AS layer FROM f LEFT JOIN fr ON fr.file_id = f.id)
+""".format(web=rk.WEB, data=rk.DATA, transport=rk.TRANSPORT)
 
 
-_LAYER = """, fr AS (SELECT file_id, list(DISTINCT string_split(coalesce(import_module, import_name, name), '.')[1]) AS r FROM s WHERE kind = 'import' GROUP BY 1),
-fl AS (SELECT f.id AS file_id, CASE WHEN list_has_any(r, {web}) THEN 'interface' WHEN list_has_any(r, {data}) THEN 'data' WHEN list_has_any(r, {transport}) THEN 'transport' ELSE 'business' END AS layer FROM f LEFT JOIN fr ON fr.file_id = f.id)
-""".format(web=rk.WEB, data=rk.DATA, transport=rk.TRANSPORT)
+def _import_symbols(g: Graph) -> DataFrame:
+    return g.symbols("file_id", "name", "kind", "import_module", "import_name")
 
 
-@query("layers", _G + _LAYER + "SELECT s.id, name, layer FROM s JOIN fl USING (file_id) WHERE kind IN ('function', 'class')")
+@query("layers", _G + _LAYER + "SELECT s.id, name, layer FROM s JOIN fl2 USING (file_id) WHERE kind IN ('function', 'class')")
 def layers(spark, d):
     g = Graph(spark, d)
-    return rk.symbol_layers(g.files, g.symbols, _no_markers(spark))
+    return rk.symbol_layers(g.files, _import_symbols(g), _named_markers(g))
 
 
-@query("layer_counts", _G + _LAYER + "SELECT layer, count(*) AS n FROM s JOIN fl USING (file_id) WHERE kind IN ('function', 'class') GROUP BY 1")
+@query("layer_counts", _G + _LAYER + "SELECT layer, count(*) AS n FROM s JOIN fl2 USING (file_id) WHERE kind IN ('function', 'class') GROUP BY 1")
 def layer_counts(spark, d):
     return layers(spark, d).groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("archetype", _G + f"SELECT CASE WHEN bool_or(list_contains({rk.WEB + rk.QUEUE_RPC}, string_split(coalesce(import_module, import_name, name), '.')[1])) THEN 'service' ELSE 'library' END AS archetype FROM s WHERE kind = 'import'")
+@query("layer_view", _G + _LAYER + """SELECT l.id, l.name, path, layer, list_position(['interface', 'business', 'data', 'transport'], layer) AS tier, l.name IN (SELECT s.name FROM s JOIN l USING (id) JOIN mk USING (id) WHERE marker = 'web_route') AS endpoint
+FROM l JOIN fl2 USING (file_id) WHERE kind IN ('function', 'class')""")
+def layer_view(spark, d):
+    g = Graph(spark, d)
+    located = g.located("name", "kind", "import_module", "import_name")
+    return rk.layer_view(g.files, located, g.edges, _named_markers(g))[0].withColumn("tier", F.col("tier").cast("int"))
+
+
+@query("layer_view_edges", _G + _AMONG + "SELECT src_id, dst_id FROM c")
+def layer_view_edges(spark, d):
+    g = Graph(spark, d)
+    located = g.located("name", "kind", "import_module", "import_name")
+    return rk.layer_view(g.files, located, g.edges, _named_markers(g))[1]
+
+
+@query("archetype", _G + _MARKED + f"""SELECT CASE WHEN (SELECT bool_or(list_contains({rk.WEB + rk.QUEUE_RPC}, string_split(coalesce(import_module, import_name, name), '.')[1])) FROM s WHERE kind = 'import') OR 'web_route' IN (SELECT marker FROM mk) THEN 'service'
+  WHEN (SELECT count(*) FROM mk WHERE marker IN ('main', 'main_guard', 'console_script', 'cli')) > 0 THEN 'application' ELSE 'library' END AS archetype""")
 def archetype(spark, d):
-    return rk.archetype(Graph(spark, d).symbols, _no_markers(spark))
+    g = Graph(spark, d)
+    return rk.archetype(_import_symbols(g), _named_markers(g))
+
 
+_CENTRAL = _COMP + _DOMINATES + ", cdg AS (SELECT id, count(*) AS degree FROM (SELECT unnest([src_id, dst_id]) AS id FROM c) GROUP BY 1)\n"
 
-@query("centrality")
+
+def _central(g: Graph) -> DataFrame:
+    """Centrality below the smallest member of every component that no other leads to."""
+    n, e = _calls_among(g)
+    comp = cut(alg.strong_components(n, e))
+    roots = comp.join(alg.root_components(comp, e), "comp", "left_semi").groupBy("comp").agg(F.min("id").alias("id"))
+    return cut(rk.centrality(g.located("name", "kind"), g.edges, roots))
+
+
+@query("centrality", _G + _CENTRAL + "SELECT d.id, d.name, d.path, dominates, coalesce(degree, 0) AS degree FROM d JOIN dm USING (id) LEFT JOIN cdg USING (id)")
 def centrality(spark, d):
-    g, ranked = _ranked(spark, d)
-    return rk.centrality(g.located(), g.edges, ranked.select("id"))
+    """Without the betweenness, which has a query of its own."""
+    return _central(Graph(spark, d)).select("id", "name", "path", "dominates", "degree")
 
 
-def _targets(spark: SparkSession, d: str):
-    g, ranked = _ranked(spark, d)
-    central = cut(rk.centrality(g.located(), g.edges, ranked.select("id")))
-    return g, ranked, rk.test_targets(g.located(), g.edges, ranked, central)
+def _targets(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """Ranked entry points, test targets by dominated symbols and degree."""
+    ranked = _ranked(g, _named_markers(g))
+    return ranked, rk.test_targets(g.located("name", "kind"), g.edges, ranked, _central(g).withColumn("betweenness", F.lit(0.0)))
 
 
-@query("test_targets")
+_TARGETS = _CENTRAL.replace(_COMP, "") + """, tg AS (SELECT d.id, d.name, d.path, CASE WHEN en.rank = 1 THEN 1000.0 WHEN en.id IS NOT NULL THEN 200.0 ELSE 0.0 END + dominates * 5 + coalesce(cdg.degree, 0) AS score,
+  concat_ws('; ', CASE WHEN en.rank = 1 THEN 'primary entrypoint' WHEN en.marker IS NOT NULL THEN 'entrypoint (' || en.marker || ')' WHEN en.id IS NOT NULL THEN 'entrypoint' END, CASE WHEN dominates > 0 THEN 'gateway (dominates ' || dominates || ')' END) AS why
+  FROM d JOIN dm USING (id) LEFT JOIN cdg USING (id) LEFT JOIN en ON en.id = d.id WHERE NOT (""" + _IS_TEST.replace("path", "d.path") + """ OR starts_with(d.name, 'test_') OR d.name = 'test') AND d.id NOT IN (SELECT dst_id FROM e WHERE kind = 'test_covers'))
+"""
+
+
+@query("test_targets", _G + _METHODS + _COMP + _RANK + _TARGETS + "SELECT id, name, path, CAST(score AS DOUBLE) AS score, CASE WHEN why = '' THEN 'untested' ELSE why END AS reason FROM tg")
 def test_targets(spark, d):
-    return _targets(spark, d)[2]
+    """Scores without the betweenness, which has a query of its own."""
+    return _targets(Graph(spark, d))[1]
 
 
-@query("test_plan")
+@query("test_plan", _G + _METHODS + _COMP + _RANK + _TARGETS + """, tp AS (SELECT * FROM en WHERE NOT """ + _IS_TEST + """ ORDER BY rank = 1 DESC, reach DESC, rank LIMIT 15),
+tr AS (SELECT name, CASE WHEN why = '' THEN 'untested' ELSE why END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, id) AS j FROM tg) WHERE j = 1)
+SELECT tp.name, tp.path, tp.rank = 1 AS primary, tp.reach, tp.name IN (SELECT name FROM s WHERE id IN (SELECT dst_id FROM e WHERE kind = 'test_covers')) AS has_test,
+  coalesce(tr.reason, CASE WHEN tp.rank = 1 THEN 'primary entrypoint' ELSE 'entrypoint' END) AS reason FROM tp LEFT JOIN tr USING (name)""")
 def test_plan(spark, d):
-    g, ranked, targets = _targets(spark, d)
-    return rk.test_plan(g.located(), g.edges, ranked, targets)
+    g = Graph(spark, d)
+    ranked, targets = _targets(g)
+    return rk.test_plan(g.located("name"), g.edges, ranked, targets)
 
 
-@query("blast_radius_top_hubs")
+@query("blast_radius_top_hubs", _G + """, hb AS (SELECT id, degree, name, path FROM (""" + _DEG + """) JOIN l USING (id) ORDER BY degree DESC, name, id LIMIT 10),
+ht AS (SELECT * FROM hb WHERE NOT """ + _IS_TEST + """ ORDER BY degree DESC, name, id LIMIT 5), x AS (SELECT DISTINCT src_id, dst_id FROM e WHERE kind IN ('calls', 'imports', 'inherits')),
+w(origin, id) AS (SELECT id, id FROM ht UNION SELECT origin, src_id FROM w JOIN x ON x.dst_id = w.id)
+SELECT ht.id, ht.name, count(*) - 1 AS affected FROM ht JOIN w ON w.origin = ht.id GROUP BY 1, 2""")
 def blast_radius_top_hubs(spark, d):
     g = Graph(spark, d)
     return rk.risk(lk.hubs(g.located(), g.edges), g.edges)
@@ -684,7 +754,7 @@ def line_or_merge(spark, d):
 FROM s LEFT JOIN fc ON fc.file_id = s.file_id AND fc.line BETWEEN s.line_start AND coalesce(s.line_end, s.line_start) WHERE s.line_start IS NOT NULL GROUP BY s.id""")
 def symbol_coverage(spark, d):
     g = Graph(spark, d)
-    return cov.symbol_coverage(g.symbols, cov.file_line_coverage(_line_coverage(g), g.files)).select("id", F.round("pct", 6).alias("pct"))
+    return cov.symbol_coverage(g.symbols(), cov.file_line_coverage(_line_coverage(g), g.files)).select("id", F.round("pct", 6).alias("pct"))
 
 
 @query("reconcile_paths", _G + """, r AS (SELECT DISTINCT array_to_string(string_split(path, '/')[2:], '/') AS report FROM f WHERE len(string_split(path, '/')) > 1),

@@ -12,6 +12,7 @@ import bisect
 import re
 import warnings
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,10 +22,13 @@ from pyspark.sql import functions as F
 LANGUAGES = {
     "python": ("py", "pyi"), "rust": ("rs",), "typescript": ("ts", "tsx", "mts", "cts"), "javascript": ("js", "jsx", "mjs", "cjs")}
 BY_EXTENSION = {e: k for k, es in LANGUAGES.items() for e in es}
+# Decorators that mark entry points.
+WEB_DECORATORS = "route get post put delete patch head options websocket".split()
+CLI_DECORATORS = "command group callback".split()
 
-# fact: symbol, call, assign, base, param, marker or error; columns unused by a fact are null
+# fact: symbol, call, assign, base, param, marker or error; n numbers the facts of a file; columns unused by a fact are null
 SCHEMA = (
-    "file_id long, fact string, name string, kind string, line long, line_end long, docstring string, import_module string, import_name string, "
+    "file_id long, n long, fact string, name string, kind string, line long, line_end long, docstring string, import_module string, import_name string, "
     "receiver string, var string, args array<string>")
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 _EMPTY = dict.fromkeys(COLUMNS)
@@ -36,12 +40,18 @@ def _row(fact: str, **kw) -> dict:
 
 # ---- Python
 
-def _doc(node: ast.AST, source: str, lines: list[str]) -> str | None:
-    """The text between the quotes of a docstring, as written."""
+_LINE = re.compile(rb"[^\r\n]*(?:\r\n|\r|\n|\Z)")
+
+
+def _doc(node: ast.AST, lines: list[bytes]) -> str | None:
+    """The text between the quotes of a docstring, as written; lines are those of the source, in UTF-8."""
     body = getattr(node, "body", None)
     if not body or not isinstance(body[0], ast.Expr) or not isinstance(body[0].value, ast.Constant) or not isinstance(body[0].value.value, str):
         return None
-    text = ast.get_source_segment(source, body[0].value) or ""
+    at = body[0].value
+    own = lines[at.lineno - 1:at.end_lineno]
+    own[-1] = own[-1][:at.end_col_offset]
+    text = b"".join(own)[at.col_offset:].decode("utf-8", "replace")
     m = re.fullmatch(r"(?s)[rRuU]{0,2}('''|\"\"\"|'|\")(.*)\1", text)
     return m.group(2) if m and not re.search(r"(?<!\\)" + re.escape(m.group(1)), m.group(2)) else None
 
@@ -64,8 +74,9 @@ def _decorator_name(node: ast.AST) -> str | None:
     return _last(node.func) if isinstance(node, ast.Call) else _last(node) if isinstance(node, (ast.Name, ast.Attribute)) else None
 
 
-_WEB = frozenset("route get post put delete patch head options websocket".split())
-_CLI = frozenset("command group callback".split())
+def marker_of(decorator: str | None) -> str | None:
+    """Kind of entry point that a decorator makes of a function."""
+    return "web_route" if decorator in WEB_DECORATORS else "cli" if decorator in CLI_DECORATORS else None
 
 
 def python_facts(source: str) -> list[dict]:
@@ -75,7 +86,7 @@ def python_facts(source: str) -> list[dict]:
             tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         return _python_lines(source) + [_row("error", line=getattr(e, "lineno", None) or 1, name=type(e).__name__)]
-    lines = source.splitlines()
+    lines = _LINE.findall(source.encode("utf-8", "surrogatepass"))
     out = []
     for node in tree.body:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) and node.name == "main" and not node.decorator_list:
@@ -83,14 +94,13 @@ def python_facts(source: str) -> list[dict]:
     for node in ast.walk(tree):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             kind = "class" if isinstance(node, ast.ClassDef) else "function"
-            out.append(_row("symbol", name=node.name, kind=kind, line=node.lineno, line_end=node.end_lineno, docstring=_doc(node, source, lines)))
+            out.append(_row("symbol", name=node.name, kind=kind, line=node.lineno, line_end=node.end_lineno, docstring=_doc(node, lines)))
             if kind == "class":
                 out += [_row("base", name=b, line=node.lineno) for b in map(_last, node.bases) if b]
             else:
                 out += [_row("param", name=p, line=node.lineno) for p in _params(node.args)]
                 for d in node.decorator_list:
-                    n = _decorator_name(d)
-                    k = "web_route" if n in _WEB else "cli" if n in _CLI else None
+                    k = marker_of(_decorator_name(d))
                     if k:
                         out.append(_row("marker", name=node.name, kind=k, line=node.lineno))
         elif isinstance(node, (ast.Import, ast.ImportFrom)):
@@ -134,24 +144,25 @@ _IMPORT = re.compile(r"^[ \t]*(?:from[ \t]+([.\w]+)[ \t]+)?import[ \t]+([\w.]+)(
 
 def _python_lines(source: str) -> list[dict]:
     """Declarations by line, where the text does not parse; a block ends before the next line that is not deeper."""
-    lines = source.splitlines()
-    depth = [len(x) - len(x.lstrip()) if x.strip() else None for x in lines]
-    out = []
-    for i, text in enumerate(lines):
+    out, open_blocks = [], []  # open blocks: depth and row
+    last = 0
+    for i, text in enumerate(source.splitlines(), 1):
+        if not text.strip():
+            continue
+        depth = len(text) - len(text.lstrip())
+        while open_blocks and open_blocks[-1][0] >= depth:
+            open_blocks.pop()[1]["line_end"] = last
+        last = i
         m = _DEF.match(text)
         if m:
-            end = i
-            for j in range(i + 1, len(lines)):
-                if depth[j] is None:
-                    continue
-                if depth[j] <= len(m.group(1)):
-                    break
-                end = j
-            out.append(_row("symbol", name=m.group(3), kind="class" if m.group(2) == "class" else "function", line=i + 1, line_end=end + 1))
+            out.append(_row("symbol", name=m.group(3), kind="class" if m.group(2) == "class" else "function", line=i, line_end=i))
+            open_blocks.append((depth, out[-1]))
             continue
         m = _IMPORT.match(text)
         if m:
-            out.append(_row("symbol", name=m.group(3) or m.group(2), kind="import", line=i + 1, line_end=i + 1, import_module=m.group(1), import_name=m.group(2)))
+            out.append(_row("symbol", name=m.group(3) or m.group(2), kind="import", line=i, line_end=i, import_module=m.group(1), import_name=m.group(2)))
+    for _, row in open_blocks:
+        row["line_end"] = last
     return out
 
 
@@ -165,19 +176,45 @@ _TS_QUIET = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|
 _RS_QUIET = re.compile(r"//[^\n]*|/\*.*?\*/|b?r(#*)\".*?\"\1|b?\"(?:[^\"\\]|\\.)*\"|b?'(?:[^'\\\n]|\\[^\n]{1,8}?)'", re.S)
 
 
+_BODY = re.compile(r"[(){};\[\]]")
+
+
 class _Braces:
+    """A text without strings and comments, its brackets matched."""
+
     def __init__(self, text: str, quiet: re.Pattern):
         self.text = text
         self.code = quiet.sub(_blank, text)
         self.starts = [0] + [m.end() for m in re.finditer(r"\n", text)]
         self.close: dict[int, int] = {}
+        self.at: list[int] = []  # braces in order, and how deep the text is after each
+        self.deep: list[int] = []
+        self.bad: int | None = None  # the first bracket without a partner
         stack: list[int] = []
-        for m in re.finditer(r"[{}]", self.code):
-            if m.group() == "{":
-                stack.append(m.start())
-            elif stack:
-                self.close[stack.pop()] = m.start()
-        self.open_left = stack
+        for m in re.finditer(r"[][(){}]", self.code):
+            c, i = m.group(), m.start()
+            if c in "([{":
+                stack.append(i)
+            elif stack and self.code[stack[-1]] + c in ("()", "[]", "{}"):
+                self.close[stack.pop()] = i
+            else:
+                if self.bad is None:
+                    self.bad = i
+                # a closing brace ends what was left open inside its block
+                while c == "}" and stack and self.code[stack[-1]] != "{":
+                    stack.pop()
+                if c == "}" and stack:
+                    self.close[stack.pop()] = i
+            if c in "{}":
+                self.at.append(i)
+                self.deep.append((self.deep[-1] if self.deep else 0) + (1 if c == "{" else -1))
+        if stack and (self.bad is None or stack[0] < self.bad):
+            self.bad = stack[0]
+
+    def depth(self, at: int) -> int:
+        """How many braces are open before at."""
+        i = bisect.bisect_left(self.at, at)
+        return self.deep[i - 1] if i else 0
 
     def line(self, at: int) -> int:
         return bisect.bisect_right(self.starts, at)
@@ -185,7 +222,7 @@ class _Braces:
     def body_end(self, at: int) -> int:
         """Where the declaration at at ends: its closing brace, or the end of its statement."""
         depth = 0
-        for m in re.compile(r"[(){};\[\]]").finditer(self.code, at):
+        for m in _BODY.finditer(self.code, at):
             c = m.group()
             if c in "([":
                 depth += 1
@@ -242,7 +279,7 @@ def script_facts(source: str) -> list[dict]:
                     out.append(_row("base", name=base.group(1).split(".")[-1], line=line))
     for a, z in classes:
         for m in _TS_METHOD.finditer(b.code, a + 1, z):
-            if m.group("name") in _NOT_METHODS or b.code.count("{", a, m.start()) - b.code.count("}", a, m.start()) != 1:
+            if m.group("name") in _NOT_METHODS or b.depth(m.start()) - b.depth(a) != 1:
                 continue
             start = m.start("name")
             lead = re.compile(r"[ \t]*").match(b.code, m.start()).end()
@@ -255,8 +292,8 @@ def script_facts(source: str) -> list[dict]:
         r = m.group("recv")
         receiver, var = ("bare", None) if r is None else ("self", None) if r == "this" else ("other", None) if r == ")" else ("local", r)
         out.append(_row("call", name=m.group("name"), line=line, receiver=receiver, var=var, args=[]))
-    if b.open_left:
-        out.append(_row("error", line=b.line(b.open_left[0]), name="unclosed brace"))
+    if b.bad is not None:
+        out.append(_row("error", line=b.line(b.bad), name="unmatched bracket"))
     return out
 
 
@@ -282,8 +319,8 @@ def rust_facts(source: str) -> list[dict]:
     for m in _RS_DECL.finditer(b.code):
         line = b.line(m.start("kw"))
         out.append(_row("symbol", name=m.group("name"), kind="function" if m.group("kw") == "fn" else m.group("kw"), line=line, line_end=b.line(b.body_end(m.end())), docstring=_rust_doc(lines, line)))
-    if b.open_left:
-        out.append(_row("error", line=b.line(b.open_left[0]), name="unclosed brace"))
+    if b.bad is not None:
+        out.append(_row("error", line=b.line(b.bad), name="unmatched bracket"))
     return out
 
 
@@ -293,6 +330,8 @@ _FOREIGN = re.compile(r"#\[\s*(?:pyo3::)?(pymodule|pyfunction)\b[^\]]*\]((?:\s*#
 def foreign_facts(source: str) -> list[dict]:
     """Functions a native extension exports, its module (the last one) first."""
     code = re.sub(r"//[^\n]*|/\*.*?\*/", _blank, source, flags=re.S)
+    if "pyfunction" not in source and "pymodule" not in source:
+        return []
     module, exports = [], []
     for m in _FOREIGN.finditer(code):
         line = code.count("\n", 0, m.start(3)) + 1
@@ -307,9 +346,9 @@ def foreign_facts(source: str) -> list[dict]:
 EXTRACTORS: dict[str, Callable[[str], list[dict]]] = {"python": python_facts, "rust": rust_facts, "typescript": script_facts, "javascript": script_facts}
 
 
-def facts_of(source: str, ext: str) -> list[dict]:
-    """Facts of one text; a failing extractor gives one error row, an unknown extension none."""
-    f = EXTRACTORS.get(BY_EXTENSION.get(ext.lower(), ""))
+def facts_of(source: str, ext: str, foreign: bool = False) -> list[dict]:
+    """Facts of one text; a failing extractor gives one error row, an unknown extension none. foreign: of Rust, only what it exports."""
+    f = foreign_facts if foreign and ext.lower() == "rs" else EXTRACTORS.get(BY_EXTENSION.get(ext.lower(), ""))
     if f is None:
         return []
     try:
@@ -318,29 +357,44 @@ def facts_of(source: str, ext: str) -> list[dict]:
         return [_row("error", line=1, name=type(e).__name__)]
 
 
-def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _extract(frames: Iterator[pd.DataFrame], foreign: bool = False) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        rows = [_EMPTY | r | {"file_id": i} for i, path, text in zip(pdf["file_id"], pdf["path"], pdf["content"]) for r in facts_of(text, path.rsplit(".", 1)[-1])]
+        rows = [_EMPTY | r | {"file_id": i, "n": n} for i, path, text in zip(pdf["file_id"], pdf["path"], pdf["content"]) for n, r in enumerate(facts_of(text, path.rsplit(".", 1)[-1], foreign))]
         out = pd.DataFrame(rows, columns=COLUMNS, dtype=object)
-        for c in ("file_id", "line", "line_end"):
+        for c in ("file_id", "n", "line", "line_end"):
             out[c] = out[c].astype("Int64")
         yield out
 
 
-def extract(texts: DataFrame) -> DataFrame:
-    """Facts of (file_id, path, content); null texts and paths give none."""
-    return texts.where("content is not null and path is not null").select("file_id", "path", "content").mapInPandas(_extract, SCHEMA)
+def extract(texts: DataFrame, foreign: bool = False) -> DataFrame:
+    """Facts of (file_id, path, content); null texts and paths give none. foreign: of Rust files only the exported functions."""
+    rows = texts.where("content is not null and path is not null").select("file_id", "path", "content")
+    return rows.mapInPandas(partial(_extract, foreign=foreign), SCHEMA)
 
 
 def fact_tables(facts: DataFrame) -> dict[str, DataFrame]:
-    """The tagged rows as tables; call sites get an id of their own."""
-    site = F.xxhash64("file_id", "line", "name", "receiver", "var", "args")
+    """The tagged rows as tables; a call site is known by its file and number."""
+    site = F.concat_ws("#", "file_id", "n")
     return {
         "symbols": facts.where("fact = 'symbol'").select("file_id", "name", "kind", F.col("line").alias("line_start"), "line_end", "docstring", "import_module", "import_name"),
-        "calls": facts.where("fact = 'call'").select(site.alias("site"), "file_id", "line", F.col("name").alias("callee"), "receiver", "var", "args").distinct(),
+        "calls": facts.where("fact = 'call'").select(site.alias("site"), "file_id", "line", F.col("name").alias("callee"), "receiver", "var", "args"),
         "assigns": facts.where("fact = 'assign'").select("file_id", "line", "var", F.col("name").alias("class_name")),
         "bases": facts.where("fact = 'base'").select("file_id", "line", F.col("name").alias("base")),
         "params": facts.where("fact = 'param'").select("file_id", "line", F.col("name").alias("param")),
         "markers": facts.where("fact = 'marker'").select("file_id", "line", "name", F.col("kind").alias("marker")),
         "errors": facts.where("fact = 'error'").select("file_id", "line", "name"),
     }
+
+
+def extractor_udtf():
+    """The extractors as a table function: SELECT * FROM file_text t, LATERAL source_facts(t.content, 'py')."""
+    fields = ", ".join(SCHEMA.split(", ")[1:])
+
+    @F.udtf(returnType=fields)
+    class SourceFacts:
+        def eval(self, content: str, extension: str):
+            for n, r in enumerate(facts_of(content or "", extension or "")):
+                row = _EMPTY | r | {"n": n}
+                yield tuple(row[c] for c in COLUMNS[1:])
+
+    return SourceFacts

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from graphlens.sources.extract import BY_EXTENSION
 
+SKIPPED = ("node_modules", "target")
+
 
 def ignore_regex(pattern: str) -> tuple[str, bool] | None:
     """(regular expression over a relative path, negated) of one ignore pattern; None for blanks, remarks and malformed ones."""
@@ -57,30 +59,47 @@ def ignored(rel_path: str, rules: list[tuple[str, bool]]) -> bool:
     return verdict
 
 
-def scan_tree(spark: SparkSession, root: str, extensions: list[str] | None = None, extra_ignores: list[str] | None = None) -> DataFrame:
+def _ignore_rules(spark: SparkSession, root: str, names: tuple[str, ...]) -> list[tuple[str, str, bool]]:
+    """(directory, regular expression, negated) of the ignore files under root, outer ones first."""
+    sc = spark.sparkContext
+    top = sc._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(top) or not fs.getFileStatus(top).isDirectory():
+        raise FileNotFoundError(root)
+    rules: list[tuple[str, str, bool]] = []
+    level = [("", top)]
+    while level:
+        inner = []
+        for prefix, at in sorted(level, key=lambda x: x[0]):
+            found = {s.getPath().getName(): s for s in fs.listStatus(at)}
+            for n in sorted(set(found) & set(names)):
+                stream = fs.open(found[n].getPath())
+                text = sc._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                stream.close()
+                rules += [(prefix, *r) for r in map(ignore_regex, text.splitlines()) if r]
+            inner += [(f"{prefix}{n}/", s.getPath()) for n, s in found.items() if s.isDirectory() and not n.startswith(".") and n not in SKIPPED]
+        level = inner
+    return rules
+
+
+def scan_tree(spark: SparkSession, root: str, extensions: list[str] | None = None, extra_ignores: list[str] | None = None,
+              ignore_files: tuple[str, ...] = (".gitignore", ".codeignore")) -> DataFrame:
     """(path, content, hash, modified) of the source files under root, ignore files of its directories honoured.
 
     Hidden files and those under node_modules or target are left out; bytes that are no UTF-8 give a
-    null content. A missing root raises.
+    null content. A missing root raises. Only files with the extensions are opened.
     """
-    if not os.path.isdir(root):
-        raise FileNotFoundError(root)
-    rules: list[tuple[str, str, bool]] = []
-    for base, dirs, names in os.walk(root):
-        dirs[:] = [d for d in dirs if not d.startswith(".") and d not in ("node_modules", "target")]
-        for n in sorted(set(names) & {".gitignore", ".codeignore"}):
-            at = os.path.relpath(base, root)
-            prefix = "" if at == "." else at + "/"
-            with open(os.path.join(base, n), encoding="utf-8", errors="replace") as f:
-                rules += [(prefix, *r) for r in map(ignore_regex, f) if r]
+    rules = _ignore_rules(spark, root, ignore_files)
     rules += [("", *r) for r in map(ignore_regex, extra_ignores or []) if r]
-    wanted = [e.lower() for e in (extensions or BY_EXTENSION)]
-    base = os.path.abspath(root).rstrip("/") + "/"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rel = F.regexp_replace(F.col("path"), "^(?:file:)?/*" + re.escape(base.lstrip("/")), "")
+    wanted = sorted({e.lower() for e in (extensions or BY_EXTENSION)})
+    glob = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in wanted) + "}"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    top = jpath(root)
+    base = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toUri().getPath().strip("/") + "/"
+    rel = F.regexp_replace(F.col("path"), "^(?:[a-z0-9]+:/+)?/*(?:[^/]+/)??" + re.escape(base), "")
     df = raw.select(rel.alias("path"), "content", F.col("modificationTime").alias("modified"))
-    df = df.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*wanted))
-    df = df.where(~F.arrays_overlap(F.split("path", "/"), F.array(F.lit("node_modules"), F.lit("target"))) & ~F.col("path").rlike(r"(^|/)\."))
+    df = df.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))) & ~F.col("path").rlike(r"(^|/)\."))
     verdict = F.lit(False)
     for prefix, rx, negated in rules:
         inside = F.col("path").startswith(prefix) if prefix else F.lit(True)

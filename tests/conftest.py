@@ -13,7 +13,8 @@ os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), *filter(None, [os.environ
 def spark():
     from graphlens.session import local_session, ship
 
-    s = local_session(4, 4, "3g")
+    s = local_session(4, 2, "3g")
+    s.conf.set("spark.sql.codegen.wholeStage", "false")  # tables of a few rows: compiling costs more than running
     ship(s)
     yield s
     s.stop()
