@@ -69,7 +69,7 @@ def _one_task(shared, work, schema: str, spark) -> DataFrame:
 
 
 def _among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct edges between nodes (id), without those from a node to itself; written once."""
+    """Distinct edges between nodes (id), without those from a node to itself."""
     return simple_edges(induced(edges.select("src_id", "dst_id").where("src_id <> dst_id"), nodes))
 
 
@@ -89,6 +89,8 @@ def strong_components(nodes: DataFrame, edges: DataFrame, max_edges: int = MAX_E
 
         moved = _one_task(shared, work, "id long, comp long", spark)
         return ids.join(moved, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+    e = cut(e)
+    rows = e.count()
     # nodes without a way in or out are components of their own; taking them off leaves the core
     for _ in range(TRIMS):
         both = e.select(F.col("src_id").alias("id")).distinct().join(e.select(F.col("dst_id").alias("id")).distinct(), "id", "left_semi")
@@ -98,14 +100,14 @@ def strong_components(nodes: DataFrame, edges: DataFrame, max_edges: int = MAX_E
     while not e.isEmpty():
         colour = cut(left.select("id", F.col("id").alias("colour")))
         while True:
-            best = skew_join(e, colour.withColumnRenamed("id", "src_id"), "src_id", ["dst_id"]).groupBy("dst_id").agg(F.min("colour").alias("c"))
+            best = skew_join(e, colour.withColumnRenamed("id", "src_id"), "src_id", ["dst_id"], rows=rows).groupBy("dst_id").agg(F.min("colour").alias("c"))
             nxt = cut(colour.join(best, F.col("id") == F.col("dst_id"), "left").select("id", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") < F.col("colour")).alias("moved")))
             colour = nxt.select("id", "colour")
             if nxt.where("moved").isEmpty():
                 break
         a = colour.select(F.col("id").alias("src_id"), F.col("colour").alias("a"))
         b = colour.select(F.col("id").alias("dst_id"), F.col("colour").alias("b"))
-        same = skew_join(skew_join(e, a, "src_id", ["dst_id"]), b, "dst_id", ["src_id"]).where("a = b")
+        same = skew_join(skew_join(e, a, "src_id", ["dst_id"], rows=rows), b, "dst_id", ["src_id"], rows=rows).where("a = b")
         back = bfs(colour.where("id = colour").select(F.col("id").alias("origin"), F.col("id").alias("node")), reversed_(same), None, 0)
         found = cut(back.select(F.col("node").alias("id"), F.col("origin").alias("comp")))
         done = found if done is None else cut(done.unionByName(found))
@@ -128,7 +130,9 @@ def condensed(comp: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct edges between components."""
     a = comp.select(F.col("id").alias("src_id"), F.col("comp").alias("src_comp"))
     b = comp.select(F.col("id").alias("dst_id"), F.col("comp").alias("dst_comp"))
-    ends = skew_join(skew_join(edges.select("src_id", "dst_id"), a, "src_id", ["dst_id"]), b, "dst_id", ["src_id"])
+    e = cut(edges.select("src_id", "dst_id"))
+    rows = e.count()
+    ends = skew_join(skew_join(e, a, "src_id", ["dst_id"], rows=rows), b, "dst_id", ["src_id"], rows=rows)
     return ends.where("src_comp <> dst_comp").select("src_comp", "dst_comp").distinct()
 
 
@@ -138,38 +142,47 @@ def root_components(comp: DataFrame, edges: DataFrame) -> DataFrame:
     return comp.select("comp").distinct().join(entered, "comp", "left_anti")
 
 
+def _deepest(g: Adjacency, roots: np.ndarray) -> np.ndarray:
+    """Most hops from any of the roots (positions) to each node of an acyclic graph; -1 where they do not lead."""
+    seen = np.full(len(g.ids), -1, np.int32)
+    g.walk(roots, None, seen)
+    at = np.flatnonzero(seen >= 0)
+    into = np.bincount(g.targets(at), minlength=len(g.ids))
+    depth = np.full(len(g.ids), -1, np.int32)
+    layer, d = at[into[at] == 0], 0
+    # a node is taken off with the last of its ways in, so it is met at its greatest depth
+    while len(layer):
+        depth[layer] = d
+        hit, n = np.unique(g.targets(layer), return_counts=True)
+        into[hit] -= n
+        layer, d = hit[into[hit] == 0], d + 1
+    if (depth[at] < 0).any():
+        raise ValueError("the graph is not acyclic")
+    return depth
+
+
 def longest_depths(roots: DataFrame, dag: DataFrame, max_rounds: int = 100_000, max_edges: int = MAX_EDGES) -> DataFrame:
     """(comp, depth): most hops from any root (comp) over an acyclic (src_comp, dst_comp); unreached ones are absent."""
-    spark = roots.sparkSession
     roots = roots.select("comp").where("comp is not null").distinct()
     e = simple_edges(dag.select(F.col("src_comp").alias("src_id"), F.col("dst_comp").alias("dst_id")))
-    # only what the roots lead to counts
-    reached = cut(bfs(roots.select(F.lit(0).alias("origin"), F.col("comp").alias("node")), e, None, max_edges).select(F.col("node").alias("id")))
-    e = cut(e.join(reached.withColumnRenamed("id", "src_id"), "src_id", "left_semi"))
     shared = bounded(e, max_edges)
-    if shared is not None:
+    starts = bounded(roots.select(F.col("comp").alias("src_id"), F.col("comp").alias("dst_id")), max_edges) if shared is not None else None
+    if starts is not None:
 
         def work(src: np.ndarray, dst: np.ndarray) -> pd.DataFrame:
             g = Adjacency(src, dst)
-            into = np.bincount(g.to, minlength=len(g.ids))
-            depth = np.zeros(len(g.ids), np.int32)
-            layer, d = np.flatnonzero(into == 0), 0
-            # a node is taken off with the last of its ways in, so it is met at its greatest depth
-            while len(layer):
-                depth[layer] = d
-                hit, n = np.unique(g.targets(layer), return_counts=True)
-                into[hit] -= n
-                layer, d = hit[into[hit] == 0], d + 1
-            if into.any():
-                raise ValueError("the graph is not acyclic")
-            return pd.DataFrame({"comp": g.ids, "deep": depth})
-
-        deep = _one_task(shared, work, "comp long, deep int", spark)
-        return reached.select(F.col("id").alias("comp")).join(deep, "comp", "left").select("comp", F.coalesce("deep", F.lit(0)).alias("depth"))
+            known, alone = g.index(starts.value[0])
+            depth = _deepest(g, known)
+            at = np.flatnonzero(depth >= 0)
+            return pd.DataFrame({"comp": np.concatenate([g.ids[at], alone]), "depth": np.concatenate([depth[at], np.zeros(len(alone), np.int32)])})
+
+        return _one_task(shared, work, "comp long, depth int", roots.sparkSession)
+    e = cut(e)
+    rows = e.count()
     front = cut(roots.select("comp", F.lit(0).alias("depth")))
     best = front
     for hop in range(1, max_rounds):
-        step = skew_join(e, front.select(F.col("comp").alias("src_id")), "src_id", ["dst_id"])
+        step = skew_join(e, front.select(F.col("comp").alias("src_id")), "src_id", ["dst_id"], rows=rows)
         front = cut(step.select(F.col("dst_id").alias("comp"), F.lit(hop).alias("depth")).distinct())
         if front.isEmpty():
             return best
@@ -183,10 +196,16 @@ def main_spine(entry: DataFrame, nodes: DataFrame, edges: DataFrame, max_edges:
     Ties take the smallest component; an entry that is not among nodes gives no rows. The chain is found
     by doubling: with jumps of 1, 2, 4, ... steps back, every round doubles the part that is known.
     """
-    inner = cut(induced(edges.select("src_id", "dst_id"), nodes))
+    inner = simple_edges(induced(edges.select("src_id", "dst_id"), nodes))
+    entry = entry.select("id").distinct().join(nodes.select("id").distinct(), "id", "left_semi")
+    shared = bounded(inner, max_edges)
+    starts = bounded(entry.select(F.col("id").alias("src_id"), F.col("id").alias("dst_id")), max_edges) if shared is not None else None
+    if starts is not None:
+        return _one_task(shared, lambda src, dst: _spine_in_task(starts.value[0], src, dst), "id long, layer int, in_cycle boolean", nodes.sparkSession)
+    inner = cut(inner)
     flags = cut(in_cycle(nodes, inner, max_edges))
     dag = cut(condensed(flags, inner))
-    roots = flags.join(entry.select("id").distinct(), "id", "left_semi").select("comp").distinct()
+    roots = flags.join(entry, "id", "left_semi").select("comp").distinct()
     depths = cut(longest_depths(roots, dag, max_edges=max_edges))
     # of the ways in from one level above, the smallest component
     above = depths.select(F.col("comp").alias("src_comp"), (F.col("depth") + 1).alias("next"))
@@ -202,6 +221,35 @@ def main_spine(entry: DataFrame, nodes: DataFrame, edges: DataFrame, max_edges:
     return flags.join(chain.select("comp", F.col("depth").alias("layer")), "comp").select("id", "layer", "in_cycle")
 
 
+def _spine_in_task(entry: np.ndarray, src: np.ndarray, dst: np.ndarray) -> pd.DataFrame:
+    g = Adjacency(np.concatenate([src, entry]), np.concatenate([dst, entry]))  # entries are nodes, also without an edge
+    comp = np.array(tarjan(range(len(g.ids)), g.neighbours()), np.int64)
+    a, b = comp[np.searchsorted(g.ids, src)], comp[np.searchsorted(g.ids, dst)]
+    loops = np.zeros(len(g.ids), bool)
+    loops[np.searchsorted(g.ids, src[src == dst])] = True
+    own = comp[np.searchsorted(g.ids, entry)]
+    over = a != b
+    pairs = np.unique(np.stack([np.concatenate([a[over], own]), np.concatenate([b[over], np.full(len(own), -1)])], 1), axis=0)
+    real = pairs[pairs[:, 1] >= 0]
+    dag = Adjacency(real[:, 0], real[:, 1])
+    known, alone = dag.index(np.unique(own))
+    depth = _deepest(dag, known)
+    at = {int(c): int(d) for c, d in zip(dag.ids, depth) if d >= 0} | {int(c): 0 for c in alone}
+    if not at:
+        return pd.DataFrame({"id": np.zeros(0, np.int64), "layer": np.zeros(0, np.int32), "in_cycle": np.zeros(0, bool)})
+    back: dict[int, list[int]] = {}
+    for x, y in real.tolist():
+        back.setdefault(y, []).append(x)
+    here = min(at, key=lambda c: (-at[c], c))
+    chain = {here: at[here]}
+    while at[here]:
+        here = min(c for c in back[here] if at.get(c) == at[here] - 1)
+        chain[here] = at[here]
+    sizes = np.bincount(comp, minlength=len(g.ids))
+    members = np.flatnonzero(np.isin(comp, list(chain)))
+    return pd.DataFrame({"id": g.ids[members], "layer": np.array([chain[int(c)] for c in comp[members]], np.int32), "in_cycle": (sizes[comp[members]] > 1) | loops[members]})
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES, block: int = 4096) -> DataFrame:
     """(id, betweenness): directed, unweighted, not normalised, end points excluded.
 
@@ -211,10 +259,10 @@ def betweenness(nodes: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES,
     """
     ids = nodes.select("id").where("id is not null").distinct()
     e = _among(edges, ids)
-    sources = e.select(F.col("src_id").alias("id")).distinct()
     shared = bounded(e, max_edges)
     if shared is None:
-        sources = cut(sources)
+        e = cut(e)
+        sources = cut(e.select(F.col("src_id").alias("id")).distinct())
         blocks = max(1, -(-sources.count() // block))
         parts = [cut(_betweenness_by_joins(sources.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k), e)) for k in range(blocks)]
         partial = reduce(DataFrame.unionByName, parts)
@@ -248,17 +296,18 @@ def betweenness(nodes: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES,
             yield pd.DataFrame({"id": g.ids[at], "score": total[at]})
 
         tasks = 4 * ids.sparkSession.sparkContext.defaultParallelism
-        partial = sources.repartition(tasks, "id").mapInPandas(run, "id long, score double")
+        partial = ids.repartition(tasks, "id").mapInPandas(run, "id long, score double")
     summed = partial.groupBy("id").agg(F.sum("score").alias("betweenness"))
     return ids.join(summed, "id", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
 def _betweenness_by_joins(sources: DataFrame, e: DataFrame) -> DataFrame:
     """(id, score) of paths from sources (id) over e."""
+    rows = e.count()
     layers = [cut(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))]
     seen = layers[0].select("s", "v")
     while True:
-        step = skew_join(e, layers[-1].withColumnRenamed("v", "src_id"), "src_id", ["dst_id"]).groupBy("s", F.col("dst_id").alias("v")).agg(F.sum("paths").alias("paths"))
+        step = skew_join(e, layers[-1].withColumnRenamed("v", "src_id"), "src_id", ["dst_id"], rows=rows).groupBy("s", F.col("dst_id").alias("v")).agg(F.sum("paths").alias("paths"))
         nxt = cut(step.join(seen, ["s", "v"], "left_anti"))
         if nxt.isEmpty():
             break
@@ -271,7 +320,7 @@ def _betweenness_by_joins(sources: DataFrame, e: DataFrame) -> DataFrame:
         part = far.select("v", "share")
         total = part if total is None else total.unionByName(part)
         w = far.select(F.col("s").alias("s2"), F.col("v").alias("w"), F.col("paths").alias("pw"), "share")
-        near = skew_join(e, layers[k - 1].withColumnRenamed("v", "src_id"), "src_id", ["dst_id"]).join(w, (F.col("dst_id") == F.col("w")) & (F.col("s") == F.col("s2")))
+        near = skew_join(e, layers[k - 1].withColumnRenamed("v", "src_id"), "src_id", ["dst_id"], rows=rows).join(w, (F.col("dst_id") == F.col("w")) & (F.col("s") == F.col("s2")))
         share = cut(near.groupBy("s", F.col("src_id").alias("v")).agg(F.sum(F.col("paths") / F.col("pw") * (1 + F.col("share"))).alias("share")))
     if total is None:
         return sources.select("id", F.lit(0.0).alias("score")).limit(0)
@@ -289,12 +338,12 @@ def dominated_counts(roots: DataFrame, nodes: DataFrame, edges: DataFrame, max_e
     e = _among(edges, ids)
     shared = bounded(e, max_edges)
     if shared is None:
-        counted = _dominated_by_joins(roots, e)
+        counted = _dominated_by_joins(roots, cut(e))
     else:
         # the virtual root's edges are bounded like the others
         top = bounded(roots.select(F.lit(0).cast("long").alias("src_id"), F.col("id").alias("dst_id")), max_edges)
         if top is None:
-            counted = _dominated_by_joins(roots, e)
+            counted = _dominated_by_joins(roots, cut(e))
         else:
             counted = _one_task(shared, lambda src, dst: _dominated_in_task(top.value[1], src, dst), "id long, dominates long", ids.sparkSession)
     return ids.join(counted, "id", "left").select("id", F.coalesce("dominates", F.lit(0).cast("long")).alias("dominates"))
@@ -361,10 +410,11 @@ def _dominated_by_joins(roots: DataFrame, e: DataFrame) -> DataFrame:
     """(id, dominates). A root has no dominator but itself; what has not been reached yet does not narrow a set."""
     dom = cut(roots.select("id", F.col("id").alias("dom")))
     inner = cut(e.join(roots.withColumnRenamed("id", "dst_id"), "dst_id", "left_anti").select("src_id", "dst_id"))  # ways into roots change nothing
+    rows = inner.count()
     while True:
-        ways = skew_join(inner, dom.select("id").distinct().withColumnRenamed("id", "src_id"), "src_id", ["dst_id"], "left_semi")
+        ways = skew_join(inner, dom.select("id").distinct().withColumnRenamed("id", "src_id"), "src_id", ["dst_id"], "left_semi", rows=rows)
         n = ways.groupBy("dst_id").agg(F.count(F.lit(1)).alias("ways"))
-        over = skew_join(inner, dom.withColumnRenamed("id", "src_id"), "src_id", ["dst_id"]).groupBy("dst_id", "dom").agg(F.count(F.lit(1)).alias("n"))
+        over = skew_join(inner, dom.withColumnRenamed("id", "src_id"), "src_id", ["dst_id"], rows=rows).groupBy("dst_id", "dom").agg(F.count(F.lit(1)).alias("n"))
         shared = over.join(n, "dst_id").where("n = ways").select(F.col("dst_id").alias("id"), "dom")
         own = n.select(F.col("dst_id").alias("id"), F.col("dst_id").alias("dom"))
         nxt = cut(roots.select("id", F.col("id").alias("dom")).unionByName(shared).unionByName(own).distinct())

@@ -143,14 +143,17 @@ def hot_keys(counts: DataFrame, key: str, n: str, rows_per_task: int = ROWS_PER_
 
 
 def skew_join(facts: DataFrame, dims: DataFrame, key: str, row_cols: list[str], how: str = "inner",
-              rows_per_task: int = ROWS_PER_TASK, hot: DataFrame | None = None) -> DataFrame:
+              rows_per_task: int = ROWS_PER_TASK, hot: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """Equi-join of facts with dims (few rows per key) in which no key of facts fills a task; how: inner, left, left_semi or left_anti.
 
     Keys with more than rows_per_task facts are split by a hash of row_cols, and only their rows of
-    dims are repeated, once per split. hot (see hot_keys) saves counting where the counts are known.
+    dims are repeated, once per split. hot (see hot_keys) saves counting where the counts are known, and
+    so does rows, a bound of the number of facts: where it is no more than rows_per_task, no key is hot.
     The list of such keys is broadcast: it has at most count(facts) / rows_per_task entries. Null keys
     match nothing.
     """
+    if rows is not None and rows <= rows_per_task:
+        return facts.join(dims, key, how)
     if hot is None:
         hot = hot_keys(facts.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")), key, "_rows", rows_per_task)
     splits = F.coalesce(F.col("_copies"), F.lit(1))

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphlens.operators.heavy_keys import ROWS_PER_TASK, balanced_row_number, hot_keys, skew_join
-from graphlens.session import table
+from graphlens.session import cut, table
+
+MAX_MISSING = 1_000_000
 
 # in the order in which they break ties between rows of one id and time; long texts come last
 SYMBOL_COLUMNS = ["file_id", "name", "kind", "line_start", "line_end", "coverage_pct", "import_module", "import_name", "docstring"]
@@ -39,20 +41,25 @@ def current_files(files: DataFrame) -> DataFrame:
         F.min("path").alias("path"), F.max(rank).alias("r")).select("id", "path", F.col("r.hash").alias("hash"), F.col("r.indexed_at").alias("indexed_at"))
 
 
-def current_edges(edges: DataFrame, symbols: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def current_edges(edges: DataFrame, symbols: DataFrame, rows_per_task: int = ROWS_PER_TASK, max_missing: int = MAX_MISSING) -> DataFrame:
     """Distinct (src_id, dst_id, kind) whose ends both exist.
 
-    The ends are counted first, one partial row per id and task; those that are no symbol are then kept
-    out. Where many edges name one missing id, its count is known and its edges are spread.
+    The ids that edges name are reduced to one row each and held against the symbols. Those that are
+    missing are counted; up to max_missing of them (16 bytes each) are broadcast, so that the edges are
+    shuffled for their distinction only. Beyond, edges are joined with them, those of a missing id that
+    many edges name spread over tasks.
     """
-    e = edges.select("src_id", "dst_id", F.lower(F.trim("kind")).alias("kind")).where("src_id is not null and dst_id is not null").distinct()
-    ends = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("id")) for c in ("src_id", "dst_id")]))
-    used = e.select(ends.alias("end")).groupBy("end.side", "end.id").agg(F.count(F.lit(1)).alias("n"))
-    missing = used.join(symbols.select("id").distinct(), "id", "left_anti")
+    e = edges.select("src_id", "dst_id", F.lower(F.trim("kind")).alias("kind")).where("src_id is not null and dst_id is not null")
+    used = e.select(F.explode(F.array("src_id", "dst_id")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    missing = cut(used.join(symbols.select("id").distinct(), "id", "left_anti"))
+    few = missing.count() <= max_missing
     for side in ("src_id", "dst_id"):
-        gone = missing.where(F.col("side") == side).select(F.col("id").alias(side), "n")
-        e = skew_join(e, gone.select(side), side, ["src_id", "dst_id", "kind"], "left_anti", rows_per_task, hot_keys(gone, side, "n", rows_per_task))
-    return e.select("src_id", "dst_id", "kind")
+        gone = missing.select(F.col("id").alias(side), "n")
+        if few:
+            e = e.join(F.broadcast(gone.select(side)), side, "left_anti")
+        else:
+            e = skew_join(e, gone.select(side), side, ["src_id", "dst_id", "kind"], "left_anti", rows_per_task, hot_keys(gone, side, "n", rows_per_task))
+    return e.select("src_id", "dst_id", "kind").distinct()
 
 
 def current_trace(call_trace: DataFrame) -> DataFrame:
@@ -64,6 +71,7 @@ class Graph:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._edges: DataFrame | None = None
 
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.dir, name)
@@ -78,7 +86,9 @@ class Graph:
 
     @property
     def edges(self) -> DataFrame:
-        return current_edges(self.raw("edges"), self.raw("symbols"))
+        if self._edges is None:
+            self._edges = current_edges(self.raw("edges"), self.raw("symbols"))
+        return self._edges
 
     @property
     def trace(self) -> DataFrame:

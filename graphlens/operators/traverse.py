@@ -1,9 +1,8 @@
 """Breadth-first work on the graph.
 
 Every traversal runs for many starts at once, as (origin, node) pairs, so a ranking over many
-candidates needs one loop. The edges are written once to the shared folder and counted. Up to max_edges
-of them (16 bytes each) are sent to the tasks as two arrays, and every task walks its share of the
-origins; more are walked by joins, hop by hop, with an anti-join against what was visited and every hop
+candidates needs one loop. Up to max_edges edges (16 bytes each) are sent to the tasks as two arrays, and
+every task walks its share of the origins; more are written once to the shared folder and walked by joins, hop by hop, with an anti-join against what was visited and every hop
 written to the shared checkpoint folder. Both give the same rows.
 """
 
@@ -66,16 +65,18 @@ class Adjacency:
 
 
 def bounded(edges: DataFrame, max_edges: int = MAX_EDGES):
-    """Broadcast (src, dst) arrays if there are at most max_edges edges, else None. The bound is checked on edges as written (see cut)."""
-    if max_edges <= 0 or edges.count() > max_edges:
+    """Broadcast (src, dst) arrays if there are at most max_edges edges, else None; no more than one edge beyond the bound is fetched."""
+    if max_edges <= 0:
+        return None
+    t = edges.select(F.col("src_id").cast("long"), F.col("dst_id").cast("long")).limit(max_edges + 1).toArrow()
+    if t.num_rows > max_edges:
         return None
-    t = edges.select(F.col("src_id").cast("long"), F.col("dst_id").cast("long")).toArrow()
     return edges.sparkSession.sparkContext.broadcast(tuple(t.column(i).to_numpy() for i in (0, 1)))
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
-    """Distinct (src_id, dst_id) without nulls, written to the shared folder."""
-    return cut(edges.select("src_id", "dst_id").where("src_id is not null and dst_id is not null").distinct())
+    """Distinct (src_id, dst_id) without nulls."""
+    return edges.select("src_id", "dst_id").where("src_id is not null and dst_id is not null").distinct()
 
 
 def bfs(starts: DataFrame, edges: DataFrame, max_hops: int | None = None, max_edges: int = MAX_EDGES) -> DataFrame:
@@ -98,11 +99,13 @@ def bfs(starts: DataFrame, edges: DataFrame, max_hops: int | None = None, max_ed
         kind = starts.schema["origin"].dataType.simpleString()
         grouped = starts.groupBy("origin").agg(F.collect_set("node").alias("nodes"))  # an origin's own starts, not its reach
         return grouped.mapInPandas(walk, f"origin {kind}, node long, dist int")
+    e = cut(e)
+    rows = e.count()
     frontier = cut(starts.withColumn("dist", F.lit(0)))
     parts, hop = [frontier], 0
     while (max_hops is None or hop < max_hops) and not frontier.isEmpty():
         hop += 1
-        step = skew_join(e, frontier.select("origin", F.col("node").alias("src_id")), "src_id", ["dst_id"]).select("origin", F.col("dst_id").alias("node")).distinct()
+        step = skew_join(e, frontier.select("origin", F.col("node").alias("src_id")), "src_id", ["dst_id"], rows=rows).select("origin", F.col("dst_id").alias("node")).distinct()
         visited = reduce(DataFrame.unionByName, parts)
         frontier = cut(step.join(visited.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("dist", F.lit(hop)))
         parts.append(frontier)
@@ -129,7 +132,7 @@ def trace_calls(starts: DataFrame, edges: DataFrame, direction: str = "both", de
         raise ValueError(f"bad direction: {direction}")
     if depth < 0:
         raise ValueError("depth must not be negative")
-    calls = simple_edges(edges.where("kind = 'calls'"))
+    calls = cut(simple_edges(edges.where("kind = 'calls'")))
     out = starts.select("id", F.lit(0).alias("depth"), F.lit("self").alias("direction")).distinct()
     for name, e in (("outbound", calls), ("inbound", reversed_(calls))):
         if direction in ("both", name):
@@ -143,7 +146,7 @@ def blast_radius(starts: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES
     e = cut(edges.where("kind in ('calls', 'imports', 'inherits')").select("src_id", "dst_id", "kind"))
     hit = cut(bfs(_from(starts), reversed_(e), None, max_edges).select(F.col("node").alias("id"), F.col("dist").alias("distance")))
     near = hit.select(F.col("id").alias("dst_id"), (F.col("distance") + 1).alias("next_distance"))
-    first = skew_join(e, near, "dst_id", ["src_id", "kind"]).groupBy(F.col("src_id").alias("id"), "next_distance").agg(F.min("kind").alias("via"))
+    first = skew_join(e, near, "dst_id", ["src_id", "kind"], rows=e.count()).groupBy(F.col("src_id").alias("id"), "next_distance").agg(F.min("kind").alias("via"))
     return hit.where("distance > 0").join(first, "id").where("next_distance = distance").select("id", "distance", "via")
 
 
@@ -155,10 +158,11 @@ def neighborhood(centres: DataFrame, edges: DataFrame, depth: int = 1, max_edges
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among nodes (id); an end that many edges share is split over tasks."""
-    n = nodes.select("id").distinct()
+    e, n = cut(edges), nodes.select("id").distinct()
+    rows = e.count()
     for side in ("src_id", "dst_id"):
-        edges = skew_join(edges, n.withColumnRenamed("id", side), side, ["src_id", "dst_id"], "left_semi").select(*edges.columns)
-    return edges
+        e = skew_join(e, n.withColumnRenamed("id", side), side, ["src_id", "dst_id"], "left_semi", rows=rows)
+    return e.select(*edges.columns)
 
 
 def flow_layers(entry: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
@@ -178,10 +182,10 @@ def exec_path(tests: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES) ->
     covered = edges.where("kind = 'test_covers'").join(tests.select(F.col("id").alias("src_id")).distinct(), "src_id", "left_semi").select(F.col("src_id").alias("test_id"), F.col("dst_id").alias("id")).distinct()
     # nodes of different tests are kept apart by numbering the (test, symbol) pairs
     numbered = cut(covered.withColumn("node", F.monotonically_increasing_id()))
-    calls = edges.where("kind = 'calls'").select("src_id", "dst_id").distinct()
+    calls = cut(simple_edges(edges.where("kind = 'calls'")))
     a = numbered.select(F.col("id").alias("src_id"), "test_id", F.col("node").alias("a"))
     b = numbered.select(F.col("id").alias("dst_id"), F.col("test_id").alias("t2"), F.col("node").alias("b"))
-    inner = cut(skew_join(skew_join(calls, a, "src_id", ["dst_id"]), b, "dst_id", ["src_id", "test_id"]).where("test_id = t2").select("test_id", F.col("a").alias("src_id"), F.col("b").alias("dst_id")).distinct())
+    inner = cut(skew_join(skew_join(calls, a, "src_id", ["dst_id"], rows=calls.count()), b, "dst_id", ["src_id", "test_id"]).where("test_id = t2").select("test_id", F.col("a").alias("src_id"), F.col("b").alias("dst_id")).distinct())
     called = inner.where("src_id <> dst_id").select(F.col("dst_id").alias("node")).distinct()
     roots = numbered.join(called, "node", "left_anti").select("test_id", "node")
     rootless = numbered.join(roots.select("test_id").distinct(), "test_id", "left_anti").select("test_id", "node")
@@ -214,7 +218,7 @@ def reach_sizes(candidates: DataFrame, edges: DataFrame, max_edges: int = MAX_ED
         tasks = 4 * c.sparkSession.sparkContext.defaultParallelism
         return c.repartition(tasks, "id").mapInPandas(count, "id long, reach long")
     parts = []
-    c = cut(c)
+    c, e = cut(c), cut(e)
     blocks = max(1, -(-c.count() // block))
     for k in range(blocks):
         own = c.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
