@@ -138,7 +138,7 @@ def snapshot_merge(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     on = F.lit(True)
     for c in [*ident, "ordinal"]:
         on = on & F.col(c).eqNullSafe(F.col("o_" + c))
-    met = new.join(o, on, "left").select("id", *ident, *rest, "coverage_pct", "ordinal")
+    met = new.select(*ident, *rest, "ordinal").join(o, on, "left").select("id", *ident, *rest, "coverage_pct", "ordinal")
     last = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
     added = balanced_row_number(met.where("id is null").drop("id"), [], ["path", "line_start", "name", "kind", "ordinal"], "n").join(F.broadcast(last))
     columns = ["id", *ident, *rest, "coverage_pct"]
