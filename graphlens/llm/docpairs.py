@@ -183,21 +183,22 @@ def function_table(symbols: DataFrame, file_text: DataFrame, files: DataFrame, w
     What is needed of a text is taken out of it where symbols and texts meet; only that goes further.
     """
     is_function = "kind = 'function' and line_start is not null"
+    name = F.coalesce("name", F.lit(""))
+    text = [F.col("docstring")] if with_text else []
     funcs = symbols.where(is_function).select(
-        F.col("id").alias("symbol_id"), "file_id", F.coalesce("name", F.lit("")).alias("name"), "line_start", "line_end", "docstring")
+        F.col("id").alias("symbol_id"), "file_id", name.alias("name"), "line_start", "line_end", _trivial("docstring", name).alias("trivial"), *text)
     paths = files.where("path is not null").groupBy(F.col("id").alias("file_id")).agg(F.min("path").alias("path"))
-    texts = file_lines(file_text).join(paths, "file_id", "left")
-    placed = skew_join(funcs, texts, "file_id", ["symbol_id", "line_start"]).where(F.col("line_start") <= F.size("lines"))
+    # paths go to the functions, so that the texts are shuffled once
+    placed = skew_join(funcs.join(paths, "file_id", "left"), file_lines(file_text), "file_id", ["symbol_id", "line_start"]).where(F.col("line_start") <= F.size("lines"))
     start = F.greatest(F.col("line_start"), F.lit(1)).cast("int")
     last = F.greatest(start, F.coalesce(F.col("line_end"), F.col("line_start")).cast("int"))
     # to the end of the symbol, or of the file where that is not known: the parameters may take any number of lines
     span = F.when(F.col("line_end").isNull(), F.size("lines")).otherwise(F.greatest(last - start + 1, F.lit(declaration_lines)))
     declaration = F.array_join(F.slice("lines", start, span), "\n")
     path = F.coalesce("path", F.concat(F.lit("?"), F.col("file_id").cast("string")))
-    text = [F.col("docstring"), F.array_join(F.slice("lines", start, last - start + 1), "\n").alias("code")] if with_text else []
-    taken = placed.select(
-        "symbol_id", path.alias("path"), F.regexp_replace(path, r"(\.d)?\.[^./]*$", "").alias("module"), "name",
-        _signature(declaration, "name").alias("signature"), _trivial("docstring", "name").alias("trivial"), *text)
+    code = [F.col("docstring"), F.array_join(F.slice("lines", start, last - start + 1), "\n").alias("code")] if with_text else []
+    taken = placed.select("symbol_id", path.alias("path"), "name", _signature(declaration, "name").alias("signature"), "trivial", *code)
+    taken = taken.withColumn("module", F.regexp_replace("path", r"(\.d)?\.[^./]*$", ""))
     owners = symbols.where("kind in ('class', 'struct', 'enum', 'trait', 'interface')").select(
         F.col("id").alias("owner_id"), "file_id", F.col("name").alias("owner"), F.col("line_start").alias("start"), F.col("line_end").alias("end"))
     # an owner starts before the function's line
@@ -217,12 +218,16 @@ def documented_functions(symbols: DataFrame, file_text: DataFrame, files: DataFr
     """
     table = function_table(symbols, file_text, files, with_text)
     key = ["module", "owner", "name", "signature"]
+    qualified = F.concat_ws("::", "module", F.when(F.col("owner") != "", F.col("owner")), "name").alias("qualified_name")
+    out = ["symbol_id", "path", qualified, "signature", "described_by"]
+    if not with_text:
+        # every definition meets the documented declarations of its name, its own among them; what none describes is dropped then
+        declared = table.where(~F.col("trivial")).groupBy(*key).agg(F.min("symbol_id").alias("declared_by"))
+        linked = table.join(declared, key, "left").withColumn("described_by", F.when(F.col("trivial"), F.col("declared_by")).otherwise(F.col("symbol_id")))
+        return linked.where("described_by is not null").select(*out)
     described = table.where(~F.col("trivial"))
-    declared = described.groupBy(*key).agg(F.min(F.struct("symbol_id", *(["docstring"] if with_text else []))).alias("d"))
+    declared = described.groupBy(*key).agg(F.min(F.struct("symbol_id", "docstring")).alias("d"))
     own = described.withColumn("described_by", F.col("symbol_id"))
     taken = table.where("trivial").join(declared, key).withColumn("described_by", F.col("d.symbol_id"))
-    out = ["symbol_id", "path", F.concat_ws("::", "module", F.when(F.col("owner") != "", F.col("owner")), "name").alias("qualified_name"), "signature", "described_by"]
-    if not with_text:
-        return own.select(*out).unionByName(taken.select(*out))
     return own.select(*out, F.col("docstring").alias("description"), "code").unionByName(
         taken.select(*out, F.col("d.docstring").alias("description"), "code"))
