@@ -88,23 +88,33 @@ class Tape:
             self.text = self.text.translate(_plain())
             if _OTHER_SCRIPT.search(self.text):
                 self.text = _MIXED.sub(lambda m: "".join(_LOOKALIKES.get(c, c) for c in m.group()), self.text)
-        if _SPELLED.search(self.text):
-            self.rewrite(_SPELLED, lambda m: "".join(_SPOKEN[w.lower()] for w in re.findall(r"[A-Za-z]+", m.group())))
-
-    def rewrite(self, pattern: re.Pattern, by) -> None:
-        """Replace matches; all characters written for a match stand for the whole of it."""
-        starts = self.starts or list(range(len(self.text)))
-        ends = self.ends or list(range(1, len(self.text) + 1))
-        text, ns, ne, at = [], [], [], 0
+        low = self.text.lower()
+        if ("at" in low or "@" in low) and ("dot" in low or _BRACKETED_AT.search(low)):
+            self.rewrite(_DISGUISED, _undisguised)
+        self.spelled: list[tuple[int, int]] = []  # blocks of digits that were words, in the rewritten text
+        if sum(map(low.count, _SPOKEN)) >= 6 and _SPELLED.search(self.text):
+            self.spelled = self.rewrite(_SPELLED, lambda m: "".join(_SPOKEN[w.lower()] for w in re.findall(r"[A-Za-z]+", m.group())))
+
+    def rewrite(self, pattern: re.Pattern, by) -> list[tuple[int, int]]:
+        """Replace matches (where by gives a text); all characters written for a match stand for the whole of it. Gives the places written to."""
+        starts, ends, text, ns, ne, at, size, places = self.starts, self.ends, [], [], [], 0, 0, []
         for m in pattern.finditer(self.text):
-            a, b = m.span()
             new = by(m)
+            if new is None:
+                continue
+            if starts is None:
+                starts, ends = list(range(len(self.text))), list(range(1, len(self.text) + 1))
+            a, b = m.span()
             text += [self.text[at:a], new]
             ns += starts[at:a] + [starts[a]] * len(new)
             ne += ends[at:a] + [ends[b - 1]] * len(new)
+            size += a - at + len(new)
+            places.append((size - len(new), size))
             at = b
-        text.append(self.text[at:])
-        self.text, self.starts, self.ends = "".join(text), ns + starts[at:], ne + ends[at:]
+        if places:
+            text.append(self.text[at:])
+            self.text, self.starts, self.ends = "".join(text), ns + starts[at:], ne + ends[at:]
+        return places
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.starts is None else (self.starts[a], self.ends[b - 1])
@@ -124,6 +134,7 @@ class Names:
         self.lists = {self.GIVEN: {fold_name(n) for n in given if n}, self.FAMILY: {fold_name(n) for n in family if n}}
         self.parts = {k: self._parts(ns) for k, ns in self.lists.items()}
         self.known: dict[str, int] = {}
+        self.tokens: dict[str, int] = {}
 
     @staticmethod
     def _parts(names: set[str], count: int = 4, letters: int = 3) -> tuple[set[str], set[str]]:
@@ -135,6 +146,20 @@ class Names:
         tails = {t for t, ls in before.items() if len(ls) >= count and len(set(ls)) >= letters}
         return {n[:i] for n in names for i in range(2, len(n) - 1) if n[i:] in tails}, tails
 
+    def of_token(self, token: str) -> int:
+        """Kind of a word, or of a hyphenated one whose parts agree; words of one or two letters are none."""
+        got = self.tokens.get(token)
+        if got is None:
+            if "-" in token:
+                ks = [self.kind(p) for p in token.split("-")]
+                got = self.FAMILY if all(k & self.FAMILY for k in ks) else self.GIVEN if all(k & self.GIVEN for k in ks) else 0
+            else:
+                got = self.kind(token) if len(token) > 2 else 0
+            if len(self.tokens) > 500_000:
+                self.tokens.clear()
+            self.tokens[token] = got
+        return got
+
     def kind(self, word: str) -> int:
         got = self.known.get(word)
         if got is None:
@@ -157,6 +182,22 @@ _DOT = r"(?: ?[\[({<] ?dot ?[\])}>] ?| dot |\.| \. )"
 # the local part may spell its dots too
 _SPOKEN_MAILBOX = rf"{_MAILBOX}(?:(?: ?[\[({{<] ?dot ?[\])}}>] ?| dot ){_MAILBOX})*"
 _DISGUISED = re.compile(_EDGE + rf"({_SPOKEN_MAILBOX})({_AT})((?:[A-Za-z0-9-]+{_DOT})+?[A-Za-z]{{2,}})(?=$|[^\w.@-]|[.-](?:\W|$))(?! ?[\[({{<] ?dot| dot )", re.I | re.A)
+_BRACKETED_AT = re.compile(r"[\[({<] ?at ?[\])}>]")
+_SPOKEN_DOT = re.compile(r" ?[\[({<] ?dot ?[\])}>] ?| dot | \. ", re.I)
+
+
+def _undisguised(m: re.Match) -> str | None:
+    """The mailbox that a disguise spells; None where the words are none."""
+    at = m.group(2).strip().lower()
+    spoken = bool(re.search(r"dot" if at == "@" else r"\bdot\b", m.group(3), re.I))
+    if at in ("at", "@") and not spoken:
+        return None  # "file at www.site.org": words, not a mailbox
+    # a top domain may be any word, but "look at the dot plot" is no mailbox: then the local part must tell, or the domain be a known one
+    if at == "at" and m.group(3).split()[-1].lower() not in _SPOKEN_DOMAINS and not re.search(r"[.\d_]| dot |[\[({<] ?dot", m.group(1), re.I):
+        return None
+    return _SPOKEN_DOT.sub(".", m.group(1)) + "@" + _SPOKEN_DOT.sub(".", m.group(3))
+
+
 _NO_MAILBOX = re.compile(r"(?:\w+://\S*|(?:git|ssh|scp|rsync)[+:]\S*)$", re.I)
 # Top domains that a mailbox spelled in words may end in.
 _SPOKEN_DOMAINS = frozenset(
@@ -187,6 +228,11 @@ _LABELLED_ID = re.compile(
     rf"\b{_LABELS}\b[\w. -]{{0,24}}?(?:no\.?|number|nr\.?|#|:|=| )\s?(\d{{2}} \d{{3}} \d{{3}} \d{{3}}|\d{{9,12}}|\d{{3}} \d{{2}} \d{{4}})(?![\w-])(?! ?\d)", re.I | re.A)
 _GROUPED_ID = re.compile(_NUM + r"\d{2} \d{3} \d{3} \d{3}(?![\w/-])(?!\.\d)(?! ?\d)(?! ?(?:bytes|[kKMG]i?B|bits|rows|ms|s)\b)", re.A)
 
+_DIGIT = re.compile(r"\d")
+# every phone number, and every identity number without letters, holds six digits with at most two other characters between them
+_LONG_NUMBER = re.compile(r"\d(?:\D{0,4}\d){5}", re.A)
+_PHONE_LABEL = re.compile(r"\b(?:phone|tel|telephone|mobile|cell|fax)(?: (?:no|number))?\W*(?:is\W*)?$", re.I)
+
 _CAP = r"[A-ZÀ-ÖØ-ÞŁŚŻŒ][\w'-]*"
 _HOUSE = r"\d{1,4} ?-? ?\d{0,4}[A-Za-z]?"
 _NO = r"\d{1,4}[A-Za-z]?(?:-\d{1,4}[A-Za-z]?)?"
@@ -209,14 +255,12 @@ TYPES = ("email", "address", "phone", "id_number", "name")
 
 def _names(t: str, names: Names) -> Iterator[tuple[int, int]]:
     """Given and family name together, in either order."""
+    kinds = [names.of_token(w) for w in _TOKEN.findall(t)]
+    at = [i for i, k in enumerate(kinds) if k]
+    # a name is two words of the lexicon at most seven apart
+    if not any(b - a <= 7 for a, b in zip(at, at[1:])):
+        return
     toks = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(t)]
-    kinds = []
-    for _, _, w in toks:
-        if "-" in w:
-            ks = [names.kind(p) for p in w.split("-")]
-            kinds.append(Names.FAMILY if all(k & Names.FAMILY for k in ks) else Names.GIVEN if all(k & Names.GIVEN for k in ks) else 0)
-        else:
-            kinds.append(names.kind(w) if len(w) > 2 else 0)
 
     def clear(a: int, b: int) -> bool:
         """No handle, path or identifier around."""
@@ -283,49 +327,49 @@ def detect(source: str, names: Names | None) -> list[tuple[int, int, str]]:
         return all(b <= x or a >= y for x, y, _ in taken)
 
     blocked: list[tuple[int, int]] = []
-    if "@" in t or " at " in t or " AT " in t or "at]" in t or "at)" in t or "AT" in t or "at}" in t or "at>" in t:
-        for pattern in (_EMAIL, _DISGUISED):
-            for m in pattern.finditer(t):
-                a, b = m.span()
-                local = m.group().split("@")[0] if pattern is _EMAIL else m.group(1)
-                if pattern is _DISGUISED:
-                    plain_at = m.group(2).strip().lower() in ("at", "@")
-                    if m.group(2).strip().lower() == "at" and not re.search(r"\bdot\b", m.group(3), re.I):
-                        continue  # "file at www.site.org": words, not a mailbox
-                    if m.group(2).strip().lower() == "at" and m.group(3).split()[-1].lower() not in _SPOKEN_DOMAINS:
-                        continue  # "look at the dot plot"
-                    if plain_at and m.group(2).strip() == "@" and not re.search(r"dot", m.group(3), re.I):
-                        continue
-                start = max(t.rfind(" ", 0, a), t.rfind("\n", 0, a), t.rfind("<", 0, a), t.rfind("(", 0, a)) + 1
-                if local.lower() in _SERVICE_ACCOUNTS or _NO_MAILBOX.match(t[start:a] + "x") and "://" in t[start:a] or t[b:b + 1] == ":" and t[b + 1:b + 2].strip() and not t[b + 1:b + 2].isspace():
-                    blocked.append((a, b))
-                    continue
-                if re.match(r"\d+x\.", m.group()[len(local) + 1:]) or not free(a, b):
-                    continue
-                taken.append((a, b, "email"))
-    if any(c.isdigit() for c in t):
+    if "@" in t:
+        for m in _EMAIL.finditer(t):
+            a, b = m.span()
+            local = m.group().split("@")[0]
+            start = max(t.rfind(" ", 0, a), t.rfind("\n", 0, a), t.rfind("<", 0, a), t.rfind("(", 0, a)) + 1
+            if local.lower() in _SERVICE_ACCOUNTS or _NO_MAILBOX.match(t[start:a] + "x") and "://" in t[start:a] or t[b:b + 1] == ":" and t[b + 1:b + 2].strip() and not t[b + 1:b + 2].isspace():
+                blocked.append((a, b))
+                continue
+            if re.match(r"\d+x\.", m.group()[len(local) + 1:]) or not free(a, b):
+                continue
+            taken.append((a, b, "email"))
+    if _DIGIT.search(t):
         for pattern in _ADDRESSES:
             for m in pattern.finditer(t):
                 if free(*m.span()):
                     taken.append((*m.span(), "address"))
         for m in _AFTER_STREET.finditer(t):
-            head = _BEFORE_STREET.search(t[max(0, m.start() - 60):m.start()])
+            head = _BEFORE_STREET.search(t[t.rfind("\n", 0, m.start()) + 1:m.start()])
             if head and free(m.start() - len(head.group()), m.end()):
                 taken.append((m.start() - len(head.group()), m.end(), "address"))
-        for m in _LABELLED_ID.finditer(t):
-            if free(*m.span(1)):
-                taken.append((*m.span(1), "id_number"))
-        for pattern in _IDS:
-            for m in pattern.finditer(t):
+        long = _LONG_NUMBER.search(t) is not None
+        if long:
+            for m in _LABELLED_ID.finditer(t):
+                if free(*m.span(1)):
+                    taken.append((*m.span(1), "id_number"))
+            for m in _IDS[0].finditer(t):
                 if free(*m.span()):
                     taken.append((*m.span(), "id_number"))
-        for m in _GROUPED_ID.finditer(t):
-            if free(*m.span()):
-                taken.append((*m.span(), "id_number"))
-        for pattern in _PHONES:
+        for pattern in _IDS[1:]:
             for m in pattern.finditer(t):
                 if free(*m.span()):
-                    taken.append((*m.span(), "phone"))
+                    taken.append((*m.span(), "id_number"))
+        if long:
+            for m in _GROUPED_ID.finditer(t):
+                if free(*m.span()):
+                    taken.append((*m.span(), "id_number"))
+            for pattern in _PHONES:
+                for m in pattern.finditer(t):
+                    if free(*m.span()):
+                        taken.append((*m.span(), "phone"))
+        for a, b in tape.spelled:  # spoken digits come as one block, which only a label tells from other numbers
+            if 7 <= b - a <= 15 and _PHONE_LABEL.search(t[t.rfind("\n", 0, a) + 1:a]) and free(a, b):
+                taken.append((a, b, "phone"))
     if names is not None:
         for a, b in _names(t, names):
             if free(a, b):

@@ -72,3 +72,17 @@ def test_frames(spark):
     ("write john dot doe at example dot com.", "john dot doe at example dot com"), ("(j [dot] p [dot] doe [at] mail [dot] example [dot] org)", "j [dot] p [dot] doe [at] mail [dot] example [dot] org")])
 def test_spelled_local_part(text, value):
     assert got(text) == {("email", value)}
+
+
+@pytest.mark.parametrize("text, kind, value", [
+    ("phone: five five five one two three four five six seven", "phone", "five five five one two three four five six seven"), ("write to jane dot doe at example dot com.", "email", "jane dot doe at example dot com"),
+    ("mail jane.doe at example dot berlin", "email", "jane.doe at example dot berlin"), ("look at the dot plot", None, None), ("jane [at] example [dot] org", "email", "jane [at] example [dot] org"),
+    (f"lived in {'Ober' * 40}felder Weg 12 then", "address", f"{'Ober' * 40}felder Weg 12")])
+def test_disguises(text, kind, value):
+    assert got(text) == ({(kind, value)} if kind else set())
+
+
+def test_rewriting_keeps_places():
+    text = "a jane dot doe at example dot com b phone: one two three four five six seven eight nine zero, end"
+    assert [text[a:b] for a, b, _ in detect(text, None)] == ["jane dot doe at example dot com", "one two three four five six seven eight nine zero"]
+    assert replace(text, None) == "a [EMAIL] b phone: [PHONE], end"
