@@ -199,7 +199,10 @@ class Ecma(Parser):
         begin = self.tok.start
         state = (self.in_function, self.in_async, self.in_generator, self.loops, self.switches, list(self.labels), self.no_in, self.ambient, self.no_conditional)
         try:
-            parse(*args)
+            if args:
+                parse(*args)
+            else:
+                parse()  # a plain call takes no C stack, however deep
         except Fault as f:
             if self.guess:
                 raise
@@ -781,6 +784,8 @@ class Ecma(Parser):
         if self.typed:
             return True
         depth, t = 0, self.tok
+        if self.peek().kind == "p" and self.peek().text == "(":
+            return False  # no parameter starts with one
         for _ in range(4000):
             if t.kind == "p":
                 if t.text in ("(", "[", "{"):

@@ -674,23 +674,19 @@ class Rust(Parser):
                 self.next()
             elif t.kind in ("num", "str", "char") or t.kind == "p" and t.text in ("-", "{") or t.kind == "id" and t.text in ("true", "false"):
                 self.const_argument()
-            elif t.kind == "id" and self.peek().text in ("=", ":", "==") or t.kind == "id" and self.peek().text == "<" and self.attempt(self.named_argument):
-                if self.tok is t:
-                    self.next()
-                    if self.take_p(":"):
-                        self.bounds()
-                    else:
-                        self.need_p("=")
-                        self.type()
+            elif t.kind == "id" and self.peek().text in ("=", ":", "=="):
+                self.next()
+                self.named_argument()
             else:
+                named = t.kind == "id" and self.peek().text == "<"
                 self.type()
+                if named and self.tok.kind == "p" and self.tok.text in ("=", ":"):
+                    self.named_argument()
             if not (self.tok.kind == "p" and self.tok.text.startswith(">")):
                 self.need_p(",")
 
     def named_argument(self) -> None:
-        """Name<...> = Type or Name<...>: bounds."""
-        self.name()
-        self.generic_arguments()
+        """What follows a name, which may have arguments of its own: = Type or : bounds."""
         if self.take_p(":"):
             self.bounds()
         else:

@@ -7,8 +7,7 @@ one, without a shuffle but the join of texts and paths; rates are counted from o
 
 Defined cases: null texts and files without a known extension get no verdict (valid is null); an
 empty text is valid; repeated rows of files count once (a file under several paths is judged by the
-first of them in order); texts may be of any length; nesting deeper than the parser can follow gets no
-verdict.
+first of them in order); texts may be of any length and nest as deep as they are long.
 """
 
 from __future__ import annotations
@@ -45,7 +44,8 @@ def faults_of(text: str, ext: str) -> tuple[int, list[SyntaxFault]] | None:
     if language is None:
         return None
     limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 60_000))
+    # calls between the parser's methods lie on the heap; no text nests deeper than it is long
+    sys.setrecursionlimit(max(limit, min(2**30, 100_000 + 64 * len(text))))
     try:
         if language == "python":
             parser = Python(text)

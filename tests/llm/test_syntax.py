@@ -94,3 +94,21 @@ def test_frames(spark):
     assert {(r.repository, r.language): (r.n_files, r.n_invalid, r.invalid_rate) for r in acceptance(v).collect()} == {
         ("r", "python"): (1, 0, 0.0), ("r", "rust"): (1, 1, 1.0), ("q", "javascript"): (1, 0, 0.0)}
     assert check_syntax(files.limit(0), texts).collect() == [] == check_syntax(files, texts.limit(0)).collect()
+
+
+DEEP = 20_000
+
+
+@pytest.mark.parametrize("ext, text, valid", [
+    ("js", "x = " + "(" * DEEP + "1" + ")" * DEEP + ";", True), ("js", "[" * 3 * DEEP, False), ("js", "{" * DEEP + "}" * DEEP, True), ("ts", "let x = " + "[" * DEEP + "]" * DEEP + ";", True),
+    ("rs", "fn a() { let x = " + "(" * DEEP + "1" + ")" * DEEP + "; }", True), ("rs", "type A = " + "Vec<" * DEEP + "u8" + ">" * DEEP + ";", True), ("rs", "type A = " + "Vec<" * 40 + "u8" + ">" * 39 + ";", False),
+    ("rs", "fn a(x: B<Item<u8> = u8>, y: C<T: Copy>) {}", True), ("py", "x = " + "not " * DEEP + "1", True)])
+def test_deep_nesting_gets_a_verdict(ext, text, valid):
+    n, _ = faults_of(text, ext)
+    assert (n == 0) == valid
+
+
+@pytest.mark.parametrize("ext, line", [("js", "let = ;\n"), ("rs", "fn 1() {}\n"), ("py", "x = = 1\n")])
+def test_all_errors_are_stored(ext, line):
+    n, faults = faults_of(line * 1500, ext)
+    assert n == len(faults) == 1500 and [f.line for f in faults] == list(range(1, 1501))
