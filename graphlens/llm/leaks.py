@@ -25,6 +25,7 @@ from graphlens.llm.words import fold, word_spans, words
 from graphlens.session import parallel
 
 _BUILT: dict = {}
+KEPT = 3
 
 
 class SuffixAutomaton:
@@ -137,8 +138,10 @@ class SuffixAutomaton:
 
 
 def _automaton(key: str, items: list, floor: int) -> SuffixAutomaton:
+    """Built once per worker and block; a worker that turns from block to block keeps the last few."""
     if key not in _BUILT:
-        _BUILT.clear()
+        while len(_BUILT) >= KEPT:
+            del _BUILT[next(iter(_BUILT))]
         _BUILT[key] = SuffixAutomaton(items, floor)
     return _BUILT[key]
 

@@ -23,7 +23,8 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlens.session import parallel
@@ -259,9 +260,20 @@ class BytePairs:
 _LOADED: dict[str, BytePairs] = {}
 
 
+_SENT: set[tuple[str, str]] = set()
+
+
+def _send(spark: SparkSession, vocabulary: str) -> None:
+    """Hand the vocabulary to the executors, which may lack its path; once per application."""
+    key = (spark.sparkContext.applicationId, vocabulary)
+    if key not in _SENT:
+        spark.sparkContext.addFile(vocabulary)
+        _SENT.add(key)
+
+
 def _pairs(vocabulary: str) -> BytePairs:
     if vocabulary not in _LOADED:
-        _LOADED[vocabulary] = BytePairs(vocabulary)
+        _LOADED[vocabulary] = BytePairs(vocabulary if os.path.exists(vocabulary) else SparkFiles.get(os.path.basename(vocabulary)))
     return _LOADED[vocabulary]
 
 
@@ -282,6 +294,7 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, ids array<int>[, offsets array<int>]): one row per input row, in place, without a shuffle."""
     path = vocabulary or os.environ.get("GRAPHLENS_VOCABULARY") or DEFAULT_VOCABULARY
     kind = df.schema[id_col].dataType.simpleString()
+    _send(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _pairs(path)
@@ -305,6 +318,7 @@ def decode_corpus(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", v
     """(id, text): the text the ids stand for; null ids give a null text, unknown ids raise."""
     path = vocabulary or os.environ.get("GRAPHLENS_VOCABULARY") or DEFAULT_VOCABULARY
     kind = df.schema[id_col].dataType.simpleString()
+    _send(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pairs(path).pieces
