@@ -9,7 +9,7 @@ import sys
 
 from graphlens import index, report
 from graphlens.engine import Engine
-from graphlens.expose import allow_text, exposed, register_functions
+from graphlens.expose import FunctionServer, allow_text, exposed, register_functions, write_server
 from graphlens.session import local_session
 from graphlens.store import Store
 
@@ -45,7 +45,8 @@ def _parser() -> argparse.ArgumentParser:
     for name in ("brief", "diagram"):
         verb(name, f"write the {name}", out={})
     verb("report", "write the health report, as text and JSON", out={"default": "report"})
-    verb("expose", "list what the allow-list exposes, and register it", register={"action": "store_true"})
+    verb("expose", "list what the allow-list exposes, register it, or write a server for it", register={"action": "store_true"}, server={"metavar": "FILE"}, root={"default": "."})
+    verb("serve-functions", "JSON-RPC over what the allow-list exposes", root={"default": "."})
     return p
 
 
@@ -77,9 +78,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             if line.strip() and (out := engine.handle(line)):
                 print(out, flush=True)
     elif a.verb == "web":
-        from graphlens.web import server
+        from graphlens import web
 
-        server(engine, a.port).serve_forever()
+        web.server(engine, a.port).serve_forever()
     elif a.verb == "export":
         print(report.export_graph(engine, a.out))
     elif a.verb == "scaffold":
@@ -89,7 +90,16 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     elif a.verb == "expose":
         targets, problems = exposed(engine.located, allow_text(spark, a.store))
         rows = [(r.module, r.name) for r in targets.orderBy("module", "name", "id").collect()]
-        _print({"functions": register_functions(spark, rows) if a.register else rows, "problems": [r.asDict() for r in problems.orderBy("spec").collect()]})
+        if a.server:
+            print(write_server(a.server, os.path.abspath(a.root), rows))
+        else:
+            _print({"functions": register_functions(spark, rows) if a.register else rows, "problems": [r.asDict() for r in problems.orderBy("spec").collect()]})
+    elif a.verb == "serve-functions":
+        sys.path.insert(0, os.path.abspath(a.root))
+        server = FunctionServer([(r.module, r.name) for r in exposed(engine.located, allow_text(spark, a.store))[0].orderBy("module", "name", "id").collect()])
+        for line in sys.stdin:
+            if line.strip() and (out := server.handle(line)):
+                print(out, flush=True)
     else:
         text = getattr(report, a.verb)(engine)
         if a.out:

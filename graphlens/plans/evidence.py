@@ -24,7 +24,7 @@ from graphlens.operators import resolve as rs
 from graphlens.operators import snapshot as sn
 from graphlens.operators import traverse as tr
 from graphlens.operators.snapshot import Graph
-from graphlens.plans.graph import _COMP, _DEG, _FLOW, _G, _IMPORTS, _LINES, _METHODS, _calls_among, _line_coverage, _root
+from graphlens.plans.graph import _COMP, _DEG, _FLOW, _G, _IMPORTS, _LINES, _METHODS, _calls_among, _facts, _line_coverage, _root
 from graphlens.session import checkpoint_dir, cut, table
 from graphlens.sources import reports
 from graphlens.sources.extract import LANGUAGES
@@ -480,3 +480,70 @@ def export_graph(spark, d):
     path = export(Engine(spark, d), at)
     doc = spark.read.schema("links array<struct<src_id:long,dst_id:long,kind:string>>").json(f"file://{path}", multiLine=True)
     return doc.select(F.explode("links").alias("x")).select("x.*")
+
+
+# ---- extraction, where patterns over lines see the same
+
+_LINES_OF = """WITH f AS (SELECT id, min(path) AS path FROM files WHERE id IS NOT NULL AND path IS NOT NULL GROUP BY id), tx AS (SELECT file_id, path, content FROM file_text JOIN f ON f.id = file_id WHERE content IS NOT NULL),
+ls AS (SELECT file_id, path, regexp_split_to_array(content, '\\r\\n|\\r|\\n') AS x FROM tx), ln AS (SELECT file_id, path, x, i AS line, x[i] AS s FROM ls, unnest(range(1, len(x) + 1)) AS u(i))
+"""
+
+
+def _seen(spark: SparkSession, d: str, *suffixes: str) -> DataFrame:
+    g = Graph(spark, d)
+    paths = g.files.select("path", F.col("id").alias("file_id"))
+    wanted = F.lit(False)
+    for x in suffixes:
+        wanted = wanted | F.col("path").endswith(x)
+    return _facts(spark, d)["symbols"].join(paths.where(wanted), "file_id")
+
+
+@query("extract_python", _LINES_OF + """SELECT DISTINCT file_id, regexp_extract(s, '^\\s*(?:async\\s+)?(?:def|class)\\s+(\\w+)', 1) AS name, CASE WHEN regexp_matches(s, '^\\s*class') THEN 'class' ELSE 'function' END AS kind, line AS line_start
+FROM ln WHERE regexp_matches(path, '\\.pyi?$') AND regexp_matches(s, '^\\s*(?:async\\s+)?(?:def|class)\\s+\\w+\\s*[(:]')""")
+def extract_python(spark, d):
+    return _seen(spark, d, ".py", ".pyi").where("kind <> 'import'").select("file_id", "name", "kind", "line_start").distinct()
+
+
+@query("extract_imports", _LINES_OF + """, im AS (SELECT file_id, line, nullif(regexp_extract(s, '^\\s*from\\s+([\\w.]+)', 1), '') AS module,
+  CASE WHEN regexp_matches(s, 'import\\s*\\(') THEN regexp_extract(split_part(array_to_string(x[line:], ' '), ')', 1), 'import\\s*\\((.*)$', 1) ELSE regexp_replace(regexp_extract(s, '^\\s*(?:from\\s+[\\w.]+\\s+)?import\\s+(.*)$', 1), '\\s*#.*$', '') END AS items
+  FROM ln WHERE regexp_matches(path, '\\.pyi?$') AND regexp_matches(s, '^\\s*(?:from\\s+[\\w.]+\\s+)?import\\s+[\\w.(]+')),
+it AS (SELECT file_id, line, module, trim(unnest(string_split(items, ','))) AS item FROM im)
+SELECT DISTINCT file_id, coalesce(nullif(regexp_extract(item, '\\sas\\s+(\\w+)$', 1), ''), item) AS name, line AS line_start, module AS import_module, regexp_extract(item, '^([\\w.]+)', 1) AS import_name FROM it WHERE item <> ''""")
+def extract_imports(spark, d):
+    return _seen(spark, d, ".py", ".pyi").where("kind = 'import'").select("file_id", "name", "line_start", "import_module", "import_name").distinct()
+
+
+@query("extract_rust", _LINES_OF + """SELECT DISTINCT file_id, regexp_extract(s, '\\b(fn|struct|enum|trait)\\s+(\\w+)', 2) AS name, replace(regexp_extract(s, '\\b(fn|struct|enum|trait)\\s+\\w+', 1), 'fn', 'function') AS kind, line AS line_start
+FROM ln WHERE path LIKE '%.rs' AND regexp_matches(s, '^\\s*(?:pub(?:\\([^)]*\\))?\\s+)?(?:(?:const|async|unsafe)\\s+)*(?:fn|struct|enum|trait)\\s+\\w+')""")
+def extract_rust(spark, d):
+    return _seen(spark, d, ".rs").select("file_id", "name", "kind", "line_start").distinct()
+
+
+@query("extract_script_types", _LINES_OF + """SELECT DISTINCT file_id, regexp_extract(s, '\\b(class|interface|enum)\\s+(\\w+)', 2) AS name, regexp_extract(s, '\\b(class|interface|enum)\\s', 1) AS kind, line AS line_start
+FROM ln WHERE regexp_matches(path, '\\.[mc]?[jt]s$') AND regexp_matches(s, '^\\s*(?:\\w+\\s+)*(?:class|interface|enum)\\s+\\w+')""")
+def extract_script_types(spark, d):
+    return _seen(spark, d, "js", "ts").where("kind in ('class', 'interface', 'enum')").select("file_id", "name", "kind", "line_start").distinct()
+
+
+@query("extract_rust_docs", _LINES_OF + """SELECT DISTINCT file_id, regexp_extract(s, '\\bfn\\s+(\\w+)', 1) AS name, line AS line_start, trim(regexp_extract(x[line - 1], '^\\s*///(.*)$', 1)) AS docstring
+FROM ln WHERE path LIKE '%.rs' AND regexp_matches(s, '^\\s*(?:pub(?:\\([^)]*\\))?\\s+)?(?:(?:const|async|unsafe)\\s+)*fn\\s+\\w+') AND line > 1 AND regexp_matches(x[line - 1], '^\\s*///') AND (line = 2 OR NOT regexp_matches(x[line - 2], '^\\s*(///|#\\['))""")
+def extract_rust_docs(spark, d):
+    """Documentation of one line, right above the function."""
+    one = _seen(spark, d, ".rs").where("kind = 'function' and docstring is not null").where(~F.col("docstring").contains("\n"))
+    at = table(spark, d, "file_text").select("file_id", F.split("content", "\r\n|\r|\n", -1).alias("x"))
+    above = F.element_at("x", F.col("line_start").cast("int") - 1)
+    over = F.when(F.col("line_start") > 2, F.element_at("x", F.greatest(F.col("line_start").cast("int") - 2, F.lit(1))))
+    near = one.join(at, "file_id").where("line_start > 1").where(above.rlike(r"^\s*///") & ~F.coalesce(over.rlike(r"^\s*(///|#\[)"), F.lit(False)))
+    return near.select("file_id", "name", "line_start", F.trim("docstring").alias("docstring")).distinct()
+
+
+@query("foreign_exports", _LINES_OF + """SELECT file_id, regexp_extract(s, '^pub (?:async |unsafe )*fn (\\w+)', 1) AS name, line + row_number() OVER (PARTITION BY file_id ORDER BY line) AS line_start
+FROM ln WHERE path LIKE '%.rs' AND regexp_matches(s, '^pub (?:async |unsafe )*fn \\w+')""")
+def foreign_exports(spark, d):
+    """Rust files whose public functions are marked as exports, on a line of its own before each."""
+    from graphlens.sources.extract import extract, fact_tables
+
+    g = Graph(spark, d)
+    mark = F.regexp_replace(F.regexp_replace("content", "\r\n|\r", "\n"), r"(?m)^(pub (?:async |unsafe )*fn \w+)", "#[pyfunction]\n$1")
+    texts = table(spark, d, "file_text").where("content is not null").join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id").where(F.col("path").endswith(".rs")).withColumn("content", mark)
+    return fact_tables(extract(texts, foreign=True))["symbols"].where("kind = 'foreign_export'").select("file_id", "name", "line_start")
