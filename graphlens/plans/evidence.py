@@ -526,9 +526,9 @@ def extract_script_types(spark, d):
 
 
 @query("extract_rust_docs", _LINES_OF + """SELECT DISTINCT file_id, regexp_extract(s, '\\bfn\\s+(\\w+)', 1) AS name, line AS line_start, trim(regexp_extract(x[line - 1], '^\\s*///(.*)$', 1)) AS docstring
-FROM ln WHERE path LIKE '%.rs' AND regexp_matches(s, '^\\s*(?:pub(?:\\([^)]*\\))?\\s+)?(?:(?:const|async|unsafe)\\s+)*fn\\s+\\w+') AND line > 1 AND regexp_matches(x[line - 1], '^\\s*///') AND (line = 2 OR NOT regexp_matches(x[line - 2], '^\\s*(///|#\\['))""")
+FROM ln WHERE path LIKE '%.rs' AND regexp_matches(s, '^\\s*(?:pub(?:\\([^)]*\\))?\\s+)?(?:(?:const|async|unsafe)\\s+)*fn\\s+\\w+') AND line > 1 AND regexp_matches(x[line - 1], '^\\s*///\\s*\\S') AND (line = 2 OR NOT regexp_matches(x[line - 2], '^\\s*(///|#\\[)'))""")
 def extract_rust_docs(spark, d):
-    """Documentation of one line, right above the function."""
+    """Documentation of one line that is not blank, right above the function."""
     one = _seen(spark, d, ".rs").where("kind = 'function' and docstring is not null").where(~F.col("docstring").contains("\n"))
     at = table(spark, d, "file_text").select("file_id", F.split("content", "\r\n|\r|\n", -1).alias("x"))
     above = F.element_at("x", F.col("line_start").cast("int") - 1)

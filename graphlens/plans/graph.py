@@ -387,14 +387,6 @@ def text_edges(spark, d):
     return rs.build_edges(facts, symbols, files)
 
 
-def _markers(spark: SparkSession, d: str) -> DataFrame:
-    """(id, marker, step) from the decorators and guards of the Python texts."""
-    from graphlens.index import markers
-
-    g = Graph(spark, d)
-    return markers(_facts(spark, d), g.symbols("file_id", "name", "kind", "line_start"), g.files)
-
-
 # ---- traversal
 
 _CALLS = ", c AS (SELECT DISTINCT src_id, dst_id FROM e WHERE kind = 'calls')\n"
@@ -624,9 +616,18 @@ def library_rank(spark, d):
     return _ranked(g, spark.createDataFrame([], "id long, marker string, step int")).select("rank", "id", "marker", "is_library")
 
 
-@query("decorator_markers")
+@query("decorator_markers", _G + """SELECT id AS file_id, CASE id % 4 WHEN 2 THEN 1 WHEN 3 THEN 5 ELSE 2 END AS line, CASE WHEN id % 4 = 2 THEN 'main' ELSE name END AS name, CASE id % 4 WHEN 0 THEN 'web_route' WHEN 1 THEN 'cli' WHEN 2 THEN 'main' ELSE 'main_guard' END AS marker
+FROM s WHERE kind = 'function' AND regexp_full_match(name, '[a-z]+_[a-z_]+')""")
 def decorator_markers(spark, d):
-    return _markers(spark, d)
+    """Markers that extraction finds in texts made of the names of functions: routes, commands, a main function, a call in a guard."""
+    from graphlens.sources.extract import extract, fact_tables
+
+    f = Graph(spark, d).symbols("file_id", "name", "kind").where("kind = 'function'").where(F.col("name").rlike("^[a-z]+_[a-z_]+$"))
+    n, body = F.col("name"), F.lit("(a):\n    return a\n")
+    k = F.col("id") % 4
+    text = (F.when(k == 0, F.concat(F.lit("@app.get('/x')\ndef "), n, body)).when(k == 1, F.concat(F.lit("@cli.command\ndef "), n, body))
+            .when(k == 2, F.concat(F.lit("def main():\n    pass\n\n@cached\ndef "), n, body)).otherwise(F.concat(F.lit("def "), n, body, F.lit("\nif __name__ == '__main__':\n    "), n, F.lit("(1)\n"))))
+    return fact_tables(extract(f.select(F.col("id").alias("file_id"), F.lit("x.py").alias("path"), text.alias("content"))))["markers"].select("file_id", "line", "name", "marker")
 
 
 @query("import_roots", _G + "SELECT DISTINCT file_id, string_split(coalesce(import_module, import_name, name), '.')[1] AS root FROM s WHERE kind = 'import'")

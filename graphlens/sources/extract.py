@@ -139,14 +139,16 @@ def _is_guard(test: ast.AST) -> bool:
 
 
 _DEF = re.compile(r"^([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+([^\W\d]\w*)")
-_IMPORT = re.compile(r"^[ \t]*(?:from[ \t]+([.\w]+)[ \t]+)?import[ \t]+([\w.]+)(?:[ \t]+as[ \t]+(\w+))?")
+_IMPORT = re.compile(r"^[ \t]*(?:from[ \t]+([.\w]+)[ \t]+)?import\b[ \t]*(.*)$")
+_IMPORTED = re.compile(r"\s*([\w.]+|\*)(?:\s+as\s+(\w+))?")
 
 
 def _python_lines(source: str) -> list[dict]:
     """Declarations by line, where the text does not parse; a block ends before the next line that is not deeper."""
     out, open_blocks = [], []  # open blocks: depth and row
     last = 0
-    for i, text in enumerate(source.splitlines(), 1):
+    lines = source.splitlines()
+    for i, text in enumerate(lines, 1):
         if not text.strip():
             continue
         depth = len(text) - len(text.lstrip())
@@ -160,7 +162,15 @@ def _python_lines(source: str) -> list[dict]:
             continue
         m = _IMPORT.match(text)
         if m:
-            out.append(_row("symbol", name=m.group(3) or m.group(2), kind="import", line=i, line_end=i, import_module=m.group(1), import_name=m.group(2)))
+            names, end = m.group(2).split("#")[0], i
+            if names.startswith("("):  # up to the closing bracket
+                while ")" not in names and end < len(lines):
+                    names, end = names + " " + lines[end].split("#")[0], end + 1
+                names = names[1:].split(")")[0]
+            for item in names.split(","):
+                x = _IMPORTED.match(item)
+                if x:
+                    out.append(_row("symbol", name=x.group(2) or x.group(1), kind="import", line=i, line_end=end, import_module=m.group(1), import_name=x.group(1)))
     for _, row in open_blocks:
         row["line_end"] = last
     return out
