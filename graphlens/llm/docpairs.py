@@ -205,16 +205,19 @@ def function_table(symbols: DataFrame, file_text: DataFrame, files: DataFrame, w
     inner = innermost(symbols.where(is_function).select(F.col("id").alias("symbol_id"), "file_id", F.col("line_start").alias("at")),
                       owners.withColumn("start", F.col("start") + 1), "file_id", "at", "symbol_id", "owner_id")
     owner_names = owners.groupBy("owner_id").agg(F.min("owner").alias("owner"))
-    owned = inner.join(owner_names, "owner_id").groupBy("symbol_id").agg(F.min("owner").alias("owner"))
+    owned = inner.join(owner_names, "owner_id").groupBy("symbol_id").agg(F.min(F.struct("owner", "owner_id")).alias("o")).select("symbol_id", "o.owner", "o.owner_id")
     # read several times below, so it is written once
     return cut(taken.join(owned, "symbol_id", "left").withColumn("owner", F.coalesce("owner", F.lit(""))).distinct())
 
 
-def documented_functions(symbols: DataFrame, file_text: DataFrame, files: DataFrame, with_text: bool = True) -> DataFrame:
+def documented_functions(symbols: DataFrame, file_text: DataFrame, files: DataFrame, with_text: bool = True, inherits: DataFrame | None = None) -> DataFrame:
     """(symbol_id, path, qualified_name, signature, described_by[, description, code]).
 
     described_by is the symbol whose documentation it is: the function itself, or the declaration with
-    the smallest id under the same qualified name and signature. with_text=False leaves the texts out.
+    the smallest id under the same qualified name and signature. With inherits (src_id, dst_id: a type
+    and what it derives from or implements) a method that neither describes takes the text of the method
+    of that name and signature with the smallest id in a type right above its own. with_text=False leaves
+    the texts and the types above out.
     """
     table = function_table(symbols, file_text, files, with_text)
     key = ["module", "owner", "name", "signature"]
@@ -229,5 +232,16 @@ def documented_functions(symbols: DataFrame, file_text: DataFrame, files: DataFr
     declared = described.groupBy(*key).agg(F.min(F.struct("symbol_id", "docstring")).alias("d"))
     own = described.withColumn("described_by", F.col("symbol_id"))
     taken = table.where("trivial").join(declared, key).withColumn("described_by", F.col("d.symbol_id"))
-    return own.select(*out, F.col("docstring").alias("description"), "code").unionByName(
+    pairs = own.select(*out, F.col("docstring").alias("description"), "code").unionByName(
         taken.select(*out, F.col("d.docstring").alias("description"), "code"))
+    if inherits is None:
+        return pairs
+    above = inherits.select(F.col("src_id").alias("owner_id"), F.col("dst_id").alias("parent_id")).where("owner_id <> parent_id").distinct()
+    method = ["owner_id", "name", "signature"]
+    lent = described.where("owner_id is not null").groupBy(*method).agg(F.min(F.struct("symbol_id", "docstring")).alias("d"))
+    left = table.where("trivial and owner_id is not null").join(declared.select(*key), key, "left_anti")
+    # keys meet the types above first; texts are joined to the one row that is left of each
+    met = left.select("symbol_id", *method).distinct().join(above, "owner_id").select("symbol_id", "name", "signature", F.col("parent_id").alias("owner_id"))
+    hit = met.join(lent, method).groupBy("symbol_id").agg(F.min("d").alias("d"))
+    got = left.join(hit, "symbol_id").withColumn("described_by", F.col("d.symbol_id"))
+    return pairs.unionByName(got.select(*out, F.col("d.docstring").alias("description"), "code"))

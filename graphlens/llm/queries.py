@@ -28,7 +28,8 @@ def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_pairs(spark: SparkSession, d: str, with_text: bool = True) -> DataFrame:
-    return documented_functions(table(spark, d, "symbols"), table(spark, d, "file_text"), table(spark, d, "files"), with_text)
+    above = table(spark, d, "edges").where("lower(trim(kind)) = 'inherits'").select("src_id", "dst_id") if with_text else None
+    return documented_functions(table(spark, d, "symbols"), table(spark, d, "file_text"), table(spark, d, "files"), with_text, above)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -64,3 +64,14 @@ def test_long_declarations(spark, ends):
     rows = [sym(1, 1, "f", 1, 16 if ends else None, "Says more than its name."), sym(2, 2, "f", 1, 16 if ends else None, "TODO")]
     out = documented_functions(spark.createDataFrame(rows, SYM), texts, files).collect()
     assert {(r.symbol_id, r.signature.split(",")[-1]) for r in out} == {(1, "first")}
+
+
+def test_types_above_lend(spark):
+    files = spark.createDataFrame([(1, "r/base.py"), (2, "r/impl.py")], "id long, path string")
+    body = "class {}:\n    def run(self, x):\n        return x\n    def halt(self):\n        pass\n"
+    texts = spark.createDataFrame([(1, body.format("Base")), (2, body.format("Impl"))], "file_id long, content string")
+    rows = [sym(1, 1, "Base", 1, 5, None, "trait"), sym(2, 2, "Impl", 1, 5, None, "class"), sym(11, 1, "run", 2, 3, "Says how it runs."), sym(12, 1, "halt", 4, 5, "TODO"), sym(21, 2, "run", 2, 3, "TODO"), sym(22, 2, "halt", 4, 5, None)]
+    edges = spark.createDataFrame([(2, 1), (2, 1), (2, 2), (None, 1)], "src_id long, dst_id long")
+    out = {r.symbol_id: r for r in documented_functions(spark.createDataFrame(rows, SYM), texts, files, inherits=edges).collect()}
+    assert {i: r.described_by for i, r in out.items()} == {11: 11, 21: 11} and out[21].description == "Says how it runs." and out[21].code.startswith("    def run")
+    assert documented_functions(spark.createDataFrame([], SYM), texts, files, inherits=edges.limit(0)).collect() == []
