@@ -547,3 +547,84 @@ def foreign_exports(spark, d):
     mark = F.regexp_replace(F.regexp_replace("content", "\r\n|\r", "\n"), r"(?m)^(pub (?:async |unsafe )*fn \w+)", "#[pyfunction]\n$1")
     texts = table(spark, d, "file_text").where("content is not null").join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id").where(F.col("path").endswith(".rs")).withColumn("content", mark)
     return fact_tables(extract(texts, foreign=True))["symbols"].where("kind = 'foreign_export'").select("file_id", "name", "line_start")
+
+
+# ---- facts of texts that are made of the names of functions
+
+def _made(g: Graph, path: str, *parts) -> dict[str, DataFrame]:
+    """Fact tables of one text a function; in parts, None stands for its name."""
+    from graphlens.sources.extract import extract, fact_tables
+
+    f = g.symbols("file_id", "name", "kind").where("kind = 'function'").where(F.col("name").rlike("^[a-z]+_[a-z_]+$"))
+    text = F.concat(*[F.col("name") if p is None else F.lit(p) for p in parts])
+    return fact_tables(extract(f.select(F.col("id").alias("file_id"), F.lit(path).alias("path"), text.alias("content"))))
+
+
+_OF_NAME = ", nm AS (SELECT id AS file_id, name FROM s WHERE kind = 'function' AND regexp_full_match(name, '[a-z]+_[a-z_]+'))\n"
+_PYTHON = ("class Own(base.Kind, Other[int], metaclass=M):\n    def ", None, "(self, a, /, b: int = 1, *rest, c=2, **kw):\n        x = Worker(a)\n        x.", None, "(b, k=c)\n        self.", None, "()\n        ", None,
+           "(a, 1, f(b))\n        y().", None, "()\n")
+
+
+@query("python_calls", _G + _OF_NAME + """SELECT file_id, line, callee, receiver, var, args FROM nm, (VALUES (3, 'Worker', 'bare', NULL, 'a'), (4, '', 'local', 'x', 'b,c'), (5, '', 'self', NULL, ''), (6, '', 'bare', NULL, 'a'), (6, 'f', 'bare', NULL, 'b'), (7, '', 'other', NULL, ''), (7, 'y', 'bare', NULL, '')) v(line, what, receiver, var, args),
+  LATERAL (SELECT CASE WHEN what = '' THEN name ELSE what END AS callee)""")
+def python_calls(spark, d):
+    """Call sites with the kind of their receiver and their bare arguments."""
+    return _made(Graph(spark, d), "x.py", *_PYTHON)["calls"].select("file_id", F.col("line").cast("int").alias("line"), "callee", "receiver", "var", F.array_join("args", ",").alias("args"))
+
+
+@query("python_params", _G + _OF_NAME + "SELECT file_id, 2 AS line, param FROM nm, (VALUES ('self'), ('a'), ('b'), ('rest'), ('c'), ('kw')) v(param)")
+def python_params(spark, d):
+    return _made(Graph(spark, d), "x.py", *_PYTHON)["params"].select("file_id", F.col("line").cast("int").alias("line"), "param")
+
+
+@query("python_bindings", _G + _OF_NAME + "SELECT file_id, 3 AS line, 'x' AS var, 'Worker' AS class_name FROM nm")
+def python_bindings(spark, d):
+    return _made(Graph(spark, d), "x.py", *_PYTHON)["assigns"].select("file_id", F.col("line").cast("int").alias("line"), "var", "class_name")
+
+
+@query("python_bases", _G + _OF_NAME + "SELECT file_id, 1 AS line, base FROM nm, (VALUES ('Kind'), ('Other')) v(base)")
+def python_bases(spark, d):
+    return _made(Graph(spark, d), "x.py", *_PYTHON)["bases"].select("file_id", F.col("line").cast("int").alias("line"), "base")
+
+
+@query("python_docstrings", _G + """, dc AS (SELECT id AS file_id, name, docstring FROM s WHERE kind = 'function' AND regexp_full_match(name, '[a-z]+_[a-z_]+') AND docstring <> '' AND NOT contains(docstring, '"') AND NOT contains(docstring, '\\\\') AND NOT regexp_matches(docstring, '[\\r\\x00\\f]'))
+SELECT file_id, name, docstring, 2 AS line_start, 3 + length(docstring) - length(replace(docstring, chr(10), '')) AS line_end FROM dc""")
+def python_docstrings(spark, d):
+    """Docstrings put into a function and read out of it, as written."""
+    from graphlens.sources.extract import extract, fact_tables
+
+    f = Graph(spark, d).symbols("file_id", "name", "kind", "docstring").where("kind = 'function'").where(F.col("name").rlike("^[a-z]+_[a-z_]+$"))
+    f = f.where("docstring <> ''").where(~F.col("docstring").contains('"') & ~F.col("docstring").contains("\\") & ~F.col("docstring").rlike("[\r\x00\f]"))
+    text = F.concat(F.lit("@deco\nasync def "), "name", F.lit('():\n    """'), "docstring", F.lit('"""\n'))
+    got = fact_tables(extract(f.select(F.col("id").alias("file_id"), F.lit("x.py").alias("path"), text.alias("content"))))["symbols"]
+    return got.select("file_id", "name", "docstring", F.col("line_start").cast("int").alias("line_start"), "line_end")
+
+
+_SCRIPT = ("export class Box extends ui.Base {\n  ", None, "(a: string) {\n    return this.", None, "(a)\n  }\n}\n/**\n * Says it.\n */\nexport const ", None, "_arrow = async (x: number) => other.", None, "(x)\nexport default function ", None,
+           "_plain() {\n  plain(1)\n}\nenum Kind { A }\ninterface Shape { n: number }\n")
+
+
+@query("script_symbols", _G + _OF_NAME + """SELECT file_id, CASE v.what WHEN '' THEN name || tail ELSE what END AS name, kind, a AS line_start, z AS line_end, doc AS docstring FROM nm, (VALUES ('Box', '', 'class', 1, 5, NULL), ('', '', 'function', 2, 4, NULL), ('', '_arrow', 'function', 9, 9, 'Says it.'),
+  ('', '_plain', 'function', 10, 12, NULL), ('Kind', '', 'enum', 13, 13, NULL), ('Shape', '', 'interface', 14, 14, NULL)) v(what, tail, kind, a, z, doc)""")
+def script_symbols(spark, d):
+    """Declarations, methods, arrow functions and their documentation in TypeScript."""
+    got = _made(Graph(spark, d), "x.ts", *_SCRIPT)["symbols"]
+    return got.select("file_id", "name", "kind", F.col("line_start").cast("int").alias("line_start"), F.col("line_end").cast("int").alias("line_end"), "docstring")
+
+
+@query("script_calls", _G + _OF_NAME + """SELECT file_id, line, CASE WHEN what = '' THEN name ELSE what END AS callee, receiver, var FROM nm, (VALUES (3, '', 'self', NULL), (9, '', 'local', 'other'), (11, 'plain', 'bare', NULL)) v(line, what, receiver, var)""")
+def script_calls(spark, d):
+    return _made(Graph(spark, d), "x.ts", *_SCRIPT)["calls"].select("file_id", F.col("line").cast("int").alias("line"), "callee", "receiver", "var")
+
+
+@query("extract_errors", _G + _OF_NAME + "SELECT file_id, 2 AS line, name FROM nm")
+def extract_errors(spark, d):
+    """Texts with an error in the second line: one error row there, and the declarations before it."""
+    facts = _made(Graph(spark, d), "x.py", "def ", None, "():\n    return )\n")
+    return facts["errors"].select("file_id", F.col("line").cast("int").alias("line")).join(facts["symbols"].select("file_id", "name"), "file_id")
+
+
+@query("project_name", _G + ", r AS (SELECT count(DISTINCT string_split(path, '/')[1]) AS n, min(string_split(path, '/')[1]) AS one FROM f WHERE contains(path, '/')) SELECT CASE WHEN n = 1 THEN one ELSE '' END AS name FROM r WHERE n <> 1")
+def project_name(spark, d):
+    """Empty where the files share no directory."""
+    return spark.createDataFrame([(index.project_name(Graph(spark, d).files),)], "name string")

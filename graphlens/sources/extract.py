@@ -245,13 +245,37 @@ class _Braces:
         return max(len(self.code) - 1, at)
 
 
+_STEP = re.compile(r"[(){};\[\]\n]")
+_BLANKS = re.compile(r"\s*")
+_BLOCK = re.compile(r"\s*\{")
+
+
+def _expression_end(b: _Braces, at: int) -> int:
+    """Where the expression at at ends: at a semicolon, a bracket around it, or a line break that the next line does not carry on."""
+    code, last = b.code, at
+    for m in iter(lambda: _STEP.search(code, last), None):
+        c, i = m.group(), m.start()
+        if c in "([{":
+            last = b.close.get(i, len(code) - 1) + 1
+        elif c == "\n":
+            back, ahead = i - 1, _BLANKS.match(code, i).end()
+            while back >= at and code[back].isspace():
+                back -= 1
+            if back >= at and code[back] not in "+-*/&|?:=,.>" and code[ahead:ahead + 1] not in (*".?:+-*/%&|^=<>,([`",):
+                return i - 1
+            last = i + 1
+        else:
+            return i if c == ";" else i - 1
+    return max(len(code) - 1, at)
+
+
 _TS_DECL = re.compile(
     r"(?:^|(?<=[;{}\s]))(?P<pre>(?:export\s+|default\s+|declare\s+|abstract\s+|async\s+)*)(?:(?P<fn>function)\s*\*?\s*(?P<fname>[\w$]+)\s*[<(]|(?P<cls>class|interface|enum)\s+(?P<cname>[\w$]+)|"
     r"(?:const|let|var)\s+(?P<vname>[\w$]+)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:function\b|(?:<[^>]*>\s*)?\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^={;]+)?=>|[\w$]+\s*=>))")
 _TS_METHOD = re.compile(r"(?m)^[ \t]*(?:(?:public|private|protected|static|readonly|override|abstract|async|get|set)\s+)*\*?\s*(?P<name>#?[\w$]+)\s*(?:<[^>\n]*>)?\([^;{}]*\)\s*(?::[^;{}=]+)?\{")
 _NOT_METHODS = frozenset("if for while switch catch function return with constructor else do try new typeof".split()) - {"constructor"}
 _TS_CALL = re.compile(r"(?:(?P<recv>[\w$]+|\))\s*\??\.\s*)?(?P<name>[\w$]+)\s*\(")
-_TS_WORDS = frozenset("if for while switch catch function return with typeof new await super import constructor".split())
+_TS_WORDS = frozenset("if for while switch catch function return with typeof new await super import constructor async".split())
 
 
 def _jsdoc(b: _Braces, at: int) -> str | None:
@@ -277,7 +301,8 @@ def script_facts(source: str) -> list[dict]:
         name = m.group("fname") or m.group("cname") or m.group("vname")
         kind = m.group("cls") or "function"
         key = m.start("fn") if m.group("fn") else m.start("cls") if m.group("cls") else m.start()
-        end = b.body_end(m.end() - 1 if m.group("fname") else m.end())
+        arrow = m.group("vname") and m.group().endswith("=>") and not _BLOCK.match(b.code, m.end())
+        end = _expression_end(b, m.end()) if arrow else b.body_end(m.end() - 1 if m.group("fname") else m.end())
         line = b.line(m.end(1) if m.group("pre") else key if m.group("fn") or m.group("cls") else m.start("vname"))
         out.append(_row("symbol", name=name, kind=kind, line=line, line_end=b.line(end), docstring=_jsdoc(b, at)))
         if kind == "class":

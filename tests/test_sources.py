@@ -197,3 +197,21 @@ def test_streams(spark, tmp_path):
         q = watch(spark.readStream.schema(df.schema).parquet(str(src)), handle, str(tmp_path / "cp"))
         q.awaitTermination(60)
     assert seen == ["a"] * 4 + ["b"]
+
+
+def test_arrow_functions_end_where_their_expression_does():
+    from graphlens.sources.extract import script_facts
+
+    text = "const a = (x) => x\n  .map(y)\n  .filter(z)\nconst b = async (x) => f(\n  x,\n)\nconst c = x =>\n  x + 1;\nconst d = (x) => {\n  return x\n}\n"
+    got = {r["name"]: (r["line"], r["line_end"]) for r in script_facts(text) if r["fact"] == "symbol"}
+    assert got == {"a": (1, 3), "b": (4, 6), "c": (7, 8), "d": (9, 11)}
+    assert not [r for r in script_facts("async (x) => 1\n") if r["fact"] == "call"]
+
+
+def test_imports_of_broken_texts():
+    from graphlens.sources.extract import python_facts
+
+    got = python_facts("from a.b import (\n    c,\n    d as e,  # note\n)\nimport os, sys as s\nfrom . import *\ndef f(:\n    x\n\ny = 1\n")
+    assert [(r["name"], r["line"], r["line_end"], r["import_module"], r["import_name"]) for r in got if r.get("kind") == "import"] == [
+        ("c", 1, 4, "a.b", "c"), ("e", 1, 4, "a.b", "d"), ("os", 5, 5, None, "os"), ("s", 5, 5, None, "sys"), ("*", 6, 6, ".", "*")]
+    assert [(r["name"], r["line"], r["line_end"]) for r in got if r.get("kind") == "function"] == [("f", 7, 8)] and got[-1]["fact"] == "error"
