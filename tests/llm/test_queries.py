@@ -13,12 +13,14 @@ COLUMNS = {
 SCHEMAS = {
     "files": "id long, path string, hash string, indexed_at timestamp", "file_text": "file_id long, content string",
     "symbols": "id long, file_id long, name string, kind string, line_start long, line_end long, docstring string, coverage_pct double, import_module string, import_name string, written_at timestamp",
+    "edges": "id long, src_id long, dst_id long, kind string, built_at timestamp",
     "call_trace": "test string, seq long, depth long, src_id long, dst_id long, called_at timestamp", "documents": "doc_id long, text string, lang string, source string, n_chars long",
     "benchmark": "item_id long, text string, suite string", "name_list": "name string, name_kind string"}
 LONG = "one two three four five six seven eight nine ten eleven twelve thirteen"
 ROWS = {
     "files": [(1, "r/a.py", "h", T), (1, "r/a.py", "h", None), (2, "r/x_pb2.py", None, T)], "file_text": [(1, "def f():\n    return (\n"), (2, "x = 1\n"), (3, None)],
     "symbols": [(5, 1, "f", "function", 1, 2, "Says more.", None, None, None, T)] * 2 + [(6, 1, "f", "function", 9, 9, "Says more.", None, None, None, T)],
+    "edges": [(1, 5, 6, " Inherits", T), (1, 5, 6, " Inherits", T), (2, None, 6, None, T)],
     "call_trace": [("t", 0, 0, None, 9, T), ("t", 4, 1, None, 9, T), ("t", 4, 1, None, 9, T), ("t", 5, 1, None, 8, T)],
     "documents": [(1, "a b", "en", "s", 3), (2, None, None, None, None), (3, f"> {LONG} a@b.example", "en", "s", 3)], "benchmark": [(7, LONG, "s"), (8, None, "s")], "name_list": [("Ulwen", "given")]}
 
