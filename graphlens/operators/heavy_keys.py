@@ -137,9 +137,12 @@ def balanced_row_number(df: DataFrame, keys: list[str], order: list[str | Column
 
 
 def hot_keys(counts: DataFrame, key: str, n: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """(_hot, _copies) of the keys with more than rows_per_task rows: at most rows / rows_per_task entries, so it can be broadcast."""
+    """(_hot, _copies) of the keys with more than rows_per_task rows: at most rows / rows_per_task entries, so it can be broadcast.
+
+    The parts of such a key are a quarter of rows_per_task each, so that one that meets other keys in a task stays small.
+    """
     return counts.where((F.col(n) > rows_per_task) & F.col(key).isNotNull()).select(
-        F.col(key).alias("_hot"), F.ceil(F.col(n) / rows_per_task).cast("int").alias("_copies"))
+        F.col(key).alias("_hot"), F.ceil(4 * F.col(n) / rows_per_task).cast("int").alias("_copies"))
 
 
 def skew_join(facts: DataFrame, dims: DataFrame, key: str, row_cols: list[str], how: str = "inner",

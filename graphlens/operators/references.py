@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.operators.heavy_keys import ROWS_PER_TASK, hot_keys, skew_join
+from graphlens.operators.heavy_keys import hot_keys, skew_join
 
 
 @dataclass(frozen=True)
@@ -68,19 +68,20 @@ def reference_rows(keys: list[ForeignKey]) -> DataFrame:
     return out
 
 
-def orphan_references(keys: list[ForeignKey], lifetimes: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def orphan_references(keys: list[ForeignKey], lifetimes: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
     """Distinct orphan references: table_name, field, row_key, ref_key, ref_at.
 
-    The distinct keys carry the number of their rows, so a suspect that more than rows_per_task rows
-    refer to is known when the suspects are joined back: only its rows are spread over several tasks.
+    The distinct keys carry the number of their rows, so a key that more than rows_per_task rows refer
+    to is known when the suspects are joined back, and its rows are spread over several tasks.
     """
     refs = reference_rows(keys)
     used = refs.groupBy("ref_key").agg(
         F.min("ref_at").alias("first_used"), F.max(F.col("ref_at").isNull()).alias("undated"), F.count(F.lit(1)).alias("n_refs"))
     live = lifetimes.select(F.col("ref_key").alias("live_key"), "valid_from")
     covered = (F.col("ref_key") == F.col("live_key")) & (F.col("valid_from") <= F.col("first_used")) & ~F.col("undated")
-    suspects = used.join(live, covered, "left_anti").select("ref_key", "n_refs")
-    hot = hot_keys(suspects, "ref_key", "n_refs", rows_per_task)
+    suspects = used.join(live, covered, "left_anti").select("ref_key")
+    # all such keys, as the rows of sound ones are shuffled for the join too
+    hot = hot_keys(used, "ref_key", "n_refs", rows_per_task)
     # a suspect may still have a parent that appeared late: its rows from then on are sound
     dated = suspects.join(live, F.col("ref_key") == F.col("live_key"), "left").select("ref_key", "valid_from")
     unsound = F.col("valid_from").isNull() | F.col("ref_at").isNull() | (F.col("ref_at") < F.col("valid_from"))

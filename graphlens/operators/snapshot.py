@@ -46,19 +46,19 @@ def current_edges(edges: DataFrame, symbols: DataFrame, rows_per_task: int = ROW
 
     The ids that edges name are reduced to one row each and held against the symbols. Those that are
     missing are counted; up to max_missing of them (16 bytes each) are broadcast, so that the edges are
-    shuffled for their distinction only. Beyond, edges are joined with them, those of a missing id that
-    many edges name spread over tasks.
+    shuffled for their distinction only. Beyond, edges are joined with them, those of an id that many
+    edges name spread over tasks.
     """
     e = edges.select("src_id", "dst_id", F.lower(F.trim("kind")).alias("kind")).where("src_id is not null and dst_id is not null")
     used = e.select(F.explode(F.array("src_id", "dst_id")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     missing = cut(used.join(symbols.select("id").distinct(), "id", "left_anti"))
     few = missing.count() <= max_missing
     for side in ("src_id", "dst_id"):
-        gone = missing.select(F.col("id").alias(side), "n")
+        gone = missing.select(F.col("id").alias(side))
         if few:
-            e = e.join(F.broadcast(gone.select(side)), side, "left_anti")
+            e = e.join(F.broadcast(gone), side, "left_anti")
         else:
-            e = skew_join(e, gone.select(side), side, ["src_id", "dst_id", "kind"], "left_anti", rows_per_task, hot_keys(gone, side, "n", rows_per_task))
+            e = skew_join(e, gone, side, ["src_id", "dst_id", "kind"], "left_anti", rows_per_task, hot_keys(used, "id", "n", rows_per_task))
     return e.select("src_id", "dst_id", "kind").distinct()
 
 

@@ -149,3 +149,13 @@ def test_skew_semi_and_anti(spark):
 def test_global_row_number(spark):
     df = spark.createDataFrame([(i * 7 % 101, str(i)) for i in range(101)], "x long, s string")
     assert {(r.x, r.position) for r in balanced_row_number(df, [], [F.desc("x"), "s"], partitions=6).collect()} == {(x, 101 - x) for x in range(101)}
+
+
+def test_edges_with_missing_ends_by_joins(spark):
+    from graphlens.operators.snapshot import current_edges
+
+    r = random.Random(3)
+    e = spark.createDataFrame([(i, r.randrange(30), 7 if r.random() < .4 else r.randrange(30), r.choice(["calls", " Calls"]), T[0], None, None) for i in range(500)] + [(900, None, 1, "calls", T[0], None, None)], EDGE)
+    s = spark.createDataFrame([(i, T[0], "n") for i in range(20)], SYM)
+    few, many = (sorted(map(tuple, current_edges(e, s, 50, m).collect())) for m in (100, 0))
+    assert few == many and few and all(a < 20 and b < 20 for a, b, _ in few)
