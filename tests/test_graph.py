@@ -249,3 +249,27 @@ def test_empty_graph(spark):
         assert as_dict(alg.betweenness(n, e, m), "id", "betweenness") == {1: 0, 2: 0}
         assert as_dict(alg.dominated_counts(nodes(spark, [1]), n, e, m), "id", "dominates") == {1: 0, 2: 0}
         assert as_dict(tr.reach_sizes(n, e, m), "id", "reach") == {1: 0, 2: 0}
+
+
+def test_reach_counts_split_at_pivots(monkeypatch):
+    """A long cycle with ways in and out is counted at its pivot, not once from every node; small graphs against plain walks."""
+    import random
+
+    import numpy as np
+
+    calls = []
+    one_by_one = tr._counts_one_by_one
+    monkeypatch.setattr(tr, "_counts_one_by_one", lambda g, live, s: calls.append(len(s)) or one_by_one(g, live, s))
+    monkeypatch.setattr(tr, "PAIRS", 5000)
+    n = 2000
+    pairs = [(i, (i + 1) % n) for i in range(n)] + [(n + i, i) for i in range(50)] + [(i, 2 * n + i) for i in range(50)]
+    g = tr.Adjacency(*(np.array(x, np.int64) for x in zip(*pairs)))
+    got = dict(zip(g.ids.tolist(), tr.reach_counts(g, np.arange(len(g.ids))).tolist()))
+    assert got == {**dict.fromkeys(range(n), n + 50), **dict.fromkeys(range(n, n + 50), n + 51), **dict.fromkeys(range(2 * n, 2 * n + 50), 1)} and not calls
+    r = random.Random(5)
+    for _ in range(60):
+        k = r.randint(2, 30)
+        pairs = [(r.randrange(k), r.randrange(k)) for _ in range(r.randint(1, 70))]
+        g = tr.Adjacency(*(np.array(x, np.int64) for x in zip(*pairs)))
+        s = np.arange(len(g.ids))
+        assert (tr.reach_counts(g, s) == one_by_one(g, np.ones(len(s), bool), s)).all()
