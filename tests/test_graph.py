@@ -251,6 +251,19 @@ def test_empty_graph(spark):
         assert as_dict(tr.reach_sizes(n, e, m), "id", "reach") == {1: 0, 2: 0}
 
 
+def test_centrality_and_targets_walk_no_paths(spark, monkeypatch):
+    """Neither query gives betweenness, so neither counts paths from every source."""
+    import graphlens.operators.rank as rk
+    from graphlens.plans.graph import QUERIES
+
+    def fails(*_):
+        raise AssertionError("betweenness")
+
+    monkeypatch.setattr(rk, "betweenness", fails)
+    assert QUERIES["centrality"](spark, "/root/testdata/sf0.001").columns == ["id", "name", "path", "dominates", "degree"]
+    assert QUERIES["test_targets"](spark, "/root/testdata/sf0.001").columns == ["id", "name", "path", "score", "reason"]
+
+
 def test_reach_counts_split_at_pivots(monkeypatch):
     """A long cycle with ways in and out is counted at its pivot, not once from every node; small graphs against plain walks."""
     import random
