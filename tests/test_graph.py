@@ -286,3 +286,46 @@ def test_reach_counts_split_at_pivots(monkeypatch):
         g = tr.Adjacency(*(np.array(x, np.int64) for x in zip(*pairs)))
         s = np.arange(len(g.ids))
         assert (tr.reach_counts(g, s) == one_by_one(g, np.ones(len(s), bool), s)).all()
+
+
+def _brute_roots(pairs, ids):
+    reach = {v: set(plain_bfs(pairs, v)) for v in ids}
+    return {v for v in ids if all(v not in reach[u] or u in reach[v] for u in ids)}
+
+
+def _parts(seed):
+    """Unconnected random graphs, one of them a copy of another, with edges from a node to itself, and nodes without edges."""
+    first = random_pairs(seed, 30, 50)
+    return [*first, *[(a + 100, b + 100) for a, b in first], *[(a + 200, b + 200) for a, b in random_pairs(seed + 50, 12, 40)], (300, 300), (301, 302)], [*range(0, 30), *range(100, 130), *range(200, 212), *range(300, 306)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("max_edges,max_nodes", [(tr.MAX_EDGES, tr.MAX_NODES), (40, tr.MAX_NODES), (40, 3)])
+def test_reach_and_roots_of_parts(spark, seed, max_edges, max_nodes):
+    pairs, ids = _parts(seed)
+    n, e = nodes(spark, ids), graph(spark, pairs)
+    assert as_dict(tr.reach_sizes(n, e, max_edges, max_nodes=max_nodes), "id", "reach") == {v: len(plain_bfs(pairs, v)) - 1 for v in ids}
+    rows = alg.root_members(n, e, max_edges, max_nodes=max_nodes).collect()
+    assert len(rows) == len({r.id for r in rows}) and {r.id for r in rows} == _brute_roots(pairs, ids)
+
+
+def test_entrypoints_of_large_graphs_are_not_walked_by_joins(spark, monkeypatch):
+    pairs, ids = _parts(4)
+    located = spark.createDataFrame([(i, f"f{i}", "function", 1, 2, 1, "a.py") for i in ids], "id long, name string, kind string, line_start int, line_end int, file_id long, path string")
+    marks = spark.createDataFrame([(205, "main", 0)], "id long, marker string, step int")
+    monkeypatch.setattr(tr, "bfs", lambda *a, **k: pytest.fail("walked hop by hop"))
+    monkeypatch.setattr(alg, "bfs", tr.bfs)
+    rows = entrypoints(located, graph(spark, pairs), marks, max_edges=len(pairs) - 1).orderBy("rank").collect()
+    want = {v: len(plain_bfs(pairs, v)) - 1 for v in _brute_roots(pairs, ids) | {205}}
+    assert {r.id: r.reach for r in rows} == want and rows[0].id == 205 and [r.rank for r in rows] == list(range(1, len(want) + 1))
+
+
+def test_pivots_of_no_edges_or_too_many_nodes(spark):
+    from graphlens.operators.pivots import find_pivots
+
+    assert find_pivots(graph(spark, []).select("src_id", "dst_id")) is None
+    assert find_pivots(graph(spark, [(1, 2), (2, 3)]).select("src_id", "dst_id"), 2) is None
+    p = find_pivots(graph(spark, [(1, 2), (2, 3), (3, 2), (3, 4), (7, 8)]).select("src_id", "dst_id"), 6)
+    got = {r.id: (r.ahead, r.behind, r.n if r.ahead or r.behind else None, r.alone) for r in p.marked(nodes(spark, [1, 2, 3, 4, 5])).collect()}
+    assert [got[i][:3] for i in (1, 2, 3, 4, 5)] == [(False, True, 3), (True, True, 3), (True, True, 3), (True, False, 3), (False, False, None)]
+    assert not got[2][3]
