@@ -329,3 +329,30 @@ def test_pivots_of_no_edges_or_too_many_nodes(spark):
     got = {r.id: (r.ahead, r.behind, r.n if r.ahead or r.behind else None, r.alone) for r in p.marked(nodes(spark, [1, 2, 3, 4, 5])).collect()}
     assert [got[i][:3] for i in (1, 2, 3, 4, 5)] == [(False, True, 3), (True, True, 3), (True, True, 3), (True, False, 3), (False, False, None)]
     assert not got[2][3]
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+@pytest.mark.parametrize("max_edges,task_edges", [(40, 40), (40, None), (20, None)])
+def test_reach_and_roots_beyond_the_bound(spark, seed, max_edges, task_edges):
+    pairs, ids = _parts(seed)
+    n, e = nodes(spark, ids), graph(spark, pairs)
+    for pivots in (2, 0):
+        assert as_dict(tr.reach_sizes(n, e, max_edges, pivots=pivots, task_edges=task_edges), "id", "reach") == {v: len(plain_bfs(pairs, v)) - 1 for v in ids}
+    assert {r.id for r in alg.root_members(n, e, max_edges, task_edges=task_edges).collect()} == _brute_roots(pairs, ids)
+
+
+def test_one_task_walks_what_max_edges_does_not_hold(spark, monkeypatch):
+    """Components, their heads, reach and dominators of a graph of up to six times max_edges take no loop of joins and no pivots over broadcasts."""
+    pairs, ids = _parts(7)
+    n, e = nodes(spark, ids), graph(spark, pairs)
+    want = as_dict(alg.strong_components(n, e), "id", "comp")
+    heads = as_dict(alg.root_heads(n, e), "id", "id")
+    dominated = as_dict(alg.dominated_counts(nodes(spark, heads), n, e), "id", "dominates")
+    assert set(heads) == {min(v for v in ids if want[v] == want[r]) for r in _brute_roots(pairs, ids)}
+    for module, name in ((tr, "bfs"), (alg, "bfs"), (tr, "find_pivots"), (alg, "find_pivots"), (alg, "_dominated_by_joins"), (alg, "condensed")):
+        monkeypatch.setattr(module, name, lambda *a, **k: pytest.fail("walked by joins or broadcast pivots"))
+    few = len(pairs) // 3
+    assert as_dict(alg.strong_components(n, e, few), "id", "comp") == want
+    assert as_dict(alg.root_heads(n, e, few), "id", "id") == heads
+    assert as_dict(alg.dominated_counts(nodes(spark, heads), n, e, few), "id", "dominates") == dominated
+    assert as_dict(tr.reach_sizes(n, e, few), "id", "reach") == {v: len(plain_bfs(pairs, v)) - 1 for v in ids}
